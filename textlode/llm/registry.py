@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import sharding, url_filters
 from .common import ship
 
 QUERIES = {
     "op8_sharding": sharding.op8_sharding,
+    "op9_url_filters": url_filters.op9_url_filters,
 }
 
 
@@ -22,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filters": url_filters.OP9_SQL}
