@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import sharding, url_filters
+from . import quality_rules, sharding, url_filters
 from .common import ship
 
 QUERIES = {
     "op8_sharding": sharding.op8_sharding,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
     "op9_url_filters": url_filters.op9_url_filters,
 }
 
