@@ -10,7 +10,7 @@ import public_tokenizers
 import regex
 
 #: The white space that the tokenizers' libraries mean by \s.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def portable(pattern: str) -> str:
