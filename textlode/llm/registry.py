@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, sharding, url_filters
+from . import bpe, quality_rules, sharding, token_counts, url_filters
 from .common import ship
 
 QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op9_url_filters": url_filters.op9_url_filters,
 }
