@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, sharding, token_counts, url_filters
+from . import bpe, packing, quality_rules, sharding, token_counts, url_filters
 from .common import ship
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op3_token_counts": token_counts.op3_token_counts,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_url_filters": url_filters.op9_url_filters,
 }
 
