@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules, sharding, token_counts, url_filters
+from . import bpe, packing, quality_rules, sharding, token_counts, toxicity, url_filters
 from .common import ship
 
 QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_url_filters": url_filters.op9_url_filters,
