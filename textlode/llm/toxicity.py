@@ -193,15 +193,22 @@ def choose_landmarks(toxic: list[str], clean: list[str]) -> list[str]:
     bag = lambda x: {w for w in map(bare, set(x.lower().split())) if w}
     clean_words = Counter(w for x in clean for w in bag(x))
     common = {w for w, n in clean_words.items() if n > max(2, 0.02 * len(clean))}
+    floor = max(2, len(toxic) // 100)
+    # first an upper bound of each run's documents, by digest, so that only runs above the floor take memory
+    mask = (1 << 22) - 1
+    bound = np.zeros(mask + 1, np.int32)
+    for x in toxic:
+        bound[list({hash(run) & mask for w in bag(x) - common for run in letter_runs(w)})] += 1
     docs: dict[str, set[int]] = defaultdict(set)
     words: dict[str, set[str]] = defaultdict(set)
     for i, x in enumerate(toxic):
         for w in bag(x) - common:
             for run in letter_runs(w):
-                docs[run].add(i)
-                words[run].add(w)
-    floor = max(2, len(toxic) // 100)
+                if bound[hash(run) & mask] >= floor:
+                    docs[run].add(i)
+                    words[run].add(w)
     docs = {run: at for run, at in docs.items() if len(at) >= floor}
+    words = {run: words[run] for run in docs}
     against: Counter = Counter()
     known: dict[str, list[str]] = {}
     for x in clean:
@@ -258,7 +265,8 @@ def train(toxic: list[str], clean: list[str]) -> Model | None:
     letters = codes(marks, width)
     kernel = subsequence_kernel(letters[pairs[:, 0]], letters[pairs[:, 1]]).reshape(len(marks), -1)
     own = np.diag(kernel).copy()
-    x = sharpened(Matcher(marks, own).features(toxic + clean).astype(float))
+    matcher, texts = Matcher(marks, own), toxic + clean
+    x = sharpened(np.vstack([matcher.features(texts[i : i + 250]) for i in range(0, len(texts), 250)]).astype(float))
     y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
     # Nystrom: features whitened by the landmarks' normalised kernel matrix, folded into the weights
     values, vectors = np.linalg.eigh(kernel / np.sqrt(np.outer(own, own)) + 1e-2 * np.eye(len(marks)))
