@@ -17,6 +17,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -52,29 +53,33 @@ def bare(word: str) -> str:
 
 def codes(words: list[str], width: int) -> np.ndarray:
     """Letters as numbers, 0 after a word's end."""
-    out = np.zeros((len(words), width), np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = [ord(c) for c in w]
-    return out
+    return np.array(words, f"<U{max(1, width)}").view(np.uint32).reshape(len(words), -1).astype(np.int32)
 
 
 def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """K(a[i], b[i]) for rows of letter codes: sum over common subsequences of ORDER letters of DECAY ** (letters spanned in both)."""
-    n, long, short = len(a), a.shape[1], b.shape[1]
-    b = np.where(b == 0, -1, b)  # the padding of one side matches nothing
-    # partial[i][:, j]: subsequences of i letters in what is read of a and in b[:j], discounted to their ends
-    partial = [np.ones((n, short + 1))] + [np.zeros((n, short + 1)) for _ in range(ORDER - 1)]
-    total = np.zeros(n)
-    for s in range(long):
-        same = a[:, s : s + 1] == b
-        total += (DECAY**2 * same * partial[ORDER - 1][:, :short]).sum(1)
+    n, short = len(a), b.shape[1]
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(np.where(b == 0, -1, b).T)  # the padding of one side matches nothing
+    # partial[i][j]: subsequences of i letters in what is read of a and in b[:j], discounted to their ends
+    one, decay = np.ones((short, n), np.float32), np.float32(DECAY)
+    partial = [one] + [np.zeros((short + 1, n), np.float32) for _ in range(ORDER - 1)]
+    total = np.zeros(n, np.float32)
+    for letter in a:
+        same = (b == letter) * np.float32(DECAY**2)
+        total += (same * partial[ORDER - 1][:short]).sum(0)
         for i in range(ORDER - 1, 0, -1):
-            run = np.zeros(n)
-            add = DECAY**2 * same * partial[i - 1][:, :short]
-            for j in range(short):
-                run = DECAY * run + add[:, j]
-                partial[i][:, j + 1] = DECAY * partial[i][:, j + 1] + run
-    return total
+            add = same * partial[i - 1][:short]
+            for j in range(1, short):
+                add[j] += decay * add[j - 1]
+            partial[i] *= decay
+            partial[i][1:] += add
+    return total.astype(float)
+
+
+def reachable(landmark: str, without: str) -> float:
+    """The most that a word without one letter can match of a landmark, if it has the rest in one run."""
+    spans = [k - i for i, j, k in combinations(range(len(landmark)), ORDER) if without not in (landmark[i], landmark[j], landmark[k])]
+    return sum(DECAY ** (ORDER + span + 1) for span in spans)
 
 
 @dataclass
@@ -107,23 +112,27 @@ class Matcher:
         alphabet = sorted(set("".join(landmarks)))
         self.bit = {c: 1 << min(i, 62) for i, c in enumerate(alphabet)}
         self.mark_bits = np.array([self.bits(x) for x in landmarks], np.int64)
-        self.memo: dict[str, int] = {}  # 0: matches nothing; else a row of `rows`
+        needed = ["".join(c for c in set(x) if reachable(x, c) < LEAST * k) for x, k in zip(landmarks, own)]
+        self.needed = np.array([self.bits(x) for x in needed], np.int64)
+        self.memo: dict[str, int] = {}  # of words as they come; 0: matches nothing; else a row of `rows`
+        self.known: dict[str, int] = {}  # of bare words
         self.rows: list[np.ndarray] = [np.zeros(len(landmarks), np.float32)]
         self.size, self.longest = memo, longest
 
     def bits(self, word: str) -> int:
         found = 0
-        for c in set(word):
+        for c in word:
             found |= self.bit.get(c, 0)
         return found
 
     def match(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, landmark, match) of pairs that match: K(word, landmark) / K(landmark, landmark), 1 at most.
 
-        The kernel is defined as 0 for a word that lacks two or more of the landmark's letters.
+        The kernel is defined as 0 for a word that lacks two of the landmark's letters, or one without
+        which no more than LEAST can be reached.
         """
-        bits = np.fromiter((self.bits(w) for w in words), np.int64, len(words))
-        w, m = np.nonzero(np.bitwise_count(self.mark_bits[None, :] & ~bits[:, None]) <= 1)
+        lacks = ~np.fromiter((self.bits(w) for w in words), np.int64, len(words))[:, None]
+        w, m = np.nonzero((np.bitwise_count(self.mark_bits & lacks) <= 1) & (self.needed & lacks == 0))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         out = np.zeros(len(w))
         by_size = np.maximum(-(-lengths[w] // 4), 1) * 4
@@ -139,24 +148,25 @@ class Matcher:
         return w[some], m[some], np.minimum(out[some], 1.0)
 
     def learn(self, words: list[str]) -> dict[str, int]:
-        """Rows of words not met before. Words that have no letters match nothing."""
-        found = dict.fromkeys(words, 0)
+        """Rows of words not met before; those with the same letters share one. Words without letters match nothing."""
+        letters = [bare(w) for w in words]
+        new = [x for x in dict.fromkeys(letters) if len(x) >= ORDER and x not in self.known]
+        known = dict.fromkeys(new, 0)
         parts, owner = [], []
-        for i, x in enumerate(map(bare, words)):
-            if len(x) >= ORDER:
-                for at in range(0, max(1, len(x) - WINDOW // 2), WINDOW // 2):
-                    parts.append(x[at : at + WINDOW])
-                    owner.append(i)
+        for x in new:
+            for at in range(0, max(1, len(x) - WINDOW // 2), WINDOW // 2):
+                parts.append(x[at : at + WINDOW])
+                owner.append(x)
         if parts and len(self.own):
-            w, m, value = self.match(parts)
-            rows: dict[int, np.ndarray] = {}
-            for a, b, v in zip(w.tolist(), m.tolist(), value.tolist()):
+            rows: dict[str, np.ndarray] = {}
+            for a, b, v in zip(*(x.tolist() for x in self.match(parts))):
                 row = rows.setdefault(owner[a], np.zeros(len(self.own), np.float32))
                 row[b] = max(row[b], v)
-            for i, row in rows.items():
-                found[words[i]] = len(self.rows)
+            for x, row in rows.items():
+                known[x] = len(self.rows)
                 self.rows.append(row)
-        return found
+        self.known.update((x, k) for x, k in known.items() if len(x) <= self.longest)
+        return {w: known.get(x) or self.known.get(x, 0) for w, x in zip(words, letters)}
 
     def features(self, texts: list[str]) -> np.ndarray:
         """The best match of each text with each landmark."""
@@ -168,7 +178,7 @@ class Matcher:
             bags.append(bag)
         seen = set().union(*bags)
         if len(self.memo) > self.size or len(self.rows) > self.size // 8:
-            self.memo, self.rows = {}, self.rows[:1]
+            self.memo, self.known, self.rows = {}, {}, self.rows[:1]
         new = [w for w in seen if w not in self.memo]
         memo = self.memo
         found = self.learn(new)
@@ -193,36 +203,38 @@ def choose_landmarks(toxic: list[str], clean: list[str]) -> list[str]:
     bag = lambda x: {w for w in map(bare, set(x.lower().split())) if w}
     clean_words = Counter(w for x in clean for w in bag(x))
     common = {w for w, n in clean_words.items() if n > max(2, 0.02 * len(clean))}
+    toxic_bags = [sorted(bag(x) - common) for x in toxic]
     floor = max(2, len(toxic) // 100)
     # first an upper bound of each run's documents, by digest, so that only runs above the floor take memory
     mask = (1 << 22) - 1
     bound = np.zeros(mask + 1, np.int32)
-    for x in toxic:
-        bound[list({hash(run) & mask for w in bag(x) - common for run in letter_runs(w)})] += 1
-    docs: dict[str, set[int]] = defaultdict(set)
-    words: dict[str, set[str]] = defaultdict(set)
-    for i, x in enumerate(toxic):
-        for w in bag(x) - common:
-            for run in letter_runs(w):
-                if bound[hash(run) & mask] >= floor:
-                    docs[run].add(i)
-                    words[run].add(w)
-    docs = {run: at for run, at in docs.items() if len(at) >= floor}
-    words = {run: words[run] for run in docs}
-    against: Counter = Counter()
-    known: dict[str, list[str]] = {}
-    for x in clean:
-        found: set[str] = set()
-        for w in bag(x):
-            if w not in known:
-                known[w] = [run for run in letter_runs(w) if run in docs]
-            found.update(known[w])
-        against.update(found)
+    for found in toxic_bags:
+        bound[list({hash(run) & mask for w in found for run in letter_runs(w)})] += 1
+
+    def counted(bags) -> Counter:
+        out: Counter = Counter()
+        known: dict[str, list[str]] = {}
+        for found in bags:
+            for w in found:
+                if w not in known:
+                    known[w] = [run for run in letter_runs(w) if bound[hash(run) & mask] >= floor]
+            out.update({run for w in found for run in known[w]})
+        return out
+
+    n_toxic = {run: n for run, n in counted(toxic_bags).items() if n >= floor}
+    n_clean = counted(map(bag, clean))
     # the log-likelihood ratio of a run's toxic documents
     share = len(toxic) / (len(toxic) + len(clean))
-    worth = {run: len(at) * np.log(len(at) / (share * (len(at) + against[run]))) for run, at in docs.items()}
-    odds = {run: len(at) / len(toxic) / ((against[run] + 1) / (len(clean) + 1)) for run, at in docs.items()}
-    clear = [run for run in docs if worth[run] >= LEAST_WORTH and odds[run] >= LEAST_ODDS]
+    worth = {run: n * np.log(n / (share * (n + n_clean[run]))) for run, n in n_toxic.items()}
+    odds = {run: n / len(toxic) / ((n_clean[run] + 1) / (len(clean) + 1)) for run, n in n_toxic.items()}
+    clear = {run for run in n_toxic if worth[run] >= LEAST_WORTH and odds[run] >= LEAST_ODDS}
+    docs: dict[str, set[int]] = defaultdict(set)
+    words: dict[str, set[str]] = defaultdict(set)
+    for i, found in enumerate(toxic_bags):
+        for w in found:
+            for run in letter_runs(w) & clear:
+                docs[run].add(i)
+                words[run].add(w)
     chosen: list[str] = []
     taken: set[str] = set()
     told: set[str] = set()  # words that a chosen run is part of
@@ -326,7 +338,7 @@ def score_table(df: DataFrame, model: Model | None, text: str = "text", score: s
         if matcher is None:
             MATCHERS.clear()
             matcher = MATCHERS[tuple(model.landmarks)] = Matcher(model.landmarks, model.own)
-        for batch in by_slices(batches):
+        for batch in by_slices(batches, 1000):
             found = model.score(matcher.features([x or "" for x in batch.column(text).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.float64())], names=[*names, score])
 
