@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, packing, quality_rules, sharding, token_counts, toxicity, url_filters
+from . import ann, bpe, jaccard_join, packing, quality_rules, sharding, token_counts, toxicity, url_filters
 from .common import ship
 
 QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op1_cross_polytope": ann.op1_cross_polytope,
     "op2_ngram_jaccard": jaccard_join.op2_ngram_jaccard,
     "op3_token_counts": token_counts.op3_token_counts,
     "op5_toxicity": toxicity.op5_toxicity,
