@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, jaccard_join, packing, quality_rules, sharding, token_counts, toxicity, url_filters
+from . import ann, bpe, html_text, jaccard_join, packing, quality_rules, sharding, token_counts, toxicity, url_filters
 from .common import ship
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op1_cross_polytope": ann.op1_cross_polytope,
     "op2_ngram_jaccard": jaccard_join.op2_ngram_jaccard,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_html_extraction": html_text.op4_html_extraction,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
