@@ -93,7 +93,7 @@ def test_layouts(spark, smoke):
 
 
 def test_registries(smoke):
-    scoring.register_ranker("tf", lambda index, queries: scoring.lookup(index.postings, scoring.query_tokens(queries, index.analyzer)).select(F.lit(0).alias("query_id"), "doc_id", F.col("tf").cast("double").alias("score")))
+    scoring.register_ranker("tf", lambda index, queries: scoring.asked_of(queries, index.analyzer).lookup(index.postings).select(F.lit(0).alias("query_id"), "doc_id", F.col("tf").cast("double").alias("score")))
     assert scores(smoke, "games", "tf") == {0: 1.0, 1: 2.0}
     ix.register_posting_type("length", lambda tokens: tokens.select(F.lit("x").alias("term"), "doc_id"))
     assert ix.postings_of(smoke.docs.withColumn("tokens", F.array()), "length").count() == 3
@@ -139,7 +139,7 @@ def test_invariants(spark, sf_dir):
 
 def test_lookup_is_pushed_down(spark, sf_dir):
     index = Index.build(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    plan = scoring.lookup(index.postings, scoring.query_tokens(scoring.query_table(spark, [(0, "anea erou")]), RAW))._jdf.queryExecution().executedPlan().toString()
+    plan = scoring.Asked(scoring.query_table(spark, [(0, "anea erou")]), RAW).lookup(index.postings)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(term" in plan
 
 

@@ -32,23 +32,42 @@ def query_table(spark: SparkSession, queries: list[tuple[int, str]]) -> DataFram
     return spark.createDataFrame(queries, "query_id long, query string")
 
 
+#: Query tokens up to this many are kept as a local table, so that a search analyses its queries once.
+LOCAL_TOKENS = 20_000
+
+
 def query_tokens(queries: DataFrame, analyzer: Analyzer) -> DataFrame:
     """(query_id, pos, term), positions from 0, by the analyzer of the index."""
-    return positions(analyze(queries, analyzer, "query_id", "query"), "query_id")
+    return positions(analyze(queries, analyzer, "query_id", "query"), "query_id").select("query_id", "pos", "term")
+
+
+class Asked:
+    """The tokens of a table of queries, and their distinct terms if those are few."""
+
+    def __init__(self, queries: DataFrame, analyzer: Analyzer) -> None:
+        self.tokens, self.wanted = query_tokens(queries, analyzer), None
+        rows = self.tokens.limit(LOCAL_TOKENS + 1).collect()
+        if len(rows) <= LOCAL_TOKENS:
+            self.tokens = queries.sparkSession.createDataFrame(rows, self.tokens.schema)
+            terms = {r.term for r in rows}
+            self.wanted = sorted(terms) if len(terms) <= PUSHED_TERMS else None
+
+    def lookup(self, table: DataFrame) -> DataFrame:
+        """Rows of a term-sorted table for the queries' terms."""
+        if self.wanted is not None:
+            return table.where(F.col("term").isin(self.wanted))
+        return table.join(self.tokens.select("term").distinct(), "term", "left_semi")
 
 
-def lookup(table: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows of a term-sorted table for the distinct terms of another."""
-    wanted = [r[0] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-    if len(wanted) <= PUSHED_TERMS:
-        return table.where(F.col("term").isin(wanted))
-    return table.join(terms.select("term").distinct(), "term", "left_semi")
+def asked_of(queries, analyzer: Analyzer) -> Asked:
+    return queries if isinstance(queries, Asked) else Asked(queries, analyzer)
 
 
 def unranked(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): every match of every distinct query term with score 0, a document once for each of its terms."""
-    terms = query_tokens(queries, index.analyzer).select("query_id", "term").distinct()
-    return lookup(index.postings, terms).join(terms, "term").select("query_id", "doc_id", F.lit(0.0).alias("score"))
+    asked = asked_of(queries, index.analyzer)
+    terms = asked.tokens.select("query_id", "term").distinct()
+    return asked.lookup(index.postings).join(terms, "term").select("query_id", "doc_id", F.lit(0.0).alias("score"))
 
 
 def idf(n_docs: int, df: Column, letter: str) -> Column:
@@ -100,48 +119,47 @@ def tfidf(index: Index, queries: DataFrame, schema: str = "lnc.ltc") -> DataFram
     """(query_id, doc_id, score). The document side's idf multiplies after its norm; a query's norm is over the terms that the index has."""
     doc, query = check_schema(schema)
     need(index, COUNTED)
-    asked = query_tokens(queries, index.analyzer).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    known = lookup(index.terms, asked)
-    weights = asked.join(known, "term").select("query_id", "term", (damp(F.col("qtf"), query[0]) * idf(index.n_docs, F.col("df"), query[1])).alias("raw"), idf(index.n_docs, F.col("df"), doc[1]).alias("idf"))
+    asked = asked_of(queries, index.analyzer)
+    known = asked.lookup(index.terms)
+    weights = asked.tokens.groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(known, "term").select("query_id", "term", (damp(F.col("qtf"), query[0]) * idf(index.n_docs, F.col("df"), query[1])).alias("raw"), idf(index.n_docs, F.col("df"), doc[1]).alias("idf"))
     if query[2] == "c":
         norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
         weights = weights.withColumn("qw", F.when(norm > 0, F.col("raw") / norm).otherwise(0.0))
     else:
         weights = weights.withColumn("qw", F.lit(1.0))
-    hits = lookup(index.postings, asked).select("term", "doc_id", document_weight(doc).alias("w"))
+    hits = asked.lookup(index.postings).select("term", "doc_id", document_weight(doc).alias("w"))
     return hits.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * F.col("w") * F.col("qw")).alias("score"))
 
 
 def bm25(index: Index, queries: DataFrame, k: float = 0.75, b: float = 0.5) -> DataFrame:
     """(query_id, doc_id, score). A term counts once however often the query repeats it."""
     need(index, COUNTED)
-    asked = query_tokens(queries, index.analyzer).select("query_id", "term").distinct()
-    known = asked.join(lookup(index.terms, asked), "term").select("query_id", "term", idf(index.n_docs, F.col("df"), "t").alias("idf"))
+    asked = asked_of(queries, index.analyzer)
+    known = asked.tokens.select("query_id", "term").distinct().join(asked.lookup(index.terms), "term").select("query_id", "term", idf(index.n_docs, F.col("df"), "t").alias("idf"))
     tf, nd = F.col("tf").cast("double"), index.doc_norm(F.col("dl"))
     part = tf * (k + 1) / (tf + k * (1 - b + b * nd))
-    hits = lookup(index.postings, asked).select("term", "doc_id", part.alias("part"))
+    hits = asked.lookup(index.postings).select("term", "doc_id", part.alias("part"))
     return hits.join(known, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
 
 
-def query_pairs(queries: DataFrame, analyzer: Analyzer) -> DataFrame:
+def query_pairs(asked: Asked) -> DataFrame:
     """(query_id, i, j, t1, t2) of query positions i < j with different terms."""
-    q = query_tokens(queries, analyzer)
-    a = q.select("query_id", F.col("pos").alias("i"), F.col("term").alias("t1"))
-    b = q.select("query_id", F.col("pos").alias("j"), F.col("term").alias("t2"))
+    a = asked.tokens.select("query_id", F.col("pos").alias("i"), F.col("term").alias("t1"))
+    b = asked.tokens.select("query_id", F.col("pos").alias("j"), F.col("term").alias("t2"))
     return a.join(b, "query_id").where("i < j and t1 <> t2")
 
 
-def matched_pairs(index: Index, queries: DataFrame) -> DataFrame:
+def matched_pairs(index: Index, queries) -> DataFrame:
     """(query_id, doc_id, dl, i, j, p1, p2): for each pair of query positions, both terms' position lists in each document that has both.
 
     A row is a pair in a document; positions stay in their arrays, so frequent terms make no rows.
     """
     need(index, (PostingType.POSITIONAL,))
-    pairs = query_pairs(queries, index.analyzer)
-    lists = lookup(index.postings, query_tokens(queries, index.analyzer)).select("term", "doc_id", "dl", "positions")
+    asked = asked_of(queries, index.analyzer)
+    lists = asked.lookup(index.postings).select("term", "doc_id", "dl", "positions")
     first = lists.select(F.col("term").alias("t1"), "doc_id", "dl", F.col("positions").alias("p1"))
     second = lists.select(F.col("term").alias("t2"), "doc_id", F.col("positions").alias("p2"))
-    return first.join(pairs, "t1").join(second, ["doc_id", "t2"]).select("query_id", "doc_id", "dl", "i", "j", "p1", "p2")
+    return first.join(query_pairs(asked), "t1").join(second, ["doc_id", "t2"]).select("query_id", "doc_id", "dl", "i", "j", "p1", "p2")
 
 
 def position_pairs(index: Index, queries: DataFrame) -> DataFrame:
@@ -173,6 +191,7 @@ def proximity(index: Index, queries: DataFrame) -> DataFrame:
 
 def bm25_proximity(index: Index, queries: DataFrame, k: float = 0.75, b: float = 0.5) -> DataFrame:
     """BM25 plus the boost, less for long documents. Where all lengths are equal, or the document is the shortest, there is no boost."""
+    queries = asked_of(queries, index.analyzer)
     low, high = index.stats["min_norm"] or 0.0, index.stats["max_norm"] or 0.0
     boosts = proximity(index, queries).where("boost > 0")
     place = (index.doc_norm(F.col("dl")) - low) / F.lit((high - low) or 1.0)
@@ -183,6 +202,7 @@ def bm25_proximity(index: Index, queries: DataFrame, k: float = 0.75, b: float =
 
 def tfidf_proximity(index: Index, queries: DataFrame, schema: str = "lnc.ltc") -> DataFrame:
     """TF-IDF plus a tenth of the boost."""
+    queries = asked_of(queries, index.analyzer)
     boosts = proximity(index, queries).where("boost > 0").select("query_id", "doc_id", "boost")
     return tfidf(index, queries, schema).join(boosts, ["query_id", "doc_id"], "left").select("query_id", "doc_id", (F.col("score") + TFIDF_BOOST * F.coalesce("boost", F.lit(0.0))).alias("score"))
 
