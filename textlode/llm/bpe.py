@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
-from .pretokens import ranks, splitter, vocabulary
+from .common import kept, table
+from .pretokens import pieces, ranks, vocabulary
 
 class RankQueue:
     """Positions by merge rank. Three levels of 64-bit words hold which ranks have entries: 64 ** 3 ranks and one top integer."""
@@ -120,7 +120,7 @@ class Encoder:
     """Whole texts to ids and back. memo: how many pre-tokens are kept with their ids."""
 
     def __init__(self, path: str, pattern: str, memo: int = 1_000_000, longest: int = 64) -> None:
-        self.rank_of, self.split = ranks(path), splitter(pattern).findall
+        self.rank_of, self.split = ranks(path), pieces(pattern)
         self.token = {rank: token for token, rank in self.rank_of.items()}
         self.memo: dict[str, bytes] = {}
         self.size, self.longest = memo, longest
@@ -143,15 +143,8 @@ class Encoder:
         return b"".join([token[x] for x in array("I", ids)])
 
 
-#: One encoder for each vocabulary and pattern in a worker.
-ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, pattern: str) -> Encoder:
-    key = (path, pattern)
-    if key not in ENCODERS:
-        ENCODERS[key] = Encoder(*key)
-    return ENCODERS[key]
+    return kept(("bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
 def by_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -175,12 +168,15 @@ def encode_table(df: DataFrame, path: str, pattern: str, text: str = "text", ids
     return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, f"{types}, `{ids}` binary")
 
 
-def decode_table(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with one more column: the bytes (binary) that the ids stand for. Null ids stay null; an id outside the vocabulary is an error."""
+def decode_table(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", pattern: str = "") -> DataFrame:
+    """df with one more column: the bytes (binary) that the ids stand for. Null ids stay null; an id outside the vocabulary is an error.
+
+    With the pattern that encoded them, workers that do both keep one table.
+    """
     names = [c for c in df.columns if c != out]
 
     def run(batches):
-        decode = encoder(path, "").decode
+        decode = encoder(path, pattern).decode
         for batch in by_slices(batches):
             made = [None if x is None else decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(made, pa.binary())], names=[*names, out])
@@ -197,4 +193,4 @@ def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = encode_table(docs, path, public_tokenizers.PATTERN).drop("text")
     digests = encoded.select("doc_id", "ids", F.octet_length("ids").alias("n"), F.sha2("ids", 256).alias("ids_sha256"))
-    return decode_table(digests, path).select("doc_id", (F.col("n") / 4).cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decode_table(digests, path, pattern=public_tokenizers.PATTERN).select("doc_id", (F.col("n") / 4).cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -1,40 +1,35 @@
-"""What the operators of this subpackage share: places to write, tables to read."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import uuid
-from pathlib import Path
+from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: Used only where the session names no checkpoint folder, as in local tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/textlode"
+from .. import session
+from ..session import park, shared_dir, table
 
+__all__ = ["kept", "park", "shared_dir", "ship", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-        named = LOCAL_CHECKPOINTS
-    return named.rstrip("/")
+#: What this Python worker keeps between tasks: one thing at a time.
+KEPT: dict[tuple, Any] = {}
+#: Rows and bytes of a batch that goes to a Python worker, in place of Spark's defaults: texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
 
 
-def park(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table into the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textlode/{tag}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """The thing of this key, made if the worker does not have it. A worker outlives its tasks and serves one operator
+    after another, so whatever it kept for another key goes."""
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = make()
+    return KEPT[key]
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = f"{root}:{env.get('PYTHONPATH', '')}".rstrip(":")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Let Python workers import this package, and send them small batches where the session has Spark's defaults."""
+    session.ship(spark)
+    for name, (default, own) in BATCH.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, own)

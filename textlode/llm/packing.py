@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import by_slices
-from .common import park, table
+from .common import kept, park, table
 from .pretokens import WORD_PATTERN, is_latin, latin_splitter, vocabulary
 
 CAPACITY = 4096
@@ -77,13 +77,8 @@ class WordEncoder:
         return [array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() if words is None else b"".join(map(memo.__getitem__, words)) for x, words in zip(texts, parted)]
 
 
-ENCODERS: dict[str, WordEncoder] = {}
-
-
 def word_encoder(path: str) -> WordEncoder:
-    if path not in ENCODERS:
-        ENCODERS[path] = WordEncoder(path)
-    return ENCODERS[path]
+    return kept(("words", path), lambda: WordEncoder(path))
 
 
 def tokenised_pieces(df: DataFrame, key: str, text: str, path: str, end: int, capacity: int = CAPACITY) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import by_slices
-from .common import table
+from .common import kept, table
 
 #: Kernel: letters of a subsequence, and the discount of each letter spanned.
 ORDER, DECAY = 3, 0.5
@@ -106,7 +106,7 @@ def sharpened(matches: np.ndarray) -> np.ndarray:
 class Matcher:
     """Best matches of texts with landmarks; memo: how many words are kept with theirs."""
 
-    def __init__(self, landmarks: list[str], own: np.ndarray, memo: int = 1_500_000, longest: int = 64) -> None:
+    def __init__(self, landmarks: list[str], own: np.ndarray, memo: int = 500_000, longest: int = 64) -> None:
         self.marks, self.own = codes(landmarks, max(map(len, landmarks), default=1)), own
         self.lengths = np.array([len(x) for x in landmarks], int)
         alphabet = sorted(set("".join(landmarks)))
@@ -334,11 +334,8 @@ def score_table(df: DataFrame, model: Model | None, text: str = "text", score: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        matcher = MATCHERS.get(tuple(model.landmarks))
-        if matcher is None:
-            MATCHERS.clear()
-            matcher = MATCHERS[tuple(model.landmarks)] = Matcher(model.landmarks, model.own)
-        for batch in by_slices(batches, 1000):
+        matcher = kept(("toxicity", *model.landmarks), lambda: Matcher(model.landmarks, model.own))
+        for batch in by_slices(batches):
             found = model.score(matcher.features([x or "" for x in batch.column(text).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.float64())], names=[*names, score])
 
@@ -346,9 +343,6 @@ def score_table(df: DataFrame, model: Model | None, text: str = "text", score: s
     return kept.mapInArrow(run, f"{types}, `{score}` double")
 
 
-MATCHERS: dict[tuple, Matcher] = {}
-
-
 def held_out(key: str):
     """Documents that are never trained on: a fifth, by the CRC of their ids."""
     return F.crc32(F.col(key).cast("string")) % 5 == 0
