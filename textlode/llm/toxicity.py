@@ -327,9 +327,9 @@ def sample_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
 def score_table(df: DataFrame, model: Model | None, text: str = "text", score: str = "score") -> DataFrame:
     """df with one more column, the score (0 to 1). A null text is scored as an empty one; without a model all scores are 0. A column named like it is replaced."""
     names = [c for c in df.columns if c != score]
-    kept = df.select(*[F.col(f"`{c}`") for c in names])
+    rows = df.select(*[F.col(f"`{c}`") for c in names])
     if model is None:
-        return kept.withColumn(score, F.lit(0.0))
+        return rows.withColumn(score, F.lit(0.0))
     shared = df.sparkSession.sparkContext.broadcast(model)  # some dozens of strings and weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +340,7 @@ def score_table(df: DataFrame, model: Model | None, text: str = "text", score: s
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.float64())], names=[*names, score])
 
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    return kept.mapInArrow(run, f"{types}, `{score}` double")
+    return rows.mapInArrow(run, f"{types}, `{score}` double")
 
 
 def held_out(key: str):
