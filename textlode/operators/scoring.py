@@ -7,8 +7,10 @@ the query terms; those are picked by a pushed-down IN when the terms are few, an
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 from enum import Enum
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ class RankingMethod(Enum):
 
 
 def query_table(spark: SparkSession, queries: list[tuple[int, str]]) -> DataFrame:
-    return spark.createDataFrame(queries, "query_id long, query string")
+    return local(spark, {"query_id": ("long", [i for i, _ in queries]), "query": ("string", [q for _, q in queries])})
 
 
 #: Query tokens up to this many are kept as a local table, so that a search analyses its queries once.
@@ -41,22 +43,46 @@ def query_tokens(queries: DataFrame, analyzer: Analyzer) -> DataFrame:
     return positions(analyze(queries, analyzer, "query_id", "query"), "query_id").select("query_id", "pos", "term")
 
 
+def local(spark: SparkSession, columns: dict[str, tuple[str, list]]) -> DataFrame:
+    """A small table from the driver: a local relation, whose size the planner knows."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    return spark.createDataFrame(pa.table({c: pa.array(v, kinds[t]) for c, (t, v) in columns.items()}))
+
+
 class Asked:
-    """The tokens of a table of queries, and their distinct terms if those are few."""
+    """What a table of queries asks for: counts (query_id, term, qtf) and pairs (query_id, i, j, t1, t2), terms i before j and different.
+
+    Few query tokens are worked on once, on the driver; many stay a plan.
+    """
 
     def __init__(self, queries: DataFrame, analyzer: Analyzer) -> None:
-        self.tokens, self.wanted = query_tokens(queries, analyzer), None
-        rows = self.tokens.limit(LOCAL_TOKENS + 1).collect()
+        spark, tokens = queries.sparkSession, query_tokens(queries, analyzer)
+        rows = tokens.limit(LOCAL_TOKENS + 1).collect()
+        self.wanted: list[str] | None = None
         if len(rows) <= LOCAL_TOKENS:
-            self.tokens = queries.sparkSession.createDataFrame(rows, self.tokens.schema)
+            counts = sorted(Counter((r.query_id, r.term) for r in rows).items())
+            self.counts = local(spark, {"query_id": ("long", [k[0] for k, _ in counts]), "term": ("string", [k[1] for k, _ in counts]), "qtf": ("long", [n for _, n in counts])})
+            by_query = defaultdict(list)
+            for r in sorted(rows):
+                by_query[r.query_id].append((r.pos, r.term))
+            if sum(len(x) ** 2 for x in by_query.values()) <= LOCAL_TOKENS:
+                pairs = [(q, i, j, a, b) for q, found in by_query.items() for i, a in found for j, b in found if i < j and a != b]
+                self.pairs = local(spark, {c: (t, [x[k] for x in pairs]) for k, (c, t) in enumerate((("query_id", "long"), ("i", "int"), ("j", "int"), ("t1", "string"), ("t2", "string")))})
+                tokens = None
             terms = {r.term for r in rows}
             self.wanted = sorted(terms) if len(terms) <= PUSHED_TERMS else None
+        else:
+            self.counts = tokens.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        if tokens is not None:
+            a = tokens.select("query_id", F.col("pos").alias("i"), F.col("term").alias("t1"))
+            b = tokens.select("query_id", F.col("pos").alias("j"), F.col("term").alias("t2"))
+            self.pairs = a.join(b, "query_id").where("i < j and t1 <> t2")
 
     def lookup(self, table: DataFrame) -> DataFrame:
         """Rows of a term-sorted table for the queries' terms."""
         if self.wanted is not None:
             return table.where(F.col("term").isin(self.wanted))
-        return table.join(self.tokens.select("term").distinct(), "term", "left_semi")
+        return table.join(self.counts.select("term").distinct(), "term", "left_semi")
 
 
 def asked_of(queries, analyzer: Analyzer) -> Asked:
@@ -66,8 +92,7 @@ def asked_of(queries, analyzer: Analyzer) -> Asked:
 def unranked(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): every match of every distinct query term with score 0, a document once for each of its terms."""
     asked = asked_of(queries, index.analyzer)
-    terms = asked.tokens.select("query_id", "term").distinct()
-    return asked.lookup(index.postings).join(terms, "term").select("query_id", "doc_id", F.lit(0.0).alias("score"))
+    return asked.lookup(index.postings).join(asked.counts, "term").select("query_id", "doc_id", F.lit(0.0).alias("score"))
 
 
 def idf(n_docs: int, df: Column, letter: str) -> Column:
@@ -121,7 +146,7 @@ def tfidf(index: Index, queries: DataFrame, schema: str = "lnc.ltc") -> DataFram
     need(index, COUNTED)
     asked = asked_of(queries, index.analyzer)
     known = asked.lookup(index.terms)
-    weights = asked.tokens.groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(known, "term").select("query_id", "term", (damp(F.col("qtf"), query[0]) * idf(index.n_docs, F.col("df"), query[1])).alias("raw"), idf(index.n_docs, F.col("df"), doc[1]).alias("idf"))
+    weights = asked.counts.join(known, "term").select("query_id", "term", (damp(F.col("qtf"), query[0]) * idf(index.n_docs, F.col("df"), query[1])).alias("raw"), idf(index.n_docs, F.col("df"), doc[1]).alias("idf"))
     if query[2] == "c":
         norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
         weights = weights.withColumn("qw", F.when(norm > 0, F.col("raw") / norm).otherwise(0.0))
@@ -135,20 +160,13 @@ def bm25(index: Index, queries: DataFrame, k: float = 0.75, b: float = 0.5) -> D
     """(query_id, doc_id, score). A term counts once however often the query repeats it."""
     need(index, COUNTED)
     asked = asked_of(queries, index.analyzer)
-    known = asked.tokens.select("query_id", "term").distinct().join(asked.lookup(index.terms), "term").select("query_id", "term", idf(index.n_docs, F.col("df"), "t").alias("idf"))
+    known = asked.counts.join(asked.lookup(index.terms), "term").select("query_id", "term", idf(index.n_docs, F.col("df"), "t").alias("idf"))
     tf, nd = F.col("tf").cast("double"), index.doc_norm(F.col("dl"))
     part = tf * (k + 1) / (tf + k * (1 - b + b * nd))
     hits = asked.lookup(index.postings).select("term", "doc_id", part.alias("part"))
     return hits.join(known, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
 
 
-def query_pairs(asked: Asked) -> DataFrame:
-    """(query_id, i, j, t1, t2) of query positions i < j with different terms."""
-    a = asked.tokens.select("query_id", F.col("pos").alias("i"), F.col("term").alias("t1"))
-    b = asked.tokens.select("query_id", F.col("pos").alias("j"), F.col("term").alias("t2"))
-    return a.join(b, "query_id").where("i < j and t1 <> t2")
-
-
 def matched_pairs(index: Index, queries) -> DataFrame:
     """(query_id, doc_id, dl, i, j, p1, p2): for each pair of query positions, both terms' position lists in each document that has both.
 
@@ -159,7 +177,7 @@ def matched_pairs(index: Index, queries) -> DataFrame:
     lists = asked.lookup(index.postings).select("term", "doc_id", "dl", "positions")
     first = lists.select(F.col("term").alias("t1"), "doc_id", "dl", F.col("positions").alias("p1"))
     second = lists.select(F.col("term").alias("t2"), "doc_id", F.col("positions").alias("p2"))
-    return first.join(query_pairs(asked), "t1").join(second, ["doc_id", "t2"]).select("query_id", "doc_id", "dl", "i", "j", "p1", "p2")
+    return first.join(asked.pairs, "t1").join(second, ["doc_id", "t2"]).select("query_id", "doc_id", "dl", "i", "j", "p1", "p2")
 
 
 def position_pairs(index: Index, queries: DataFrame) -> DataFrame:
