@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, html_text, jaccard_join, packing, quality_rules, sharding, token_counts, toxicity, url_filters
+from . import ann, bpe, html_text, jaccard_join, oracle, packing, quality_rules, sharding, token_counts, toxicity, url_filters
 from .common import ship
 
 QUERIES = {
@@ -31,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filters": url_filters.OP9_SQL}
+    return dict(oracle.SQL)
