@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlode.functions.analysis import STOP_WORDS, Analyzer, analyze, positions
-from textlode.functions.stem import english
+from textlode.functions.stem import STEMMERS, english
 
 
 def tokens(spark, text, analyzer=Analyzer()):
@@ -68,3 +68,16 @@ def test_one_scan_of_the_text(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = positions(analyze(docs, Analyzer())).groupBy("term").agg(F.count("*"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+@pytest.mark.parametrize(
+    ("language", "words"),
+    [
+        ("german", {"aufeinander": "aufeinand", "aufeinanderfolgen": "aufeinanderfolg", "katers": "kat", "katze": "katz", "kategorischen": "kategor", "häuser": "haus", "straße": "strass", "freundlichkeit": "freundlich", "verhältnisse": "verhaltnis", "schönste": "schon"}),
+        ("swedish", {"jaktkarlarne": "jaktkarl", "klostergården": "klostergård", "klokhetens": "klok", "friskt": "frisk", "hopplöst": "hopplös"}),
+        ("norwegian", {"havnedistriktene": "havnedistrikt", "opningen": "opning", "havnemyndighetene": "havnemynd", "oppdraget": "oppdrag"}),
+        ("danish", {"undersøgelse": "undersøg", "indtagelse": "indtag", "indtog": "indtog", "underskovs": "underskov"}),
+    ],
+)
+def test_other_stemmers(language, words):
+    assert {w: STEMMERS[language](w) for w in words} == words

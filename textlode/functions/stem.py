@@ -1,4 +1,4 @@
-"""The English Snowball stemmer (Porter2), from its published description, and its application to distinct terms."""
+"""Snowball stemmers from their published descriptions, and their application to distinct terms."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-LANGUAGES = ("english",)
-
 VOWELS = frozenset("aeiouy")
 #: Fixed values of the description: doubles, letters before a removable "li", exceptions.
 DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
@@ -30,11 +28,6 @@ STEP3 = (("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"
 STEP4 = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic")
 
 
-def check_language(language: str | None) -> None:
-    if language is not None and language not in LANGUAGES:
-        raise ValueError(f"no stemmer for {language!r}; there is one for {', '.join(LANGUAGES)}")
-
-
 def region(word: str, start: int) -> int:
     """Where the region after the first non-vowel that follows a vowel begins, from start on."""
     for i in range(start + 1, len(word)):
@@ -137,12 +130,132 @@ def english(word: str) -> str:
     return word.replace("Y", "y")
 
 
-@F.pandas_udf(StringType())
-def stem_english(terms: pd.Series) -> pd.Series:
-    return terms.map(english)
+def longest(word: str, suffixes: tuple[str, ...], start: int) -> str:
+    """The longest of the suffixes that lies in the region from start on; empty if none does."""
+    return max((x for x in suffixes if word.endswith(x) and len(word) - len(x) >= start), key=len, default="")
+
+
+def first_region(word: str, vowels: frozenset[str]) -> int:
+    """Where the first region begins, with three letters before it at least."""
+    for i in range(1, len(word)):
+        if word[i] not in vowels and word[i - 1] in vowels:
+            return max(3, i + 1)
+    return len(word)
+
+
+#: Fixed values of the descriptions.
+SWEDISH = {
+    "vowels": frozenset("aeiouyäåö"), "s": frozenset("bcdfghjklmnoprtvy"),
+    "1": tuple("a arna erna heterna orna ad e ade ande arne are aste en anden aren heten ern ar er heter or as arnas ernas ornas es ades andes ens arens hetens erns at andet het ast".split()),
+    "2": tuple("dd gd nn dt gt kt tt".split()), "3": ("lig", "ig", "els"), "cut": {"löst": 1, "fullt": 1},
+}
+NORWEGIAN = {
+    "vowels": frozenset("aeiouyæåø"), "s": frozenset("bcdfghjlmnoprtvyz"),
+    "1": tuple("a e ede ande ende ane ene hetene en heten ar er heter as es edes endes enes hetenes ens hetens ers ets et het ast".split()),
+    "2": ("dt", "vt"), "3": tuple("leg eleg ig eig lig elig els lov elov slov hetslov".split()), "cut": {},
+}
+DANISH = {
+    "vowels": frozenset("aeiouyæåø"), "s": frozenset("abcdfghjklmnoprtvyzå"),
+    "1": tuple("hed ethed ered e erede ende erende ene erne ere en heden eren er heder erer heds es endes erendes enes ernes eres ens hedens erens ers ets erets et eret".split()),
+    "2": ("gd", "dt", "gt", "kt"), "3": ("ig", "lig", "elig", "els"), "cut": {"løst": 1},
+}
+
+
+def nordic(word: str, rules: dict) -> str:
+    """The shared frame of the Swedish, Norwegian and Danish stemmers."""
+    word, vowels = word.lower(), rules["vowels"]
+    r1 = first_region(word, vowels)
+    extra = ("erte", "ert") if rules is NORWEGIAN else ()
+    found = longest(word, (*rules["1"], "s", *extra), r1)
+    if found in extra and found:
+        word = word[: -len(found)] + "er"
+    elif found == "s":
+        before = word[-2:-1]
+        if before in rules["s"] or (rules is NORWEGIAN and before == "k" and word[-3:-2] not in vowels and len(word) > 2):
+            word = word[:-1]
+    elif found:
+        word = word[: -len(found)]
+
+    def pair(word: str) -> str:
+        return word[:-1] if longest(word, rules["2"], r1) else word
+
+    word = pair(word)
+    if rules is DANISH and word.endswith("igst"):
+        word = word[:-2]
+    found = longest(word, (*rules["3"], *rules["cut"]), r1)
+    if found in rules["cut"]:
+        word = word[: -rules["cut"][found]]
+    elif found:
+        word = word[: -len(found)]
+        word = pair(word) if rules is DANISH else word
+    if rules is DANISH and len(word) >= 2 and word[-1] == word[-2] and word[-1] not in vowels and len(word) - 1 >= r1:
+        word = word[:-1]
+    return word
+
+
+#: Fixed values of the German description.
+GERMAN_VOWELS, GERMAN_S, GERMAN_ST = frozenset("aeiouyäöü"), frozenset("bdfghklmnrt"), frozenset("bdfghklmnt")
+
+
+def german(word: str) -> str:
+    word = word.lower().replace("ß", "ss")
+    word = "".join(c.upper() if c in "uy" and 0 < i < len(word) - 1 and word[i - 1] in GERMAN_VOWELS and word[i + 1] in GERMAN_VOWELS else c for i, c in enumerate(word))
+    r1 = next((i + 1 for i in range(1, len(word)) if word[i] not in GERMAN_VOWELS and word[i - 1] in GERMAN_VOWELS), len(word))
+    r2 = next((i + 1 for i in range(r1 + 1, len(word)) if word[i] not in GERMAN_VOWELS and word[i - 1] in GERMAN_VOWELS), len(word))
+    r1 = max(3, r1)
+    found = longest(word, ("em", "ern", "er", "e", "en", "es", "s"), 0)
+    if found and len(word) - len(found) >= r1:
+        if found != "s":
+            word = word[: -len(found)]
+            if found in ("e", "en", "es") and word.endswith("niss"):
+                word = word[:-1]
+        elif word[-2:-1] in GERMAN_S:
+            word = word[:-1]
+    found = longest(word, ("en", "er", "est", "st"), 0)
+    if found and len(word) - len(found) >= r1 and (found != "st" or (word[-3:-2] in GERMAN_ST and len(word) >= 6)):
+        word = word[: -len(found)]
+    found = longest(word, ("end", "ung", "ig", "ik", "isch", "lich", "heit", "keit"), 0)
+    stem = word[: len(word) - len(found)] if found else word
+    if found and len(stem) >= r2:
+        if found in ("end", "ung"):
+            word = stem
+            if word.endswith("ig") and len(word) - 2 >= r2 and word[-3:-2] != "e":
+                word = word[:-2]
+        elif found in ("ig", "ik", "isch"):
+            word = stem if stem[-1:] != "e" else word
+        elif found in ("lich", "heit"):
+            word = stem
+            if word.endswith(("er", "en")) and len(word) - 2 >= r1:
+                word = word[:-2]
+        else:
+            word = stem
+            for suffix in ("lich", "ig"):
+                if word.endswith(suffix) and len(word) - len(suffix) >= r2:
+                    word = word[: -len(suffix)]
+                    break
+    return word.replace("U", "u").replace("Y", "y").translate(str.maketrans("äöü", "aou"))
+
+
+STEMMERS = {
+    "english": english,
+    "german": german,
+    "swedish": lambda word: nordic(word, SWEDISH),
+    "norwegian": lambda word: nordic(word, NORWEGIAN),
+    "danish": lambda word: nordic(word, DANISH),
+}
+
+
+def check_language(language: str | None) -> None:
+    if language is not None and language not in STEMMERS:
+        raise ValueError(f"no stemmer for {language!r}; there is one for {', '.join(STEMMERS)}")
 
 
 def stem_terms(terms: DataFrame, language: str = "english") -> DataFrame:
     """(term, stem) of distinct terms."""
     check_language(language)
-    return terms.select("term").distinct().select("term", stem_english("term").alias("stem"))
+
+    @F.pandas_udf(StringType())
+    def stem(column: pd.Series) -> pd.Series:
+        return column.map(STEMMERS[language])
+
+    return terms.select("term").distinct().select("term", stem("term").alias("stem"))
