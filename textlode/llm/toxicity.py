@@ -34,7 +34,7 @@ TOXIC_LANDMARKS, PLAIN_LANDMARKS, SHORTEST, LONGEST = 64, 16, 4, 8
 #: Longer runs of letters are scored in windows of this many that overlap by half.
 WINDOW = 32
 #: The bound of the training sample: labelled documents of either class.
-SAMPLE = {1: 1500, 0: 3000}
+SAMPLE = {1: 1200, 0: 2400}
 NO_LETTERS = re.compile(r"[\W\d_]+")
 #: Marks of a word's start and end, letters like any other; and the power that tells whole matches from partial ones.
 START, END, SHARP = "<", ">", 6
@@ -211,18 +211,18 @@ def choose_landmarks(toxic: list[str], clean: list[str]) -> list[str]:
     for found in toxic_bags:
         bound[list({hash(run) & mask for w in found for run in letter_runs(w)})] += 1
 
-    def counted(bags) -> Counter:
+    def counted(bags, likely) -> Counter:
         out: Counter = Counter()
-        known: dict[str, list[str]] = {}
+        known: dict[str, tuple[str, ...]] = {}
         for found in bags:
             for w in found:
                 if w not in known:
-                    known[w] = [run for run in letter_runs(w) if bound[hash(run) & mask] >= floor]
+                    known[w] = tuple(run for run in letter_runs(w) if likely(run))
             out.update({run for w in found for run in known[w]})
         return out
 
-    n_toxic = {run: n for run, n in counted(toxic_bags).items() if n >= floor}
-    n_clean = counted(map(bag, clean))
+    n_toxic = {run: n for run, n in counted(toxic_bags, lambda run: bound[hash(run) & mask] >= floor).items() if n >= floor}
+    n_clean = counted(map(bag, clean), n_toxic.__contains__)
     # the log-likelihood ratio of a run's toxic documents
     share = len(toxic) / (len(toxic) + len(clean))
     worth = {run: n * np.log(n / (share * (n + n_clean[run]))) for run, n in n_toxic.items()}
