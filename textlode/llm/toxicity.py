@@ -3,8 +3,8 @@
 A document is a bag of words. A word is compared with a few dozen landmark strings by the gapped
 subsequence kernel: all common subsequences of three letters count, each gap at a discount, so
 insults with letters or signs put in between still match. A document's features are its best match
-with each landmark, whitened by the landmarks' own kernel matrix (Nystrom), and the score is the
-calibrated margin of a linear machine trained on labelled documents.
+with each landmark and how many of its words match, whitened by the landmarks' own kernel matrix
+(Nystrom), and the score is the calibrated margin of a linear machine trained on labelled documents.
 
 Landmarks are drawn from letter runs that set toxic training documents apart, and from ordinary words.
 Training takes a bounded sample of labelled documents, by digest of their ids; scoring takes every
@@ -98,9 +98,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def sharpened(matches: np.ndarray) -> np.ndarray:
-    """Matches, and their high powers: near 1 for a whole landmark, near 0 for parts of one."""
-    return np.hstack([matches, matches**SHARP])
+def sharpened(features: np.ndarray) -> np.ndarray:
+    """Best matches, their high powers (near 1 for a whole landmark, near 0 for parts of one), and how many words match."""
+    best, count = np.hsplit(features, 2)
+    return np.hstack([best, best**SHARP, count])
 
 
 class Matcher:
@@ -169,7 +170,7 @@ class Matcher:
         return {w: known.get(x) or self.known.get(x, 0) for w, x in zip(words, letters)}
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """The best match of each text with each landmark."""
+        """The best match of each text with each landmark; and log(1 + the sum over its distinct words of their sharpened matches)."""
         bags = []
         for x in texts:
             low = x.lower()
@@ -184,11 +185,14 @@ class Matcher:
         found = self.learn(new)
         long = {k: v for k, v in found.items() if len(k) > self.longest}
         memo.update(found)
-        out = np.zeros((len(texts), len(self.own)), np.float32)
+        n = len(self.own)
+        out = np.zeros((len(texts), 2 * n), np.float32)
         for i, bag in enumerate(bags):
-            rows = {memo[w] for w in bag} - {0}
+            rows = [k for k in map(memo.__getitem__, bag) if k]
             if rows:
-                out[i] = np.max([self.rows[k] for k in rows], axis=0)
+                found = np.array([self.rows[k] for k in rows])
+                out[i, :n] = found.max(0)
+                out[i, n:] = np.log1p((found**SHARP).sum(0))
         for k in long:  # rare, and would make the memo's bound in bytes moot
             del memo[k]
         return out
@@ -283,7 +287,7 @@ def train(toxic: list[str], clean: list[str]) -> Model | None:
     # Nystrom: features whitened by the landmarks' normalised kernel matrix, folded into the weights
     values, vectors = np.linalg.eigh(kernel / np.sqrt(np.outer(own, own)) + 1e-2 * np.eye(len(marks)))
     half = vectors @ np.diag(np.maximum(values, 1e-2) ** -0.5) @ vectors.T
-    white = np.kron(np.eye(2), half)  # alike for the matches and their powers
+    white = np.kron(np.eye(3), half)  # alike for the matches, their powers and counts
     weight = np.where(y > 0, len(y) / (2 * len(toxic)), len(y) / (2 * len(clean)))
     beta = squared_hinge(x @ white, y, weight)
     margin = x @ white @ beta[:-1] + beta[-1]
