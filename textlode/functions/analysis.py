@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stem import check_language, stem_terms
+
 #: The 32 signs that become spaces.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -37,8 +39,6 @@ class Analyzer:
     language: str | None = None
 
     def __post_init__(self) -> None:
-        from .stem import check_language
-
         check_language(self.language)
 
     def tokens(self, text: Column) -> Column:
@@ -75,8 +75,6 @@ def analyze(docs: DataFrame, analyzer: Analyzer, key: str = "doc_id", text: str
     rows = docs.select(F.col(key), analyzer.tokens(F.col(text)).alias("tokens"))
     if analyzer.language is None:
         return rows
-    from .stem import stem_terms
-
     spots = positions(rows, key)
     stems = stem_terms(spots.select("term").distinct(), analyzer.language)
     stemmed = spots.join(stems, "term").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "stem"))), lambda x: x["stem"]).alias("tokens"))
