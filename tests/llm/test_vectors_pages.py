@@ -115,6 +115,7 @@ def text_of(page):
         ("<article><p><b>a<br><p>b</p></article><div class=ad>x</div>", "a b"),
         ("<article><a title='x > y'>l</a> <img alt='>'> z</article>", "l z"),
         ("<article><ul><li>one<li>two</ul></article>", "one two"),
+        ("<div class='main-header'>h</div><div id='post-12'><h1>T</h1>a<div class='related posts'>r</div></div><div>x</div>", "T a"),
     ],
 )
 def test_blocks(page, text):
