@@ -45,11 +45,14 @@ class WordEncoder:
         self.memo: dict[str, bytes] = {}
         self.size, self.longest = memo, longest
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.memo]
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Put unseen words into the memo; long ones, which are rare and would make its bound in bytes moot, are returned instead."""
+        new = words.difference(self.memo)
         if len(self.memo) + len(new) > self.size:
             self.memo.clear()
-            new = list(words)
+            new = words
+        long = {w for w in new if len(w) > self.longest}
+        new = list(new - long)
         for start in range(0, len(new), 5000):
             part = new[start : start + 5000]
             # each word is a pre-token of its own, so a line of them is parted just where they were joined
@@ -62,6 +65,10 @@ class WordEncoder:
             for w, end in zip(part, (4 * ends).tolist()):
                 self.memo[w] = data[at:end]
                 at = end
+        return {w: self.plain(w) for w in long}
+
+    def plain(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -69,12 +76,17 @@ class WordEncoder:
         seen: set[str] = set()
         for words in parted:
             seen.update(words or ())
-        long = {w for w in seen if len(w) > self.longest}  # rare; would make the memo's bound in bytes moot
-        self.learn(seen - long)
-        memo = self.memo
-        if long:
-            memo = memo | {w: array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in long}
-        return [array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() if words is None else b"".join(map(memo.__getitem__, words)) for x, words in zip(texts, parted)]
+        long = self.learn(seen)
+        memo, out = self.memo, []
+        for x, words in zip(texts, parted):
+            if words is None:
+                out.append(self.plain(x))
+                continue
+            try:
+                out.append(b"".join(map(memo.__getitem__, words)))
+            except KeyError:
+                out.append(b"".join([memo[w] if w in memo else long[w] for w in words]))
+        return out
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -87,7 +99,7 @@ def tokenised_pieces(df: DataFrame, key: str, text: str, path: str, end: int, ca
     tail, step = array("I", [end]).tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_slices(batches, 200):
+        for batch in by_slices(batches):
             encode = word_encoder(path).encode
             keys, rows = batch.column("k"), []
             for i, ids in enumerate(encode([x or "" for x in batch.column("t").to_pylist()])):
