@@ -177,6 +177,16 @@ def test_verdicts(spark, monkeypatch):
     assert qr.judge(odd.table(spark), ["doc_id"]).count() == odd.table(spark).count()
 
 
+def test_line_with_the_longest_word_of_all(spark):
+    """Documents are distinct by their whole text, whatever their longest word; copies count once."""
+    line = "see https://example.org/licences/of-this-and-that/by-nobody-in-particular.html for these"
+    rows = [(i, f"{line}\nu{i} v{i} w{i} x{i} y{i} z{i}", "h") for i in range(30)]
+    rows += [(100 + i, f"  One COPY\n\nof copies{' ' * i} with a line of ten words and more than that", "h") for i in range(30)]
+    rows += [(200, f"{line}\n" + " ".join(f"k{k}" for k in range(12)), "h")]
+    got = {r.doc_id: (r.words_left, r.kept) for r in qr.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"]).collect()}
+    assert got == {**{i: (6, False) for i in range(30)}, **{100 + i: (14, True) for i in range(30)}, 200: (12, True)}
+
+
 def test_quality_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     expected = brute_verdicts([(d.text, d.source) for d in docs], qr.Rules())

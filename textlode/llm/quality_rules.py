@@ -5,9 +5,9 @@ normalised lines (lower case, single spaces). Digests are counted per host over
 documents, pre-aggregated before each exchange. A line above the limits is removed, and a
 document with too few words left is depleted and rejected.
 
-Distinct documents are told apart by a fingerprint, their first longest word, so that exact
-and near copies of one document count once: a family of copies does not turn its own lines
-into boilerplate.
+Distinct documents are told apart by a fingerprint, the digest of their whole text in normalised
+lines, so that copies of one document count once: a family of copies does not turn its own lines
+into boilerplate. Near copies are documents of their own.
 """
 
 from __future__ import annotations
@@ -82,16 +82,18 @@ def measure(text: str | None) -> tuple:
     text = text or ""
     words = text.encode().split()  # bytes split at exactly SPACES
     lines: dict[int, int] = {}
-    seen, dup = set(), 0
+    seen, dup, whole = set(), 0, xxhash.xxh64()
     for line in text.split("\n"):
         if line.strip(SPACES):
             dup += line in seen
             seen.add(line)
             parts = line.lower().encode().split()
-            key = digest(b" ".join(parts))
+            norm = b" ".join(parts)
+            whole.update(norm + b" ")
+            key = digest(norm)
             lines[key] = lines.get(key, 0) + len(parts)
     chars = len(text) - sum(map(text.count, SPACES))
-    return len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(words), digest(max(words, key=len)) if words else None, list(lines.items())
+    return len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(words), whole.intdigest() - 2**63 if words else None, list(lines.items())
 
 
 MEASURED = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("_tl_print", pa.int64()), ("_tl_lines", pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())])))])
