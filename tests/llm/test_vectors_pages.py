@@ -179,6 +179,20 @@ def test_runs_that_repeat_only_across_parts(spark, monkeypatch):
     assert got == {i: f"own{i} text{i} of{i}" for i in range(6)}
 
 
+@pytest.mark.parametrize("part", [256, 4, 1])
+def test_runs_across_blocks_in_any_parts(spark, monkeypatch, part):
+    """Short list items, runs over a block's border and runs from a menu into open text go, whatever the parts."""
+    monkeypatch.setattr(ht, "PART_PAGES", part)
+    items = "".join(f"<li>link{i} to{i}</li>" for i in range(6))
+    rows = []
+    for i in range(6):
+        own = " ".join(f"own{i}x{k}" for k in range(9))
+        rows.append((i, "http://h.org/", f"<ul>{items}</ul><p>{own}</p><p>a b c d e</p><p>f g h {own} y</p><nav>m n o p q r s</nav><p>t {own} z</p>", f"{own} {own} {own} z"))
+    rows += [(9, "http://h.org/", f"<article>main</article><ul>{items}</ul>", "main")]
+    got = {r.page_id: r.text for r in ht.main_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string"), ["page_id", "url"]).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
 def test_odd_pages(spark):
     rows = [(None, None, None), (1, "nonsense", ""), (1, "nonsense", ""), (2, None, "<p>" + odd.LONG), (3, "http://x/", "<article>\u0000 z</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -9,8 +9,9 @@ doubling up to RUN tokens: a run of RUN tokens or more that stands on two distin
 covered tokens are removed and unique runs stay. Pages with the same stream are one page here, so that
 copies do not erase each other. An article's own text is never removed, repeated or not.
 
-A host's pages are dealt in parts of bounded size, each with an array of its own; runs of open text that
-repeat only across parts are found by their digests, counted over the host.
+A host's pages are dealt in parts of bounded size, each with an array of its own; runs that repeat only
+across parts are found by their digests, counted over the host. Both see a page's whole stream outside
+articles, so that runs cross block borders and the number of parts changes no text.
 """
 
 from __future__ import annotations
@@ -179,8 +180,10 @@ def digests(words: list[str]) -> list[int]:
     return [xxhash.xxh64_intdigest(" ".join(words[i : i + RUN])) - 2**63 for i in range(len(words) - RUN + 1)]
 
 
-def judge_array(hosts: list[str], articles: list[bool], parsed: list[list[tuple[int, str]]]) -> list[dict]:
-    """For each page, from its blocks outside articles: open blocks as words with marks of cover, a digest of its stream, digests of runs."""
+def judge_array(hosts: list[str], articles: list[bool], whole: list[bool], parsed: list[list[tuple[int, str]]]) -> list[dict]:
+    """For each page, from its blocks outside articles: open blocks as words with marks of cover and their place in the stream,
+    a digest of the stream, and digests of all its runs: of those that touch an open block (asks, beginning at `spots`), and the rest.
+    whole: the pages whose runs are looked for beyond this array; others have no digests."""
     numbers: dict[tuple[str, str], int] = {}
     tokens, pages, streams, where = [], [], [], []
     for p, (host, found) in enumerate(zip(hosts, parsed)):
@@ -193,26 +196,29 @@ def judge_array(hosts: list[str], articles: list[bool], parsed: list[list[tuple[
     covered = repeated(np.array(tokens, np.int64), np.array(pages, np.int64)) if tokens else np.zeros(0, bool)
     out = []
     for p, found in enumerate(parsed):
-        at, opened, rest = where[p], [], []
+        at, opened, stream = 0, [], []
         for role, text in found:
             words = text.split(" ")
             if role == OPEN and not articles[p]:
-                opened.append({"words": words, "covered": covered[at : at + len(words)].tolist()})
-            else:
-                rest += digests(words)
+                opened.append({"words": words, "covered": covered[where[p] + at : where[p] + at + len(words)].tolist(), "at": at})
+            stream += words
             at += len(words)
-        out.append({"opened": opened, "stream": streams[p], "rest": rest, "asks": sorted({d for block in opened for d in digests(block["words"])})})
+        runs = digests(stream) if whole[p] else []
+        touches = np.zeros(len(runs), bool)
+        for block in opened:
+            touches[max(0, block["at"] - RUN + 1) : block["at"] + len(block["words"])] = True
+        spots = np.flatnonzero(touches).tolist()
+        out.append({"opened": opened, "stream": streams[p], "rest": [d for d, t in zip(runs, touches) if not t], "asks": [runs[i] for i in spots], "spots": spots})
     return out
 
 
-def unique_runs(opened: list[dict], seen: set[int]) -> str:
-    """The text of open blocks without covered tokens, nor runs whose digest is in `seen`."""
+def unique_runs(opened: list[dict], asks: list[int], spots: list[int], seen: set[int]) -> str:
+    """The text of open blocks without covered tokens, nor runs of `asks` whose digest is in `seen`."""
     kept = []
+    gone = {i + k for i, d in zip(spots, asks) if d in seen for k in range(RUN)}
     for block in opened:
-        words, covered = block["words"], list(block["covered"])
-        for i, d in enumerate(digests(words)):
-            if d in seen:
-                covered[i : i + RUN] = [True] * RUN
+        words = block["words"]
+        covered = [c or i in gone for i, c in enumerate(block["covered"], block["at"])]
         if not any(covered):
             kept += words
             continue
@@ -228,10 +234,10 @@ def unique_runs(opened: list[dict], seen: set[int]) -> str:
 
 #: What an array leaves of each page.
 JUDGED = {
-    "row": pa.int64(), "host": pa.string(), "opened": pa.list_(pa.struct([("words", pa.list_(pa.string())), ("covered", pa.list_(pa.bool_()))])),
-    "stream": pa.int64(), "rest": pa.list_(pa.int64()), "asks": pa.list_(pa.int64()), "parts": pa.int32(),
+    "row": pa.int64(), "host": pa.string(), "opened": pa.list_(pa.struct([("words", pa.list_(pa.string())), ("covered", pa.list_(pa.bool_())), ("at", pa.int32())])),
+    "stream": pa.int64(), "rest": pa.list_(pa.int64()), "asks": pa.list_(pa.int64()), "spots": pa.list_(pa.int32()), "parts": pa.int32(),
 }
-JUDGED_DDL = "row long, host string, opened array<struct<words: array<string>, covered: array<boolean>>>, stream long, rest array<long>, asks array<long>, parts int"
+JUDGED_DDL = "row long, host string, opened array<struct<words: array<string>, covered: array<boolean>, at: int>>, stream long, rest array<long>, asks array<long>, spots array<int>, parts int"
 
 
 def judged_pages(parsed: DataFrame) -> DataFrame:
@@ -241,11 +247,9 @@ def judged_pages(parsed: DataFrame) -> DataFrame:
         held, chars, last = [], 0, None
 
         def out() -> pa.RecordBatch:
-            judged = judge_array([x[1] for x in held], [x[2] for x in held], [x[4] for x in held])
+            judged = judge_array([x[1] for x in held], [x[2] for x in held], [x[3] > 1 for x in held], [x[4] for x in held])
             for j, (row, host, _, parts, _) in zip(judged, held):
                 j |= {"row": row, "host": host, "parts": parts}
-                if parts == 1:  # nothing to look for beyond this array
-                    j["rest"], j["asks"] = [], []
             return pa.RecordBatch.from_arrays([pa.array([j[c] for j in judged], t) for c, t in JUDGED.items()], names=list(JUDGED))
 
         for batch in by_slices(batches, 200):
@@ -266,13 +270,13 @@ def judged_pages(parsed: DataFrame) -> DataFrame:
 def assembled(pages: DataFrame, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_slices(batches, 200):
-            opened = batch.column("opened").to_pylist()
-            texts = [unique_runs(o, set(s or ())) for o, s in zip(opened, batch.column("seen").to_pylist())]
+            opened, asks, spots, seen = (batch.column(c).to_pylist() for c in ("opened", "asks", "spots", "seen"))
+            texts = [unique_runs(o, a, i, set(s or ())) for o, a, i, s in zip(opened, asks, spots, seen)]
             removed = [sum(len(x["words"]) for x in o) - len(t.split(" ") if t else ()) for o, t in zip(opened, texts)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=[*keys, "text", "n_removed"])
 
     types = "".join(f"{k} {pages.schema[k].dataType.simpleString()}, " for k in keys)
-    return pages.select(*keys, "opened", "seen").mapInArrow(run, f"{types}text string, n_removed long")
+    return pages.select(*keys, "opened", "asks", "spots", "seen").mapInArrow(run, f"{types}text string, n_removed long")
 
 
 def main_text(df: DataFrame, keys: list[str], url: str = "url", page: str = "html") -> DataFrame:
@@ -294,9 +298,9 @@ def main_text(df: DataFrame, keys: list[str], url: str = "url", page: str = "htm
     placed = placed.withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int"))
     dealt = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "host", "part").sortWithinPartitions("host", "part", "row")
     judged = park(judged_pages(dealt), "judged")
-    # runs of open text that repeat across the parts of a host
+    # runs that touch open text and repeat across the parts of a host
     divided = judged.where("parts > 1")
-    asked = divided.select("row", "host", "stream", F.explode("asks").alias("d"))
+    asked = divided.select("row", "host", "stream", F.explode(F.array_distinct("asks")).alias("d"))
     if asked.isEmpty():
         judged = judged.withColumn("seen", F.lit(None).cast("array<long>"))
     else:
@@ -304,7 +308,7 @@ def main_text(df: DataFrame, keys: list[str], url: str = "url", page: str = "htm
         often = told.groupBy("host", "d").agg(F.min("stream").alias("a"), F.max("stream").alias("b")).where("a <> b").select("host", "d")
         judged = judged.join(asked.join(often, ["host", "d"]).groupBy("row").agg(F.collect_set("d").alias("seen")), "row", "left")
     settled = parsed.where("article").select(*names, F.col("main").alias("text"), F.lit(0).cast("long").alias("n_removed"))
-    opened = parsed.where("not article").select("row", *names).join(judged.select("row", "opened", "seen"), "row")
+    opened = parsed.where("not article").select("row", *names).join(judged.select("row", "opened", "asks", "spots", "seen"), "row")
     whole = settled.unionByName(assembled(opened, list(names)))
     return whole.select(*[F.col(n).alias(k) for n, k in names.items()], "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
 
