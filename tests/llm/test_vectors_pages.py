@@ -193,6 +193,13 @@ def test_runs_across_blocks_in_any_parts(spark, monkeypatch, part):
     assert got == {r[0]: r[3] for r in rows}
 
 
+def test_short_unique_runs_stay():
+    sentence = "we are very glad to greet our guest {} who came from far away to see us all"
+    pages = [[(ht.OPEN, sentence.format(name))] for name in ("Ann", "Bob Lee", "Eve")]
+    judged = ht.judge_array(["h"] * 3, [False] * 3, [False] * 3, pages)
+    assert [ht.unique_runs(j["opened"], j["asks"], j["spots"], set()) for j in judged] == ["Ann", "Bob Lee", "Eve"]
+
+
 def test_odd_pages(spark):
     rows = [(None, None, None), (1, "nonsense", ""), (1, "nonsense", ""), (2, None, "<p>" + odd.LONG), (3, "http://x/", "<article>\u0000 z</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -33,8 +33,6 @@ from .url_filters import url_host
 RUN = 8
 #: Pages of a host in one suffix array, and the characters that one array is filled up to.
 PART_PAGES, ARRAY_CHARS = 256, 4_000_000
-#: Unique runs of a partly covered block shorter than this are fragments of boilerplate.
-LEAST_RUN = 3
 BROADCAST_HOSTS = 100_000
 
 #: What HTML elements are.
@@ -219,16 +217,7 @@ def unique_runs(opened: list[dict], asks: list[int], spots: list[int], seen: set
     for block in opened:
         words = block["words"]
         covered = [c or i in gone for i, c in enumerate(block["covered"], block["at"])]
-        if not any(covered):
-            kept += words
-            continue
-        run: list[str] = []
-        for w, c in zip([*words, ""], [*covered, True]):
-            if not c:
-                run.append(w)
-            elif run:
-                kept += run if len(run) >= LEAST_RUN else []
-                run = []
+        kept += [w for w, c in zip(words, covered) if not c]
     return " ".join(kept)
 
 
