@@ -19,9 +19,9 @@ def shingles(text):
 
 
 def brute_join(texts):
-    """(class, links) of each row number, by comparing all pairs."""
+    """(class, copies) of each row number, by comparing all pairs."""
     sets, root = [shingles(t) for t in texts], list(range(len(texts)))
-    links = Counter()
+    copies = Counter()
 
     def find(x):
         while root[x] != x:
@@ -34,11 +34,11 @@ def brute_join(texts):
             if texts[i] is None or texts[j] is None:
                 continue
             if a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9:
-                links[i] += 1
-                links[j] += 1
+                copies[i] += a == b
+                copies[j] += a == b
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    return [(find(i), links[i]) for i in range(len(texts))]
+    return [(find(i), copies[i]) for i in range(len(texts))]
 
 
 def near_texts(seed=1, families=6, size=12):
@@ -59,7 +59,7 @@ def near_texts(seed=1, families=6, size=12):
 
 def joined(spark, texts, **kw):
     rows = spark.createDataFrame([(i, t, 1, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, row long, key string, number long")
-    found = {r.row: (r.class_row, r.n_links) for r in jj.near_duplicates(rows, row="number", **kw).collect()}
+    found = {r.row: (r.class_row, r.n_copies) for r in jj.near_duplicates(rows, row="number", **kw).collect()}
     return [found[i] for i in range(len(texts))]
 
 
@@ -68,16 +68,47 @@ def test_join_is_brute_force(spark):
     assert joined(spark, texts) == brute_join(texts)
 
 
-def test_join_of_large_buckets(spark, monkeypatch):
-    """A family larger than a bucket goes down all levels and is compared in blocks."""
+def test_join_of_large_nodes(spark, monkeypatch):
+    """Families larger than a node go down all levels and are split around pivots."""
     monkeypatch.setattr(jj, "LEAF", 8)
-    monkeypatch.setattr(jj, "BLOCK", 16)
     texts = near_texts(2, families=2, size=60)
     assert joined(spark, texts) == brute_join(texts)
 
 
+def wide_family(seed, size, edits):
+    """Copies of one text with up to `edits` words replaced: many are linked to each other, others to few or none."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    chain, out = list(base), []
+    for i in range(size):
+        words = list(chain if i % 10 == 0 else base)
+        for _ in range(rng.randrange(edits)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        chain = words if i % 10 == 0 and rng.random() < 0.7 else list(base)  # edits of edited copies drift away from the base
+        out.append(" ".join(words))
+    return out
+
+
+def test_wide_families_in_proportion(spark, monkeypatch):
+    """Twice the family makes about twice the rows, not four times; nearly all that belongs together is found, and nothing else."""
+    made, sums, park = [], [], jj.park
+    monkeypatch.setattr(jj, "park", lambda df, tag: (lambda t: made.append(t.count()) or t)(park(df, tag)))
+    for size in (250, 500):
+        made.clear()
+        texts = wide_family(5, size, 12)
+        expected, got = brute_join(texts), joined(spark, texts)
+        sums.append(sum(made))
+        linked = Counter(c for c, _ in expected)
+        assert max(linked.values()) > size / 5 and sum(n == 1 for n in linked.values()) > size / 10
+        together = [(i, c) for i, (c, _) in enumerate(expected) if linked[c] > 1]
+        assert sum(got[i][0] == c for i, c in together) >= 0.95 * len(together)
+        assert all(got[i][0] == i for i, (c, _) in enumerate(expected) if linked[c] == 1)
+    assert sums[1] <= 2.8 * sums[0]
+
+
 def test_join_without_the_product_and_by_exchange(spark, monkeypatch):
-    monkeypatch.setattr(jj, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(jj, "BROADCAST_BYTES", -1)
     texts = near_texts(3, families=4)
     assert joined(spark, texts) == brute_join(texts)
 
@@ -91,7 +122,7 @@ def test_join_of_tables(spark, sf_dir):
     classes = defaultdict(set)
     for d, (c, _) in zip(docs, expected):
         classes[c].add(d.doc_id)
-    assert {r.doc_id: (r.class_id, r.class_size, r.n_links) for r in got} == {d.doc_id: (min(classes[c]), len(classes[c]), n) for d, (c, n) in zip(docs, expected)}
+    assert {r.doc_id: (r.class_id, r.class_size, r.n_copies) for r in got} == {d.doc_id: (min(classes[c]), len(classes[c]), n) for d, (c, n) in zip(docs, expected)}
 
 
 def test_runs_reach_the_recall():

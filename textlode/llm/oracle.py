@@ -50,9 +50,8 @@ linked AS (SELECT a, b FROM common JOIN classes x ON x.rep = a JOIN classes y ON
 ends AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
 reach AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT r.a, e.b FROM reach r JOIN ends e ON e.a = r.b),
 roots AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
-weights AS (SELECT e.a AS rep, sum(weight) AS w FROM ends e JOIN classes c ON c.rep = e.b GROUP BY e.a),
-found AS (SELECT s.doc_id, r.class_id, (c.weight - 1 + coalesce(w.w, 0))::BIGINT AS n_links FROM sizes s JOIN classes c USING (k) JOIN roots r USING (rep) LEFT JOIN weights w USING (rep))
-SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, n_links FROM found
+found AS (SELECT s.doc_id, r.class_id, c.weight - 1 AS n_copies FROM sizes s JOIN classes c USING (k) JOIN roots r USING (rep))
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, n_copies FROM found
 UNION ALL SELECT doc_id, doc_id, 1, 0 FROM documents WHERE text IS NULL
 """
 
