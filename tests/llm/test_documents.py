@@ -71,6 +71,7 @@ def test_join_is_brute_force(spark):
 def test_join_of_large_nodes(spark, monkeypatch):
     """Families larger than a node go down all levels and are split around pivots."""
     monkeypatch.setattr(jj, "LEAF", 8)
+    monkeypatch.setattr(jj, "LAST_LEAF", 8)
     texts = near_texts(2, families=2, size=60)
     assert joined(spark, texts) == brute_join(texts)
 
@@ -93,6 +94,7 @@ def wide_family(seed, size, edits):
 def test_wide_families_in_proportion(spark, monkeypatch):
     """Twice the family makes about twice the rows, not four times; nearly all that belongs together is found, and nothing else."""
     made, sums, park = [], [], jj.park
+    monkeypatch.setattr(jj, "LAST_LEAF", 100)
     monkeypatch.setattr(jj, "park", lambda df, tag: (lambda t: made.append(t.count()) or t)(park(df, tag)))
     for size in (250, 500):
         made.clear()
