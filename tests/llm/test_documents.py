@@ -170,24 +170,45 @@ def test_measures(text):
     assert qr.measure(text)[:5] == brute_measures(text)
 
 
-def test_large_vocabularies_stay_exact():
-    words = [f"w{i}" for i in range(9000)] + [f"w{i}" for i in range(7)]
-    assert qr.repeated_words(words) == 14
+def test_long_lines_in_parts(monkeypatch):
+    texts = ["\n".join(" ".join(f"W{i * k % 97}" for i in range(500)) + " " * k for k in range(5)), "x" * 3000, "  a b " * 400]
+    whole = [qr.measure(x) for x in texts]
+    monkeypatch.setattr(qr, "PART", 50)
+    for a, b in zip(whole, map(qr.measure, texts)):
+        assert a[:6] == b[:6] and a[6].tolist() == b[6].tolist() and a[7].tolist() == b[7].tolist()
+
+
+def test_a_long_text_takes_a_few_times_its_size():
+    import tracemalloc
+
+    rng = random.Random(9)
+    vocabulary = [f"word{i}" for i in range(200_000)]
+    for sign in (" ", "\n"):
+        text = sign.join(rng.choice(vocabulary) for _ in range(1_000_000))  # about 10 MB
+        tracemalloc.start()
+        assert qr.measure(text)[0] == 1_000_000
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8 * len(text)
 
 
 def brute_verdicts(rows, rules):
-    """kept of (text, host) rows."""
-    measured = [qr.measure(t) for t, _ in rows]
-    hosts, lines = defaultdict(set), defaultdict(set)
-    for (_, host), m in zip(rows, measured):
-        if m[5] is not None:
-            hosts[host].add(m[5])
-            for key, _ in m[6]:
-                lines[host, key].add(m[5])
+    """(base_failed, words_left, kept) of (text, host) rows, from strings."""
+    normal = lambda x: " ".join(w.decode() for w in x.lower().encode().split())
+    hosts, lines, of = defaultdict(set), defaultdict(set), []
+    for text, host in rows:
+        found = [x for x in map(normal, (text or "").split("\n")) if x]
+        of.append(found)
+        if found:
+            hosts[host].add(" ".join(found))
+            for x in found:
+                lines[host, x].add(" ".join(found))
     out = []
-    for (_, host), m in zip(rows, measured):
-        left = m[0] - sum(n for key, n in m[6] if len(lines[host, key]) > rules.min_docs and len(lines[host, key]) > rules.max_share * len(hosts[host]))
-        failed = m[0] < rules.min_words or 100 * m[4] > rules.max_repeat * m[0]
+    for (text, host), found in zip(rows, of):
+        frequent = lambda x: (n := len(lines[host, x])) > rules.min_docs and (n > rules.max_share * len(hosts[host]) or n > rules.max_docs)  # noqa: E731, B023
+        n_words, _, _, _, n_repeat = brute_measures(text)
+        left = n_words - sum(len(x.split(" ")) for x in found if frequent(x))
+        failed = n_words < rules.min_words or 100 * n_repeat > rules.max_repeat * n_words
         out.append((failed, left, not failed and left >= rules.min_words))
     return out
 
@@ -200,8 +221,7 @@ def test_verdicts(spark, monkeypatch):
         rows.append(("\n".join([shared[0], " ".join(own), shared[i % 2]]), "h0" if i % 3 else "h1"))
     rows += [(t, None) for t in odd.TEXTS] + [("one family of copies has the same lines\nin each and every one of its documents here", "h0")] * 60
     df = spark.createDataFrame([(i, t, h, 1, "x") for i, (t, h) in enumerate(rows)], "doc_id long, text string, source string, line long, words string")
-    rules = qr.Rules(min_docs=10)
-    for limit in (qr.BROADCAST_LINES, -1):
+    for limit, rules in ((qr.BROADCAST_LINES, qr.Rules(min_docs=10, max_share=2.0, max_docs=30)), (-1, qr.Rules(min_docs=10))):
         monkeypatch.setattr(qr, "BROADCAST_LINES", limit)
         got = {r.doc_id: (r.base_failed, r.words_left, r.kept) for r in qr.judge(df, ["doc_id"], rules=rules).collect()}
         assert [got[i] for i in range(len(rows))] == brute_verdicts(rows, rules)
@@ -210,6 +230,13 @@ def test_verdicts(spark, monkeypatch):
     assert qr.judge(odd.table(spark), ["doc_id"]).count() == odd.table(spark).count()
 
 
+def test_a_footer_with_a_long_word_on_500_documents(spark):
+    footer = "read https://example.org/a-very-long-address/of-a-page-of-licences/by-nobody-in-particular.html first"
+    rows = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i}\n{footer}", "h") for i in range(500)]
+    got = qr.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"]).collect()
+    assert {(r.n_words, r.words_left, r.kept) for r in got} == {(11, 8, False)}
+
+
 def test_line_with_the_longest_word_of_all(spark):
     """Documents are distinct by their whole text, whatever their longest word; copies count once."""
     line = "see https://example.org/licences/of-this-and-that/by-nobody-in-particular.html for these"

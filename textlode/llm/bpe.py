@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import by_slices, kept, table
 from .pretokens import pieces, ranks, vocabulary
 
 class RankQueue:
@@ -147,13 +147,6 @@ def encoder(path: str, pattern: str) -> Encoder:
     return kept(("bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
-def by_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Short batches, so that long texts do not pile up."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def encode_table(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with one more column: the ids (binary, little-endian unsigned 32-bit). A null text is empty: no ids. A column named like it is replaced."""
     names = [c for c in df.columns if c != ids]

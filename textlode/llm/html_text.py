@@ -26,8 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import by_slices
-from .common import park, table
+from .common import by_slices, park, table
 from .url_filters import url_host
 
 RUN = 8

@@ -17,14 +17,14 @@ base AS (SELECT rid, count(*) AS n_words, sum(length(w)) AS word_chars FROM word
 wins AS (SELECT rid, i, lead(i, 4) OVER s AS last, w || chr(1) || lead(w, 1) OVER s || chr(1) || lead(w, 2) OVER s || chr(1) || lead(w, 3) OVER s || chr(1) || lead(w, 4) OVER s AS win FROM words WINDOW s AS (PARTITION BY rid ORDER BY i)),
 often AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, win) AS n FROM wins WHERE last IS NOT NULL) WHERE n > 1),
 reps AS (SELECT rid, count(*) AS n_repeat_words FROM (SELECT DISTINCT rid, i + k AS at FROM often, range(5) AS r(k)) GROUP BY rid),
-print AS (SELECT rid, host, w AS print FROM words QUALIFY row_number() OVER (PARTITION BY rid ORDER BY strlen(w) DESC, i) = 1),
+print AS (SELECT rid, host, md5(array_to_string(regexp_extract_all(lower(text), '{RUN}'), ' ')) AS print FROM docs WHERE regexp_matches(text, '{RUN}')),
 raw AS (SELECT rid, host, unnest(string_split(text, chr(10))) AS line FROM docs),
 lines AS (SELECT *, regexp_extract_all(lower(line), '{RUN}') AS parts FROM raw WHERE regexp_matches(line, '{RUN}')),
 dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY rid),
 norm AS (SELECT rid, host, array_to_string(parts, ' ') AS line, sum(len(parts)) AS n FROM lines GROUP BY ALL),
 hosts AS (SELECT host, count(DISTINCT print) AS total FROM print GROUP BY host),
 freq AS (SELECT n.host, n.line FROM norm n JOIN print USING (rid) JOIN hosts h ON h.host = n.host GROUP BY n.host, n.line, total
-         HAVING count(DISTINCT print) > {RULES.min_docs} AND count(DISTINCT print) > {RULES.max_share}::DOUBLE * total),
+         HAVING count(DISTINCT print) > {RULES.min_docs} AND count(DISTINCT print) > least({RULES.max_share}::DOUBLE * total, {RULES.max_docs})),
 gone AS (SELECT rid, sum(n) AS gone FROM norm JOIN freq USING (host, line) GROUP BY rid),
 whole AS (
   SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,

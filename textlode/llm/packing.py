@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import by_slices
-from .common import kept, park, table
+from .common import by_slices, kept, park, table
 from .pretokens import WORD_PATTERN, is_latin, latin_splitter, vocabulary
 
 CAPACITY = 4096

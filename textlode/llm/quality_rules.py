@@ -12,6 +12,8 @@ into boilerplate. Near copies are documents of their own.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,82 +23,115 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import park, table
+from .common import by_slices, forget, park, table
 
 #: Fixed values of the base measures: the white space that parts words, and the symbols counted.
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 WINDOW = 5
+#: Characters of a line that are handled at once, and an odd factor of window hashes.
+PART, ODD = 1 << 20, np.uint64(0x9E3779B97F4A7C15)
+SPACE = re.compile(r"[ \t\n\x0b\x0c\r]")
 
 
 @dataclass(frozen=True)
 class Rules:
     """min_words: of a text, and of what is left of it. max_repeat: per cent of words in repeated windows.
-    A line is removed if more than min_docs distinct documents of its host have it, and more than max_share of them."""
+    A line is removed if more than min_docs distinct documents of its host have it, and more than max_share of them
+    or more than max_docs."""
 
     min_words: int = 10
     max_repeat: int = 20
     min_docs: int = 20
     max_share: float = 0.02
+    max_docs: int = 1000
 
 
 #: Flagged lines up to this many are broadcast (16 bytes each and the host's name), more are joined by exchange.
 BROADCAST_LINES = 50_000
 
 
-def repeated_words(words: list) -> int:
-    """Words that lie in a 5-word window found twice or more in the text, the first included."""
+def repeated_words(words: np.ndarray) -> int:
+    """Words that lie in a 5-word window found twice or more in the text, the first included. words: their 64-bit hashes."""
     n = len(words)
     if n <= WINDOW:
         return 0
-    number: dict = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
-    v = len(number)
-    if v**WINDOW < 2**63:
-        codes = ids[: n - 4]
-        for k in range(1, WINDOW):
-            codes = codes * v + ids[k : n - 4 + k]
-    else:  # number pairs, then pairs of pairs, so that codes stay exact
-        pairs = np.unique(ids[:-1] * v + ids[1:], return_inverse=True)[1].astype(np.int64)
-        fours = np.unique(pairs[:-2] * n + pairs[2:], return_inverse=True)[1].astype(np.int64)
-        codes = fours[: n - 4] * v + ids[4:]
+    codes = np.zeros(n - WINDOW + 1, np.uint64)
+    for k in range(WINDOW):
+        codes *= ODD
+        codes += words[k : n - WINDOW + 1 + k]
     ordered = np.sort(codes)
-    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
         return 0
-    edges = np.zeros(n + 1, np.int64)
     at = np.flatnonzero(np.isin(codes, twice))
+    edges = np.zeros(n + 1, np.int32)
     edges[at] += 1
     edges[at + WINDOW] -= 1
     return int(np.count_nonzero(np.cumsum(edges[:-1])))
 
 
-def digest(data: bytes) -> int:
-    return xxhash.xxh64_intdigest(data) - 2**63
+def cut(text: str, sign: str) -> Iterator[str]:
+    """The parts of a text between signs, one at a time."""
+    at = 0
+    while (end := text.find(sign, at)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
 
 
-def measure(text: str | None) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fingerprint, [(line digest, words)]).
+def short_parts(line: str) -> Iterator[str]:
+    """A line in parts of about PART characters, cut where words part; a longer word stays whole."""
+    at = 0
+    while len(line) - at > PART:
+        found = SPACE.search(line, at + PART)
+        if not found:
+            break
+        yield line[at : found.start()]
+        at = found.start()
+    yield line[at:] if at else line
 
-    A null text counts as empty. Lines without a word are no lines.
+
+def measure(text: str | None) -> tuple[int, int, int, int, int, int | None, np.ndarray, np.ndarray]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fingerprint, line digests, words of those lines).
+
+    A null text counts as empty. Lines without a word are no lines. Lines are taken one by one, long ones in parts,
+    and leave numbers only, so a text of any length takes a few times its own size at most.
     """
     text = text or ""
-    words = text.encode().split()  # bytes split at exactly SPACES
-    lines: dict[int, int] = {}
-    seen, dup, whole = set(), 0, xxhash.xxh64()
-    for line in text.split("\n"):
-        if line.strip(SPACES):
-            dup += line in seen
-            seen.add(line)
-            parts = line.lower().encode().split()
-            norm = b" ".join(parts)
+    words, raw, lines, counts = array("q"), array("q"), array("q"), array("q")
+    whole = xxhash.xxh64()
+    for line in cut(text, "\n"):
+        if not line.strip(SPACES):
+            continue
+        raw.append(xxhash.xxh64_intdigest(line) - 2**63)
+        if len(line) <= PART:
+            parts = line.encode().split()  # bytes split at exactly SPACES
+            words.extend(map(hash, parts))
+            norm = b" ".join(line.lower().encode().split())
+            n, key = len(parts), xxhash.xxh64_intdigest(norm)
             whole.update(norm + b" ")
-            key = digest(norm)
-            lines[key] = lines.get(key, 0) + len(parts)
+        else:
+            n, of_line, gap = 0, xxhash.xxh64(), b""
+            for part in short_parts(line):
+                parts = part.encode().split()
+                words.extend(map(hash, parts))
+                n += len(parts)
+                if parts:
+                    norm = b" ".join(part.lower().encode().split())
+                    of_line.update(gap + norm)
+                    whole.update(norm + b" ")
+                    gap = b" "
+            key = of_line.intdigest()
+        lines.append(key - 2**63)
+        counts.append(n)
     chars = len(text) - sum(map(text.count, SPACES))
-    return len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(words), whole.intdigest() - 2**63 if words else None, list(lines.items())
+    keys, place = np.unique(np.frombuffer(lines, np.int64), return_inverse=True)
+    sums = np.bincount(place, np.frombuffer(counts, np.int64), len(keys)).astype(np.int64)
+    dup = len(raw) - len(np.unique(np.frombuffer(raw, np.int64)))
+    return len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(np.frombuffer(words, np.uint64)), whole.intdigest() - 2**63 if words else None, keys, sums
 
 
-MEASURED = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("_tl_print", pa.int64()), ("_tl_lines", pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())])))])
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_tl_print")
 
 
 def measured(df: DataFrame, text: str) -> DataFrame:
@@ -104,18 +139,17 @@ def measured(df: DataFrame, text: str) -> DataFrame:
     keep = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                found = [measure(x) for x in part.column(text).to_pylist()]
-                columns = [part.column(c) for c in keep]
-                for i, field in enumerate(MEASURED):
-                    values = [x[i] for x in found]
-                    columns.append(pa.array([[{"line": a, "words": b} for a, b in v] for v in values] if field.name == "_tl_lines" else values, field.type))
-                yield pa.RecordBatch.from_arrays(columns, names=keep + MEASURED.names)
+        forget()
+        for part in by_slices(batches):
+            found = [measure(x.as_py()) for x in part.column(text)]
+            numbers = [pa.array([x[i] for x in found], pa.int64()) for i in range(len(MEASURES))]
+            flat = [np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)]) for i in (6, 7)]
+            ends = np.cumsum([0, *(len(x[6]) for x in found)])
+            lines = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], ["line", "words"]))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *numbers, lines], names=[*keep, *MEASURES, "_tl_lines"])
 
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.mapInArrow(run, f"{types}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, _tl_print long, _tl_lines array<struct<line: long, words: long>>")
+    return df.mapInArrow(run, f"{types}, {', '.join(f'{m} long' for m in MEASURES)}, _tl_lines array<struct<line: long, words: long>>")
 
 
 def frequent_lines(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -123,7 +157,7 @@ def frequent_lines(docs: DataFrame, rules: Rules) -> DataFrame:
     hosts = docs.where("_tl_print is not null").select("_tl_host", "_tl_print").distinct().groupBy("_tl_host").agg(F.count("*").alias("_tl_all"))
     lines = docs.select("_tl_host", "_tl_print", F.explode("_tl_lines.line").alias("line"))
     counts = lines.distinct().groupBy("_tl_host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > rules.min_docs)
-    return counts.join(hosts, "_tl_host").where(F.col("n_docs") > rules.max_share * F.col("_tl_all")).select("_tl_host", "line", "n_docs")
+    return counts.join(hosts, "_tl_host").where((F.col("n_docs") > rules.max_share * F.col("_tl_all")) | (F.col("n_docs") > rules.max_docs)).select("_tl_host", "line", "n_docs")
 
 
 def judge(df: DataFrame, keys: list[str], text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import by_slices, encoder
-from .common import park, table
+from .bpe import encoder
+from .common import by_slices, park, table
 from .pretokens import vocabulary
 
 BLOCK_TOKENS = 1 << 16

@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import by_slices
-from .common import kept, table
+from .common import by_slices, kept, table
 
 #: Kernel: letters of a subsequence, and the discount of each letter spanned.
 ORDER, DECAY = 3, 0.5
