@@ -125,9 +125,7 @@ def test_count_query(spark, sf_dir):
 
 
 def words():
-    tokenizer = Tokenizer.from_file(WORD)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(WORD)
 
 
 def test_word_ids_are_the_library_s():

@@ -34,12 +34,13 @@ class WordEncoder:
     """Ids of whole texts by a vocabulary that parts words; memo: how many words are kept with their ids.
 
     Latin-1 texts are lower-cased and parted here and only unseen words go to the tokenizer; any
-    other text goes to it whole.
+    other text, and one that may hold a special identifier's string, goes to it whole.
     """
 
     def __init__(self, path: str, memo: int = 1_000_000, longest: int = 64) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # strings of the special identifiers, which the library looks for before it parts a text into words
+        self.special = tuple({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.split = latin_splitter(WORD_PATTERN).findall
         self.memo: dict[str, bytes] = {}
         self.size, self.longest = memo, longest
@@ -71,7 +72,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parted = [self.split(x.lower()) if is_latin(x) else None for x in texts]
+        parted = [self.split(x.lower()) if is_latin(x) and not any(t in x for t in self.special) else None for x in texts]
         seen: set[str] = set()
         for words in parted:
             seen.update(words or ())
@@ -159,7 +160,7 @@ def pack_round(items: DataFrame, groups: int, level: int, capacity: int) -> Data
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, nearly: int = NEARLY) -> DataFrame:
     """pieces with sequence_id and offset. pieces has a column length (1 to capacity); its other columns stay, those two are replaced.
 
-    Sequences are gapless from 0. Every piece is packed, repeated rows each for itself; an empty table
+    Sequence ids are any numbers; places in a sequence are gapless from 0. Every piece is packed, repeated rows each for itself; an empty table
     stays empty. A length beyond the capacity or under 1 is an error.
     """
     bad = (F.col("length") < 1) | (F.col("length") > capacity) | F.col("length").isNull()
@@ -201,5 +202,5 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 4096 tokens."""
+    """All documents in sequences of at most 4096 tokens. A null or empty text is the end identifier alone; repeated rows are packed each; an empty table gives no rows."""
     return pack_documents(table(spark, sf_dir, "documents"))
