@@ -25,15 +25,50 @@ def brute(vectors, ids, queries, best):
 def test_rotation_keeps_lengths_and_angles():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(5, 50))
-    y = ann.rotate(x, ann.rotations(50, 1, 3)[0])
+    y = ann.rotate(x, ann.rotations(50, 1, 1, 3)[0, 0])
     assert y.shape == (5, 64) and np.allclose(y @ y.T, x @ x.T)
 
 
-def test_probes_begin_with_the_hash():
+@pytest.mark.parametrize("joint", [1, 2, 3])
+def test_probes_are_the_buckets_of_least_loss(joint):
     rng = np.random.default_rng(2)
-    x, signs = ann.unit(rng.normal(size=(40, 64))), ann.rotations(64, 2, 5)
-    for s in signs:
-        assert (ann.probes(x, s, 3)[:, 0] == ann.hashes(x, s)).all()
+    x, signs = ann.unit(rng.normal(size=(20, 8))), ann.rotations(8, 2, joint, 5)
+    got = ann.probes(x, signs, 10).reshape(20, 2, 10)
+    for t, table_signs in enumerate(signs):
+        assert all(k in row for k, row in zip(ann.joint_keys(x, signs)[:, t], got[:, t]))
+        sides = [np.stack([y, -y], 2).reshape(20, -1) for y in (ann.rotate(x, s) for s in table_signs)]
+        for q in range(20):
+            loss = {}
+            for at in np.ndindex(*[16] * joint):
+                loss[int(np.ravel_multi_index(at, [16] * joint)) + t * 16**joint] = sum((s[q].max() - s[q][a]) ** 2 for s, a in zip(sides, at))
+            assert sorted(loss[k] for k in got[q, t]) == pytest.approx(sorted(loss.values())[:10])
+
+
+def test_scored_share_falls_as_the_table_grows(spark):
+    """Recall stays at 0.9 or more, vectors are scored once for a query, and five times the vectors are a smaller share of them."""
+    rng, shares = np.random.default_rng(8), []
+    for n in (2000, 10_000):
+        x = rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        df = table(spark, x.astype(np.float32)).where("vec_id is not null")
+        rows = ann.nearest(df, df.where("vec_id % 100 = 0")).collect()
+        scores = (x[::100].astype(np.float32).astype(float)) @ x.astype(np.float32).astype(float).T
+        scores[np.arange(n // 100), np.arange(0, n, 100)] = -9
+        true = {100 * i: set(np.argsort(-s)[:20].tolist()) for i, s in enumerate(scores)}
+        assert sum(r.vec_id in true[r.query_id] for r in rows) >= 0.9 * 20 * len(true)
+        shares.append(np.mean([r.n_candidates for r in rows]) / n)
+    assert shares[1] < 0.9 * shares[0] and shares[0] < 0.3
+
+
+def test_small_tables_give_all_they_have(spark):
+    rng = np.random.default_rng(9)
+    for n in (2, 12, 22):
+        x = rng.normal(size=(n, 64)).astype(np.float32)
+        df = table(spark, x)
+        got = {}
+        for r in ann.nearest(df, df).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == {q: [i for _, i in e] for q, e in brute(x, list(range(n)), range(n), 20).items()}
 
 
 def test_recall_and_scores(spark):
@@ -55,7 +90,7 @@ def test_recall_and_scores(spark):
 
 def test_many_equal_vectors_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 16)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(ann, "CHUNK", 3)
     rng = np.random.default_rng(4)
     x = np.vstack([np.tile(rng.normal(size=16), (100, 1)), rng.normal(size=(60, 16))]).astype(np.float32)
     df = table(spark, x)
