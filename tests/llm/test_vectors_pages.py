@@ -62,7 +62,7 @@ def test_scored_share_falls_as_the_table_grows(spark):
 
 def test_small_tables_give_all_they_have(spark):
     rng = np.random.default_rng(9)
-    for n in (2, 12, 22):
+    for n in (2, 12, 21):
         x = rng.normal(size=(n, 64)).astype(np.float32)
         df = table(spark, x)
         got = {}
