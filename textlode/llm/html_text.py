@@ -1,17 +1,20 @@
-"""Main text of web pages: structure first, a host's repeated token runs for what structure leaves open.
-
-A page becomes blocks. Markup settles most of them: what lies in an article is main text, what lies in
-menus, headers, footers, sidebars, notices, adverts, forms, comments and scripts is not. Text outside
-both is open, and is main text only on pages without an article.
-
-Open text is judged by a suffix array over what the host's pages hold outside articles, sorted by prefix
-doubling up to RUN tokens: a run of RUN tokens or more that stands on two distinct pages is boilerplate,
-covered tokens are removed and unique runs stay. Pages with the same stream are one page here, so that
-copies do not erase each other. An article's own text is never removed, repeated or not.
-
-A host's pages are dealt in parts of bounded size, each with an array of its own; runs that repeat only
-across parts are found by their digests, counted over the host. Both see a page's whole stream outside
-articles, so that runs cross block borders and the number of parts changes no text.
+"""Main text of web pages: a suffix array over the token streams of a host's pages.
+
+A page becomes blocks, and their words its token stream, all of it: articles, menus, footers and the rest.
+Markup tells only what an element is: scripts, forms, menus, headers, footers, sidebars and reader comments
+are page furniture, an article is an article. Class words nominate a block at most (`MARKED`); they drop
+nothing inside an article by themselves.
+
+The streams of a host's pages are concatenated and their suffixes sorted by prefix doubling up to RUN tokens.
+A run of RUN tokens that stands outside articles on two distinct pages is boilerplate. Covered tokens are
+removed from whatever would be main text: from articles, from nominated blocks in them, and on pages without
+an article from all that is no furniture. Unique runs stay, and so does a passage that several articles share,
+since an article does not make boilerplate. Pages with the same stream are one page here, so that copies do
+not erase each other.
+
+A host's pages are dealt in parts of bounded size, each with an array of its own. Runs that stand outside
+articles on pages of different parts are found by their digests, counted over the host, and each part is
+given those of its host, so that the number of parts changes no text.
 """
 
 from __future__ import annotations
@@ -31,8 +34,11 @@ from .url_filters import url_host
 
 RUN = 8
 #: Pages of a host in one suffix array, and the characters that one array is filled up to.
-PART_PAGES, ARRAY_CHARS = 256, 4_000_000
+PART_PAGES, ARRAY_CHARS = 1024, 4_000_000
 BROADCAST_HOSTS = 100_000
+#: Digests in a row that is given to a part.
+HANDED = 4096
+M1, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
 #: What HTML elements are.
 RAW = frozenset("script style noscript template textarea title svg iframe object canvas math".split())
@@ -40,26 +46,29 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 MAIN = frozenset("article main".split())
 ASIDE = frozenset("nav footer aside form button select dialog menu head".split())
-#: Words of class, id and role that mark what is not main text.
-MARKED = frozenset(
+#: Names of reader comments, as whole class or id tokens of a section or list.
+COMMENTS, HOLDERS = frozenset("comments comment-list comments-area comments-section disqus_thread respond".split()), frozenset("section div ol ul".split())
+#: Words of class, id and role that nominate a block as no main text.
+MARKED_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion
     nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc sidebar aside complementary
     footer masthead contentinfo cookie cookies consent gdpr notice notices alert popup modal overlay
     comment comments disqus respond replies form search login signup subscribe subscription newsletter
-    share sharing social related recommended recommendations widget toolbar hidden""".split()
+    share sharing social related recommended recommendations widget toolbar header siteheader pageheader topbar""".split()
 )
-#: Class, id and role words that mark a page's header, and those that mark main text.
-HEADERS, CONTENT = frozenset("header siteheader pageheader topbar".split()), frozenset("article main content post entry story".split())
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
+#: Class, id and role words of main text, for pages without an element for it.
+CONTENT = frozenset("article main content post entry story".split())
+TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|$))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))|\b(hidden)\b""")
 WORD = re.compile(r"[a-z]+")
 
-OTHER, OPEN, ARTICLE = 0, 1, 2
+#: Furniture; neither; by class words main text; an article; nominated outside an article and in one.
+OTHER, OPEN, CONTENTS, ARTICLE, MARKED, MARKED_IN = range(6)
 
 
 def role_of(tag: str, attributes: str, inside: int) -> int:
     """What an element's content is, from the element and what it is inside of."""
-    if inside == OTHER or tag in ASIDE or (tag == "header" and inside != ARTICLE):
+    if inside == OTHER or tag in ASIDE or (tag == "header" and inside not in (ARTICLE, CONTENTS)):
         return OTHER
     role = ARTICLE if tag in MAIN else inside
     if attributes and tag not in ("html", "body"):
@@ -67,12 +76,14 @@ def role_of(tag: str, attributes: str, inside: int) -> int:
             name, value = name.lower(), (a or b or c).lower()
             if bare or name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                 return OTHER
-            if name in ("class", "id", "role"):
+            if name in ("class", "id", "role") and tag not in MAIN:
                 words = set(WORD.findall(value))
-                if tag not in MAIN and (words & MARKED or (words & HEADERS and inside != ARTICLE)):
+                if tag in HOLDERS and COMMENTS & set(value.split()):
                     return OTHER
-                if words & CONTENT:
-                    role = ARTICLE
+                if words & MARKED_WORDS:
+                    role = MARKED_IN if inside in (ARTICLE, MARKED_IN) else MARKED
+                elif words & CONTENT and role == OPEN:
+                    role = CONTENTS
     return role
 
 
@@ -140,19 +151,22 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         role = now
     pieces.append(page[at:])
     flush()
-    return out
+    if any(r in (ARTICLE, MARKED_IN) for r, _ in out):
+        return [(OPEN if r == CONTENTS else r, x) for r, x in out]
+    return [(ARTICLE if r == CONTENTS else r, x) for r, x in out]
 
 
-def repeated(tokens: np.ndarray, pages: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Which tokens a run of `run` tokens or more covers that stands on two distinct pages.
+def repeated(tokens: np.ndarray, pages: np.ndarray, counts: np.ndarray | None = None, run: int = RUN) -> np.ndarray:
+    """Which runs of `run` tokens, by their first, stand on two distinct pages; only runs that count are looked at there.
 
-    tokens: numbers, of which a page's last is its own alone; pages: the page of each token. The suffixes
-    are ranked by their first 1, 2, 4, ... tokens; equal ranks are neighbours in the suffix array.
+    tokens: numbers, of which a page's last is its own alone; pages: the page of each token; counts: of which tokens
+    the run that begins there counts (all). The suffixes are ranked by their first 1, 2, 4, ... tokens; equal ranks are
+    neighbours in the suffix array, and every suffix of a rank that stands on two pages is a hit, whether it counts or not.
     """
     n, rank, have = len(tokens), np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
-    covered = np.zeros(n, bool)
+    hit = np.zeros(n, bool)
     if n < run:
-        return covered
+        return hit
     while have < run:
         step = min(have, run - have)
         after = np.zeros(n, np.int64)
@@ -160,162 +174,184 @@ def repeated(tokens: np.ndarray, pages: np.ndarray, run: int = RUN) -> np.ndarra
         rank, have = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64), have + step
     array = np.argsort(rank, kind="stable")
     starts = np.r_[0, np.flatnonzero(np.diff(rank[array])) + 1]
-    of = pages[array]
-    several = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)
-    hit = np.zeros(n, bool)
+    of, far = pages[array], np.iinfo(np.int64)
+    counted = np.ones(n, bool) if counts is None else counts[array]
+    several = np.minimum.reduceat(np.where(counted, of, far.max), starts) < np.maximum.reduceat(np.where(counted, of, far.min), starts)
     hit[array] = np.repeat(several, np.diff(np.r_[starts, n]))
-    edges = np.zeros(n + 1, np.int64)
-    at = np.flatnonzero(hit)
-    at = at[at + run <= n]
-    np.add.at(edges, at, 1)
+    hit[n - run + 1 :] = False
+    return hit
+
+
+def covered(starts: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Tokens under the runs that begin at the marked places."""
+    edges = np.zeros(len(starts) + run + 1, np.int64)
+    at = np.flatnonzero(starts)
+    edges[at] += 1
     np.add.at(edges, at + run, -1)
-    return np.cumsum(edges[:-1]) > 0
+    return (np.cumsum(edges) > 0)[: len(starts)]
 
 
-def digests(words: list[str]) -> list[int]:
-    """A digest of each run of RUN words."""
-    return [xxhash.xxh64_intdigest(" ".join(words[i : i + RUN])) - 2**63 for i in range(len(words) - RUN + 1)]
+def outside(roles: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Of which tokens the run that begins there lies outside articles, whole."""
+    article = np.cumsum(np.r_[0, roles == ARTICLE])
+    out = np.zeros(len(roles), bool)
+    if len(roles) >= run:
+        out[: len(roles) - run + 1] = article[run:] == article[:-run]
+    return out
+
 
+class Words:
+    """Numbers and digests of words; memo: how many are kept."""
 
-def judge_array(hosts: list[str], articles: list[bool], whole: list[bool], parsed: list[list[tuple[int, str]]]) -> list[dict]:
-    """For each page, from its blocks outside articles: open blocks as words with marks of cover and their place in the stream,
-    a digest of the stream, and digests of all its runs: of those that touch an open block (asks, beginning at `spots`), and the rest.
-    whole: the pages whose runs are looked for beyond this array; others have no digests."""
-    numbers: dict[tuple[str, str], int] = {}
-    tokens, pages, streams, where = [], [], [], []
+    def __init__(self, memo: int = 200_000) -> None:
+        self.digest: dict[str, int] = {}
+        self.size = memo
+
+    def digests(self, words: list[str]) -> np.ndarray:
+        if len(self.digest) > self.size:
+            self.digest.clear()
+        known = self.digest
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w)
+        return np.array([known[w] for w in words], np.uint64)
+
+
+def run_digests(words: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A digest of each run, from the words' digests."""
+    out = np.zeros(max(0, len(words) - run + 1), np.uint64)
+    for k in range(run):
+        out = (out ^ (out >> np.uint64(29))) * M1 + words[k : k + len(out)] * ODD
+    return out.view(np.int64)
+
+
+def stream(found: list[tuple[int, str]]) -> tuple[list[str], np.ndarray]:
+    """The words of a page's blocks and the role of each."""
+    lists = [text.split(" ") for _, text in found]
+    return [w for x in lists for w in x], np.repeat(np.array([r for r, _ in found], np.int8), list(map(len, lists)))
+
+
+def extracted(hosts: list[str], parsed: list[list[tuple[int, str]]], often: dict[str, np.ndarray]) -> list[tuple[str, int]]:
+    """(text, removed tokens) of each page, from one suffix array over the whole streams of all; often: digests of boilerplate runs known of a host beyond this array."""
+    number: dict[str, int] = {}
+    memo, streams, tokens, pages, counts = Words(), [], [], [], []
+    host_number = {h: i for i, h in enumerate(dict.fromkeys(hosts))}
     for p, (host, found) in enumerate(zip(hosts, parsed)):
-        words = [w for _, text in found for w in text.split(" ")]
-        streams.append(xxhash.xxh64_intdigest(host + " " + " ".join(words)) - 2**63)
-        where.append(len(tokens))
-        tokens += [numbers.setdefault((host, w), len(numbers)) for w in words]
-        tokens.append(-p - 1)  # its own: no run crosses pages
-        pages += [streams[p]] * (len(words) + 1)
-    covered = repeated(np.array(tokens, np.int64), np.array(pages, np.int64)) if tokens else np.zeros(0, bool)
-    out = []
-    for p, found in enumerate(parsed):
-        at, opened, stream = 0, [], []
-        for role, text in found:
-            words = text.split(" ")
-            if role == OPEN and not articles[p]:
-                opened.append({"words": words, "covered": covered[where[p] + at : where[p] + at + len(words)].tolist(), "at": at})
-            stream += words
-            at += len(words)
-        runs = digests(stream) if whole[p] else []
-        touches = np.zeros(len(runs), bool)
-        for block in opened:
-            touches[max(0, block["at"] - RUN + 1) : block["at"] + len(block["words"])] = True
-        spots = np.flatnonzero(touches).tolist()
-        out.append({"opened": opened, "stream": streams[p], "rest": [d for d, t in zip(runs, touches) if not t], "asks": [runs[i] for i in spots], "spots": spots})
+        words, roles = stream(found)
+        streams.append((words, roles))
+        of_page = np.array([number.setdefault(w, len(number)) for w in words], np.int64) * len(host_number) + host_number[host]
+        tokens.append(np.r_[of_page, -p - 1])  # the last is its own: no run crosses pages
+        pages.append(np.full(len(words) + 1, xxhash.xxh64_intdigest(host + " " + " ".join(words)) - 2**63))
+        counts.append(np.r_[outside(roles), False])
+    hits = repeated(np.concatenate(tokens), np.concatenate(pages), np.concatenate(counts)) if tokens else np.zeros(0, bool)
+    out, at = [], 0
+    for host, (words, roles) in zip(hosts, streams):
+        starts = hits[at : at + len(words)].copy()
+        at += len(words) + 1
+        if host in often and len(words) >= RUN:
+            starts[: len(words) - RUN + 1] |= np.isin(run_digests(memo.digests(words)), often[host])
+        main = np.isin(roles, (ARTICLE, MARKED_IN))
+        wanted = main if main.any() else roles == OPEN
+        kept = wanted & ~covered(starts)
+        text = " ".join([w for w, k in zip(words, kept.tolist()) if k])
+        out.append((text, int(wanted.sum() - kept.sum())))
     return out
 
 
-def unique_runs(opened: list[dict], asks: list[int], spots: list[int], seen: set[int]) -> str:
-    """The text of open blocks without covered tokens, nor runs of `asks` whose digest is in `seen`."""
-    kept = []
-    gone = {i + k for i, d in zip(spots, asks) if d in seen for k in range(RUN)}
-    for block in opened:
-        words = block["words"]
-        covered = [c or i in gone for i, c in enumerate(block["covered"], block["at"])]
-        kept += [w for w, c in zip(words, covered) if not c]
-    return " ".join(kept)
+def parsed_pages(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys with row, host, roles and texts: the blocks of each page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_slices(batches, 200):
+            found = [blocks(x) for x in batch.column("html").to_pylist()]
+            made = [pa.array([[r for r, _ in b] for b in found], pa.list_(pa.int8())), pa.array([[t for _, t in b] for b in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("row"), batch.column("host"), *made], names=[*keys, "row", "host", "roles", "texts"])
+
+    types = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    return rows.select(*keys, "row", "host", "html").mapInArrow(run, f"{types}row long, host string, roles array<tinyint>, texts array<string>")
+
 
+def runs_outside(pages: DataFrame) -> DataFrame:
+    """(host, stream, digests): the runs outside articles of each page, and a digest of its whole stream."""
 
-#: What an array leaves of each page.
-JUDGED = {
-    "row": pa.int64(), "host": pa.string(), "opened": pa.list_(pa.struct([("words", pa.list_(pa.string())), ("covered", pa.list_(pa.bool_())), ("at", pa.int32())])),
-    "stream": pa.int64(), "rest": pa.list_(pa.int64()), "asks": pa.list_(pa.int64()), "spots": pa.list_(pa.int32()), "parts": pa.int32(),
-}
-JUDGED_DDL = "row long, host string, opened array<struct<words: array<string>, covered: array<boolean>, at: int>>, stream long, rest array<long>, asks array<long>, spots array<int>, parts int"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Words()
+        with np.errstate(over="ignore"):
+            for batch in by_slices(batches, 200):
+                made, names = [], []
+                for roles, texts in zip(batch.column("roles").to_pylist(), batch.column("texts").to_pylist()):
+                    words, of = stream(list(zip(roles, texts)))
+                    digests = run_digests(memo.digests(words))
+                    made.append(np.unique(digests[outside(of)[: len(digests)]]))
+                    names.append(xxhash.xxh64_intdigest(" ".join(words)) - 2**63)
+                yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(names, pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["host", "stream", "digests"])
+
+    return pages.select("host", "roles", "texts").mapInArrow(run, "host string, stream long, digests array<long>")
 
 
-def judged_pages(parsed: DataFrame) -> DataFrame:
-    """parsed must come with whole (host, part) groups in each partition, one after the other."""
+def judged_pages(dealt: DataFrame, keys: list[str]) -> DataFrame:
+    """keys with text and n_removed. dealt must come with whole (host, part) groups in each partition, one after the other, digests (rows without roles) first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, chars, last = [], 0, None
+        held: list[tuple] = []
+        often: dict[str, list] = {}
+        chars, last = 0, None
 
         def out() -> pa.RecordBatch:
-            judged = judge_array([x[1] for x in held], [x[2] for x in held], [x[3] > 1 for x in held], [x[4] for x in held])
-            for j, (row, host, _, parts, _) in zip(judged, held):
-                j |= {"row": row, "host": host, "parts": parts}
-            return pa.RecordBatch.from_arrays([pa.array([j[c] for j in judged], t) for c, t in JUDGED.items()], names=list(JUDGED))
+            with np.errstate(over="ignore"):
+                found = extracted([x[0] for x in held], [x[1] for x in held], {h: np.concatenate(d) for h, d in often.items()})
+            rows = pa.Table.from_batches([x[2] for x in held]).combine_chunks()
+            columns = [rows.column(k).chunk(0) for k in keys]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=[*keys, "text", "n_removed"])
 
         for batch in by_slices(batches, 200):
-            columns = [batch.column(c).to_pylist() for c in ("row", "host", "article", "parts", "part", "roles", "texts")]
-            for row, host, article, parts, part, roles, texts in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("host", "part", "roles", "texts", "digests")]
+            key_columns = batch.select(keys)
+            for i, (host, part, roles, texts, digests) in enumerate(zip(*columns)):
                 if (host, part) != last and chars > ARRAY_CHARS:
                     yield out()
-                    held, chars = [], 0
+                    held, often, chars = [], {}, 0
                 last = (host, part)
-                held.append((row, host, article, parts, list(zip(roles, texts))))
+                if roles is None:
+                    often.setdefault(host, []).append(np.array(digests, np.int64))
+                    continue
+                held.append((host, list(zip(roles, texts)), key_columns.slice(i, 1)))
                 chars += sum(map(len, texts))
         if held:
             yield out()
 
-    return parsed.mapInArrow(run, JUDGED_DDL)
-
-
-def assembled(pages: DataFrame, keys: list[str]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_slices(batches, 200):
-            opened, asks, spots, seen = (batch.column(c).to_pylist() for c in ("opened", "asks", "spots", "seen"))
-            texts = [unique_runs(o, a, i, set(s or ())) for o, a, i, s in zip(opened, asks, spots, seen)]
-            removed = [sum(len(x["words"]) for x in o) - len(t.split(" ") if t else ()) for o, t in zip(opened, texts)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=[*keys, "text", "n_removed"])
-
-    types = "".join(f"{k} {pages.schema[k].dataType.simpleString()}, " for k in keys)
-    return pages.select(*keys, "opened", "asks", "spots", "seen").mapInArrow(run, f"{types}text string, n_removed long")
+    types = "".join(f"{k} {dealt.schema[k].dataType.simpleString()}, " for k in keys)
+    return dealt.mapInArrow(run, f"{types}text string, n_removed long")
 
 
 def main_text(df: DataFrame, keys: list[str], url: str = "url", page: str = "html") -> DataFrame:
-    """keys with text, n_chars and n_removed (tokens of open text that repeat over its host), one row for each of df.
+    """keys with text, n_chars and n_removed (tokens of main text that were boilerplate), one row for each of df.
 
     A null or empty page has an empty text. Pages without a host are judged as pages of one host of their
-    own. Broken markup is read as far as it goes. Other columns are not carried.
-
-    Text in articles is settled by the page alone and never exchanged; only what lies outside is dealt by host.
+    own. Broken markup is read as far as it goes, pages of any length whole. Repeated rows are pages of one
+    stream and erase nothing of each other. An empty table gives an empty one. Other columns are not carried.
     """
     spark = df.sparkSession
     names = {f"_tl_k{i}": k for i, k in enumerate(keys)}
     host = F.coalesce(url_host(F.col(url)), F.lit(""))
     big = df.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > PART_PAGES)
     big = park(big.select("host", F.ceil(F.col("n") / PART_PAGES).cast("int").alias("parts")), "hosts")
+    big = F.broadcast(big) if big.count() <= BROADCAST_HOSTS else big
     rows = df.select(*[F.col(k).alias(n) for n, k in names.items()], host.alias("host"), F.col(page).alias("html")).withColumn("row", F.monotonically_increasing_id())
-    parsed = park(with_blocks(rows, list(names)), "pages")
-    placed = parsed.select("row", "host", "article", "roles", "texts").join(F.broadcast(big) if big.count() <= BROADCAST_HOSTS else big, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int"))
-    dealt = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "host", "part").sortWithinPartitions("host", "part", "row")
-    judged = park(judged_pages(dealt), "judged")
-    # runs that touch open text and repeat across the parts of a host
-    divided = judged.where("parts > 1")
-    asked = divided.select("row", "host", "stream", F.explode(F.array_distinct("asks")).alias("d"))
-    if asked.isEmpty():
-        judged = judged.withColumn("seen", F.lit(None).cast("array<long>"))
-    else:
-        told = asked.select("host", "d", "stream").unionByName(divided.select("host", F.explode("rest").alias("d"), "stream"))
-        often = told.groupBy("host", "d").agg(F.min("stream").alias("a"), F.max("stream").alias("b")).where("a <> b").select("host", "d")
-        judged = judged.join(asked.join(often, ["host", "d"]).groupBy("row").agg(F.collect_set("d").alias("seen")), "row", "left")
-    settled = parsed.where("article").select(*names, F.col("main").alias("text"), F.lit(0).cast("long").alias("n_removed"))
-    opened = parsed.where("not article").select("row", *names).join(judged.select("row", "opened", "asks", "spots", "seen"), "row")
-    whole = settled.unionByName(assembled(opened, list(names)))
-    return whole.select(*[F.col(n).alias(k) for n, k in names.items()], "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
-
-
-def with_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Parsed pages with their keys: the text of articles, and the other blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_slices(batches, 200):
-            found = [blocks(x) for x in batch.column("html").to_pylist()]
-            mains = [[t for r, t in b if r == ARTICLE] for b in found]
-            others = [[x for x in b if x[0] != ARTICLE] for b in found]
-            made = [pa.array([" ".join(x) for x in mains], pa.string()), pa.array([bool(x) for x in mains], pa.bool_()), pa.array([[r for r, _ in b] for b in others], pa.list_(pa.int8())), pa.array([[t for _, t in b] for b in others], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("row"), batch.column("host"), *made], names=[*keys, "row", "host", "main", "article", "roles", "texts"])
-
-    types = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
-    return rows.select(*keys, "row", "host", "html").mapInArrow(run, f"{types}row long, host string, main string, article boolean, roles array<tinyint>, texts array<string>")
+    parsed = park(parsed_pages(rows, list(names)), "pages")
+    placed = parsed.join(big, "host", "left").withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).cast("int"))
+    dealt = placed.select(*names, "host", "part", "row", "roles", "texts", F.lit(None).cast("array<long>").alias("digests"))
+    if not big.isEmpty():
+        told = runs_outside(parsed.join(big, "host", "left_semi")).select("host", "stream", F.explode("digests").alias("d"))
+        often = park(told.groupBy("host", "d").agg(F.min("stream").alias("a"), F.max("stream").alias("b")).where("a <> b").select("host", "d"), "often")
+        sizes = park(often.groupBy("host").agg(F.ceil(F.count("*") / HANDED).cast("int").alias("chunks")), "sizes")
+        rowed = often.join(sizes, "host").groupBy("host", F.pmod(F.xxhash64("d"), "chunks").alias("chunk")).agg(F.collect_list("d").alias("digests"))  # about HANDED each
+        handed = rowed.join(big, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "digests")
+        dealt = dealt.unionByName(handed.withColumn("row", F.lit(-1).cast("long")), allowMissingColumns=True)
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "host", "part").sortWithinPartitions("host", "part", "row")
+    found = judged_pages(dealt, list(names))
+    return found.select(*[F.col(n).alias(k) for n, k in names.items()], "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
 
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:
-    """The main text of every page."""
+    """The main text of every page. Nulls, empty and repeated pages as main_text says."""
     return main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
