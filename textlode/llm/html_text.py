@@ -7,10 +7,11 @@ nothing inside an article by themselves.
 
 The streams of a host's pages are concatenated and their suffixes sorted by prefix doubling up to RUN tokens.
 A run of RUN tokens that stands outside articles on two distinct pages is boilerplate. Covered tokens are
-removed from whatever would be main text: from articles, from nominated blocks in them, and on pages without
-an article from all that is no furniture. Unique runs stay, and so does a passage that several articles share,
-since an article does not make boilerplate. Pages with the same stream are one page here, so that copies do
-not erase each other.
+removed from nominated blocks in articles and, on pages without an article, from all that is no furniture;
+unique runs stay. An article's other text stays by rule, whether it repeats in articles or outside them: a
+passage that pages share in their articles cannot be told from what leaked into them, and articles do quote
+what footers and adverts say (on the tables at hand one page in six does). Pages with the same stream are
+one page here, so that copies do not erase each other.
 
 A host's pages are dealt in parts of bounded size, each with an array of its own. Runs that stand outside
 articles on pages of different parts are found by their digests, counted over the host, and each part is
@@ -251,7 +252,7 @@ def extracted(hosts: list[str], parsed: list[list[tuple[int, str]]], often: dict
             starts[: len(words) - RUN + 1] |= np.isin(run_digests(memo.digests(words)), often[host])
         main = np.isin(roles, (ARTICLE, MARKED_IN))
         wanted = main if main.any() else roles == OPEN
-        kept = wanted & ~covered(starts)
+        kept = wanted & ~(covered(starts) & (roles != ARTICLE))
         text = " ".join([w for w, k in zip(words, kept.tolist()) if k])
         out.append((text, int(wanted.sum() - kept.sum())))
     return out
