@@ -1,10 +1,15 @@
 """Toxicity by a subsequence string kernel, Nystrom landmarks and a linear support vector machine.
 
-A document is a bag of words. A word is compared with a few dozen landmark strings by the gapped
-subsequence kernel: all common subsequences of three letters count, each gap at a discount, so
-insults with letters or signs put in between still match. A document's features are its best match
-with each landmark and how many of its words match, whitened by the landmarks' own kernel matrix
-(Nystrom), and the score is the calibrated margin of a linear machine trained on labelled documents.
+Strings are compared by the gapped subsequence kernel: all common subsequences of three letters count,
+each letter spanned at a discount, so insults with letters or signs put in between still match. The kernel
+is normalised, and raised to a power, which is a kernel again and tells whole matches from chance ones:
+k(s, t) = (K(s, t) / sqrt(K(s, s) K(t, t))) ** POWER. A document is the set of its words, long ones in
+windows, and the kernel of two documents is the sum of k over all pairs of their strings.
+
+Landmarks z are one-string documents. The Nystrom features of a document d, K(z, z) ** -1/2 times the sum of
+k(z, s) over its strings s, go into a linear support vector machine trained on labelled documents. The machine
+is a sum over strings, so a string's share of the margin is worked out once wherever it stands. The score is
+the calibrated margin.
 
 Landmarks are drawn from letter runs that set toxic training documents apart, and from ordinary words.
 Training takes a bounded sample of labelled documents, by digest of their ids; scoring takes every
@@ -17,6 +22,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -28,19 +34,19 @@ from .common import by_slices, kept, table
 
 #: Kernel: letters of a subsequence, and the discount of each letter spanned.
 ORDER, DECAY = 3, 0.5
+#: The power of the normalised kernel.
+POWER = 6
 #: Landmarks from toxic letter runs (of SHORTEST to LONGEST letters), and from ordinary words.
-TOXIC_LANDMARKS, PLAIN_LANDMARKS, SHORTEST, LONGEST = 64, 16, 4, 8
-#: Longer runs of letters are scored in windows of this many that overlap by half.
-WINDOW = 32
+TOXIC_LANDMARKS, PLAIN_LANDMARKS, SHORTEST, LONGEST = 48, 16, 4, 7
+#: Letters of a window of a word, and so of a landmark at most.
+WINDOW = 7
 #: The bound of the training sample: labelled documents of either class.
-SAMPLE = {1: 1200, 0: 2400}
+SAMPLE = {1: 1000, 0: 2000}
 NO_LETTERS = re.compile(r"[\W\d_]+")
-#: Marks of a word's start and end, letters like any other; and the power that tells whole matches from partial ones.
-START, END, SHARP = "<", ">", 6
+#: Marks of a word's start and end, letters like any other.
+START, END = "<", ">"
 #: A toxic letter run's log-likelihood ratio, and how much commoner it is in toxic documents than in clean ones, at least.
-LEAST_WORTH, LEAST_ODDS = 8.0, 4.0
-#: Weaker matches count as none.
-LEAST = 0.5
+LEAST_WORTH, LEAST_ODDS = 14.0, 4.0
 SPELLED = re.compile(r"(?:(?<=\s)|^)(?:[^\W\d_]\s){2,}[^\W\d_](?=\s|$)")
 
 
@@ -50,6 +56,19 @@ def bare(word: str) -> str:
     return f"{START}{letters}{END}" if letters else ""
 
 
+def windows(letters: str) -> list[str]:
+    """The distinct runs of WINDOW letters, or the whole of a shorter word."""
+    return sorted({letters[at : at + WINDOW] for at in range(max(1, len(letters) - WINDOW + 1))}) if letters else []
+
+
+def bag_of(text: str) -> set[str]:
+    """The distinct words of a text as they come, and words spelled in single letters put together."""
+    low = text.lower()
+    bag = set(low.split())
+    bag.update("".join(x.split()) for x in SPELLED.findall(low))
+    return bag
+
+
 def codes(words: list[str], width: int) -> np.ndarray:
     """Letters as numbers, 0 after a word's end."""
     return np.array(words, f"<U{max(1, width)}").view(np.uint32).reshape(len(words), -1).astype(np.int32)
@@ -75,125 +94,126 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total.astype(float)
 
 
-def reachable(landmark: str, without: str) -> float:
-    """The most that a word without one letter can match of a landmark, if it has the rest in one run."""
-    spans = [k - i for i, j, k in combinations(range(len(landmark)), ORDER) if without not in (landmark[i], landmark[j], landmark[k])]
-    return sum(DECAY ** (ORDER + span + 1) for span in spans)
+@lru_cache(maxsize=32)
+def spots(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all subsequences of ORDER letters in a string, and their discounts."""
+    at = np.array(list(combinations(range(length), ORDER)), np.int64).reshape(-1, ORDER)
+    return at, DECAY ** (at[:, -1] - at[:, 0] + 1.0)
+
+
+class Strings:
+    """Kernel values of strings with landmarks, by the subsequences that some landmark has."""
+
+    def __init__(self, landmarks: list[str]) -> None:
+        self.landmarks = landmarks
+        self.number = {ord(c): i for i, c in enumerate(sorted(set("".join(landmarks))), 1)}
+        self.base = len(self.number) + 1
+        found = sorted({tuple(self.number[ord(x[i])] for i in at) for x in landmarks for at in spots(len(x))[0]})
+        self.row = np.zeros(self.base**ORDER, np.int32)  # 0: a subsequence that no landmark has
+        for i, triple in enumerate(found, 1):
+            self.row[self.place(np.array(triple)[None, :])] = i
+        self.size = len(found) + 1
+        # a column for each landmark: its own subsequences' discounts, over the root of its kernel value
+        self.columns = np.zeros((self.size, len(landmarks)), np.float32)
+        for j, x in enumerate(landmarks):
+            letters = codes([x], len(x))
+            np.add.at(self.columns[:, j], self.rows(letters)[0], spots(len(x))[1] / np.sqrt(subsequence_kernel(letters, letters)))
+        self.columns[0] = 0
+
+    def place(self, letters: np.ndarray) -> np.ndarray:
+        out = letters[:, 0]
+        for k in range(1, letters.shape[1]):
+            out = out * self.base + letters[:, k]
+        return out
+
+    def rows(self, letters: np.ndarray) -> np.ndarray:
+        """Numbers of the subsequences of equally long strings, given as code points."""
+        known = np.array(sorted(self.number), np.int32)
+        if not len(known):
+            return np.zeros((len(letters), len(spots(letters.shape[1])[0])), np.int32)
+        at = np.minimum(np.searchsorted(known, letters), len(known) - 1)
+        own = np.where(known[at] == letters, at + 1, 0)  # letters in the order of their numbers
+        places = spots(letters.shape[1])[0]
+        out = own[:, places[:, 0]]
+        for k in range(1, ORDER):
+            out = out * self.base + own[:, places[:, k]]
+        return self.row[out]
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """k of each string with each landmark."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        for n in np.unique(lengths[lengths >= ORDER]).tolist():
+            at = np.flatnonzero(lengths == n)
+            discount = spots(n)[1].astype(np.float32)
+            for start in range(0, len(at), 2000):
+                part = at[start : start + 2000]
+                letters = codes([words[i] for i in part], n)
+                rows = self.rows(letters)
+                some = np.flatnonzero(rows.any(1))  # others share no subsequence with any landmark
+                if not len(some):
+                    continue
+                own = np.sqrt(subsequence_kernel(letters[some], letters[some])).astype(np.float32)
+                i, j = np.nonzero(rows[some])
+                sums = np.zeros((len(some), self.size), np.float32) if self.size * len(some) <= 4_000_000 else None
+                if sums is not None:
+                    np.add.at(sums, (i, rows[some][i, j]), discount[j])
+                    found = sums @ self.columns
+                else:
+                    found = np.zeros((len(some), len(self.landmarks)), np.float32)
+                    np.add.at(found, i, discount[j, None] * self.columns[rows[some][i, j]])
+                out[part[some]] = found / own[:, None]
+        return np.minimum(out, 1) ** POWER
 
 
 @dataclass
 class Model:
-    """landmarks with their own kernel values; weights on the best matches; margin to score by a logistic curve."""
+    """landmarks; what a string's kernel values with them add to the margin, and the bias; the logistic curve from margins to scores."""
 
     landmarks: list[str]
-    own: np.ndarray
     weights: np.ndarray
     bias: float
     slope: float
     offset: float
 
-    def score(self, matches: np.ndarray) -> np.ndarray:
-        margin = sharpened(matches) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
-
-
-def sharpened(features: np.ndarray) -> np.ndarray:
-    """Best matches, their high powers (near 1 for a whole landmark, near 0 for parts of one), and how many words match."""
-    best, count = np.hsplit(features, 2)
-    return np.hstack([best, best**SHARP, count])
+    def score(self, margins: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -30, 30)))
 
 
 class Matcher:
-    """Best matches of texts with landmarks; memo: how many words are kept with theirs."""
-
-    def __init__(self, landmarks: list[str], own: np.ndarray, memo: int = 500_000, longest: int = 64) -> None:
-        self.marks, self.own = codes(landmarks, max(map(len, landmarks), default=1)), own
-        self.lengths = np.array([len(x) for x in landmarks], int)
-        alphabet = sorted(set("".join(landmarks)))
-        self.bit = {c: 1 << min(i, 62) for i, c in enumerate(alphabet)}
-        self.mark_bits = np.array([self.bits(x) for x in landmarks], np.int64)
-        needed = ["".join(c for c in set(x) if reachable(x, c) < LEAST * k) for x, k in zip(landmarks, own)]
-        self.needed = np.array([self.bits(x) for x in needed], np.int64)
-        self.memo: dict[str, int] = {}  # of words as they come; 0: matches nothing; else a row of `rows`
-        self.known: dict[str, int] = {}  # of bare words
-        self.rows: list[np.ndarray] = [np.zeros(len(landmarks), np.float32)]
-        self.size, self.longest = memo, longest
-
-    def bits(self, word: str) -> int:
-        found = 0
-        for c in word:
-            found |= self.bit.get(c, 0)
-        return found
+    """Margins of texts; memo: how many words are kept with theirs."""
 
-    def match(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, landmark, match) of pairs that match: K(word, landmark) / K(landmark, landmark), 1 at most.
+    def __init__(self, model: Model, memo: int = 500_000, longest: int = 64) -> None:
+        self.model, self.strings = model, Strings(model.landmarks)
+        self.memo: dict[str, float] = {}  # of words as they come
+        self.known: dict[str, float] = {}  # of bare words
+        self.size, self.longest = memo, longest
 
-        The kernel is defined as 0 for a word that lacks two of the landmark's letters, or one without
-        which no more than LEAST can be reached.
-        """
-        lacks = ~np.fromiter((self.bits(w) for w in words), np.int64, len(words))[:, None]
-        w, m = np.nonzero((np.bitwise_count(self.mark_bits & lacks) <= 1) & (self.needed & lacks == 0))
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        out = np.zeros(len(w))
-        by_size = np.maximum(-(-lengths[w] // 4), 1) * 4
-        for size in np.unique(by_size).tolist():
-            for mark in np.unique(self.lengths).tolist():
-                at = np.flatnonzero((by_size == size) & (self.lengths[m] == mark))
-                for start in range(0, len(at), 10_000):
-                    part = at[start : start + 10_000]
-                    used, inverse = np.unique(w[part], return_inverse=True)
-                    letters = codes([words[k] for k in used], size)
-                    out[part] = subsequence_kernel(letters[inverse], self.marks[m[part], :mark]) / self.own[m[part]]
-        some = out > LEAST
-        return w[some], m[some], np.minimum(out[some], 1.0)
-
-    def learn(self, words: list[str]) -> dict[str, int]:
-        """Rows of words not met before; those with the same letters share one. Words without letters match nothing."""
+    def learn(self, words: list[str]) -> dict[str, float]:
+        """What words not met before add to the margin; those with the same letters share it. Words without letters add nothing."""
         letters = [bare(w) for w in words]
-        new = [x for x in dict.fromkeys(letters) if len(x) >= ORDER and x not in self.known]
-        known = dict.fromkeys(new, 0)
-        parts, owner = [], []
-        for x in new:
-            for at in range(0, max(1, len(x) - WINDOW // 2), WINDOW // 2):
-                parts.append(x[at : at + WINDOW])
-                owner.append(x)
-        if parts and len(self.own):
-            rows: dict[str, np.ndarray] = {}
-            for a, b, v in zip(*(x.tolist() for x in self.match(parts))):
-                row = rows.setdefault(owner[a], np.zeros(len(self.own), np.float32))
-                row[b] = max(row[b], v)
-            for x, row in rows.items():
-                known[x] = len(self.rows)
-                self.rows.append(row)
-        self.known.update((x, k) for x, k in known.items() if len(x) <= self.longest)
-        return {w: known.get(x) or self.known.get(x, 0) for w, x in zip(words, letters)}
-
-    def features(self, texts: list[str]) -> np.ndarray:
-        """The best match of each text with each landmark; and log(1 + the sum over its distinct words of their sharpened matches)."""
-        bags = []
-        for x in texts:
-            low = x.lower()
-            bag = set(low.split())
-            bag.update(x.replace(" ", "").replace("\n", "") for x in SPELLED.findall(low))
-            bags.append(bag)
-        seen = set().union(*bags)
-        if len(self.memo) > self.size or len(self.rows) > self.size // 8:
-            self.memo, self.known, self.rows = {}, {}, self.rows[:1]
-        new = [w for w in seen if w not in self.memo]
+        new = [x for x in dict.fromkeys(letters) if x not in self.known]
+        parts = [(x, part) for x in new for part in windows(x)]
+        found = dict.fromkeys(new, 0.0)
+        for start in range(0, len(parts), 20_000):
+            some = parts[start : start + 20_000]
+            for (x, _), value in zip(some, (self.strings.kernel([part for _, part in some]) @ self.model.weights).tolist()):
+                found[x] += value
+        self.known.update((x, value) for x, value in found.items() if len(x) <= self.longest)
+        return {w: found[x] if x in found else self.known[x] for w, x in zip(words, letters)}
+
+    def margins(self, texts: list[str]) -> np.ndarray:
+        """The margin of each text: the bias, and what each of its distinct words adds."""
+        bags = [bag_of(x) for x in texts]
+        if len(self.memo) > self.size:
+            self.memo, self.known = {}, {}
         memo = self.memo
-        found = self.learn(new)
-        long = {k: v for k, v in found.items() if len(k) > self.longest}
+        found = self.learn([w for w in set().union(*bags) if w not in memo])
+        long = [w for w in found if len(w) > self.longest]
         memo.update(found)
-        n = len(self.own)
-        out = np.zeros((len(texts), 2 * n), np.float32)
-        for i, bag in enumerate(bags):
-            rows = [k for k in map(memo.__getitem__, bag) if k]
-            if rows:
-                found = np.array([self.rows[k] for k in rows])
-                out[i, :n] = found.max(0)
-                out[i, n:] = np.log1p((found**SHARP).sum(0))
-        for k in long:  # rare, and would make the memo's bound in bytes moot
-            del memo[k]
+        out = np.array([sum(map(memo.__getitem__, sorted(bag))) for bag in bags]) + self.model.bias
+        for w in long:  # rare, and would make the memo's bound in bytes moot
+            del memo[w]
         return out
 
 
@@ -275,23 +295,29 @@ def train(toxic: list[str], clean: list[str]) -> Model | None:
     if not toxic or not clean:
         return None
     marks = choose_landmarks(toxic, clean)
-    width = max(map(len, marks), default=1)
-    pairs = np.array([(i, j) for i in range(len(marks)) for j in range(len(marks))], int).reshape(-1, 2)
-    letters = codes(marks, width)
-    kernel = subsequence_kernel(letters[pairs[:, 0]], letters[pairs[:, 1]]).reshape(len(marks), -1)
-    own = np.diag(kernel).copy()
-    matcher, texts = Matcher(marks, own), toxic + clean
-    x = sharpened(np.vstack([matcher.features(texts[i : i + 250]) for i in range(0, len(texts), 250)]).astype(float))
+    if not marks:
+        return None
+    strings, texts = Strings(marks), toxic + clean
+    x, known = np.zeros((len(texts), len(marks))), {}
+    for start in range(0, len(texts), 100):
+        bags = [[part for w in sorted(bag_of(text)) if (b := bare(w)) for part in windows(b)] for text in texts[start : start + 100]]
+        new = sorted({part for bag in bags for part in bag} - known.keys())
+        known.update(zip(new, strings.kernel(new)))
+        for i, bag in enumerate(bags, start):
+            if bag:
+                x[i] = np.sum([known[part] for part in bag], axis=0)
+        if len(known) > 200_000:
+            known = {}
     y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
-    # Nystrom: features whitened by the landmarks' normalised kernel matrix, folded into the weights
-    values, vectors = np.linalg.eigh(kernel / np.sqrt(np.outer(own, own)) + 1e-2 * np.eye(len(marks)))
+    # Nystrom: features whitened by the landmarks' own kernel matrix, folded into the weights
+    own = strings.kernel(marks).astype(float)
+    values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-2 * np.eye(len(marks)))
     half = vectors @ np.diag(np.maximum(values, 1e-2) ** -0.5) @ vectors.T
-    white = np.kron(np.eye(3), half)  # alike for the matches, their powers and counts
     weight = np.where(y > 0, len(y) / (2 * len(toxic)), len(y) / (2 * len(clean)))
-    beta = squared_hinge(x @ white, y, weight)
-    margin = x @ white @ beta[:-1] + beta[-1]
-    slope, offset = calibrate(margin, y > 0)
-    return Model(marks, own, white @ beta[:-1], float(beta[-1]), slope, offset)
+    beta = squared_hinge(x @ half, y, weight, ridge=0.3)
+    folded, bias = half @ beta[:-1], float(beta[-1])
+    slope, offset = calibrate(x @ folded + bias, y > 0)
+    return Model(marks, folded, bias, slope, offset)
 
 
 def calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -337,9 +363,9 @@ def score_table(df: DataFrame, model: Model | None, text: str = "text", score: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        matcher = kept(("toxicity", *model.landmarks), lambda: Matcher(model.landmarks, model.own))
+        matcher = kept(("toxicity", model.bias, *model.landmarks), lambda: Matcher(model))
         for batch in by_slices(batches):
-            found = model.score(matcher.features([x or "" for x in batch.column(text).to_pylist()]))
+            found = model.score(matcher.margins([x or "" for x in batch.column(text).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.float64())], names=[*names, score])
 
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
@@ -357,7 +383,7 @@ def train_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
-    """The toxicity score of every document; labels are learnt from four fifths of them."""
+    """The toxicity score of every document; labels are learnt from four fifths of them. Null texts score as empty ones; repeated rows are scored each; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_on(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return score_table(docs, model).select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
