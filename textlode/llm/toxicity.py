@@ -58,7 +58,9 @@ def bare(word: str) -> str:
 
 def windows(letters: str) -> list[str]:
     """The distinct runs of WINDOW letters, or the whole of a shorter word."""
-    return sorted({letters[at : at + WINDOW] for at in range(max(1, len(letters) - WINDOW + 1))}) if letters else []
+    if len(letters) <= WINDOW:
+        return [letters] if letters else []
+    return list(dict.fromkeys([letters[at : at + WINDOW] for at in range(len(letters) - WINDOW + 1)]))
 
 
 def bag_of(text: str) -> set[str]:
@@ -154,14 +156,8 @@ class Strings:
                 if not len(some):
                     continue
                 own = np.sqrt(subsequence_kernel(letters[some], letters[some])).astype(np.float32)
-                i, j = np.nonzero(rows[some])
-                sums = np.zeros((len(some), self.size), np.float32) if self.size * len(some) <= 4_000_000 else None
-                if sums is not None:
-                    np.add.at(sums, (i, rows[some][i, j]), discount[j])
-                    found = sums @ self.columns
-                else:
-                    found = np.zeros((len(some), len(self.landmarks)), np.float32)
-                    np.add.at(found, i, discount[j, None] * self.columns[rows[some][i, j]])
+                i, j = np.nonzero(rows[some])  # in the order of strings, each of which is there
+                found = np.add.reduceat(discount[j, None] * self.columns[rows[some][i, j]], np.r_[0, np.flatnonzero(np.diff(i)) + 1], axis=0)
                 out[part[some]] = found / own[:, None]
         return np.minimum(out, 1) ** POWER
 
@@ -187,20 +183,23 @@ class Matcher:
         self.model, self.strings = model, Strings(model.landmarks)
         self.memo: dict[str, float] = {}  # of words as they come
         self.known: dict[str, float] = {}  # of bare words
+        self.parts: dict[str, float] = {}  # of windows
         self.size, self.longest = memo, longest
 
     def learn(self, words: list[str]) -> dict[str, float]:
         """What words not met before add to the margin; those with the same letters share it. Words without letters add nothing."""
         letters = [bare(w) for w in words]
-        new = [x for x in dict.fromkeys(letters) if x not in self.known]
-        parts = [(x, part) for x in new for part in windows(x)]
-        found = dict.fromkeys(new, 0.0)
-        for start in range(0, len(parts), 20_000):
-            some = parts[start : start + 20_000]
-            for (x, _), value in zip(some, (self.strings.kernel([part for _, part in some]) @ self.model.weights).tolist()):
-                found[x] += value
-        self.known.update((x, value) for x, value in found.items() if len(x) <= self.longest)
-        return {w: found[x] if x in found else self.known[x] for w, x in zip(words, letters)}
+        found = {x: windows(x) for x in dict.fromkeys(letters) if x not in self.known}
+        if len(self.parts) > self.size:
+            self.parts = {}
+        new = [x for x in dict.fromkeys(p for x in found.values() for p in x) if x not in self.parts]
+        for start in range(0, len(new), 20_000):
+            some = new[start : start + 20_000]
+            self.parts.update(zip(some, (self.strings.kernel(some) @ self.model.weights).tolist()))
+        parts = self.parts
+        sums = {x: sum([parts[p] for p in of]) for x, of in found.items()}
+        self.known.update((x, value) for x, value in sums.items() if len(x) <= self.longest)
+        return {w: sums[x] if x in sums else self.known[x] for w, x in zip(words, letters)}
 
     def margins(self, texts: list[str]) -> np.ndarray:
         """The margin of each text: the bias, and what each of its distinct words adds."""
