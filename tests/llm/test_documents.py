@@ -109,7 +109,15 @@ def test_wide_families_in_proportion(spark, monkeypatch):
     assert sums[1] <= 2.8 * sums[0]
 
 
-def test_join_without_the_product_and_by_exchange(spark, monkeypatch):
+def test_common_counts():
+    rng = random.Random(3)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randrange(1, 40)))) for _ in range(30)]
+    for cells in (1, 300, 10**6):
+        got = jj.common_counts(sets, cells)
+        assert all(got[i, j] == len(set(a.tolist()) & set(b.tolist())) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
+def test_join_by_exchange(spark, monkeypatch):
     monkeypatch.setattr(jj, "BROADCAST_BYTES", -1)
     texts = near_texts(3, families=4)
     assert joined(spark, texts) == brute_join(texts)
