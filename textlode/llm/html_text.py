@@ -338,17 +338,18 @@ def main_text(df: DataFrame, keys: list[str], url: str = "url", page: str = "htm
     big = park(big.select("host", F.ceil(F.col("n") / PART_PAGES).cast("int").alias("parts")), "hosts")
     big = F.broadcast(big) if big.count() <= BROADCAST_HOSTS else big
     rows = df.select(*[F.col(k).alias(n) for n, k in names.items()], host.alias("host"), F.col(page).alias("html")).withColumn("row", F.monotonically_increasing_id())
-    parsed = park(parsed_pages(rows, list(names)), "pages")
-    placed = parsed.join(big, "host", "left").withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).cast("int"))
+    # parsed on the way to the exchange; pages of divided hosts once more for their digests, which takes less than keeping all blocks
+    placed = parsed_pages(rows, list(names)).join(big, "host", "left").withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).cast("int"))
     dealt = placed.select(*names, "host", "part", "row", "roles", "texts", F.lit(None).cast("array<long>").alias("digests"))
     if not big.isEmpty():
-        told = runs_outside(parsed.join(big, "host", "left_semi")).select("host", "stream", F.explode("digests").alias("d"))
+        told = runs_outside(parsed_pages(rows.join(big, "host", "left_semi"), [])).select("host", "stream", F.explode("digests").alias("d"))
         often = park(told.groupBy("host", "d").agg(F.min("stream").alias("a"), F.max("stream").alias("b")).where("a <> b").select("host", "d"), "often")
         sizes = park(often.groupBy("host").agg(F.ceil(F.count("*") / HANDED).cast("int").alias("chunks")), "sizes")
         rowed = often.join(sizes, "host").groupBy("host", F.pmod(F.xxhash64("d"), "chunks").alias("chunk")).agg(F.collect_list("d").alias("digests"))  # about HANDED each
         handed = rowed.join(big, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "digests")
         dealt = dealt.unionByName(handed.withColumn("row", F.lit(-1).cast("long")), allowMissingColumns=True)
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "host", "part").sortWithinPartitions("host", "part", "row")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // (4 * PART_PAGES)))
+    dealt = dealt.repartition(tasks, "host", "part").sortWithinPartitions("host", "part", "row")
     found = judged_pages(dealt, list(names))
     return found.select(*[F.col(n).alias(k) for n, k in names.items()], "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
 
