@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only where the session names no checkpoint folder, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/textlode"
 
+#: What Python workers are told: a task has one core, so a second thread only takes memory.
+WORKER = {"OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1000000", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
 
 def local_session(cpus: str | int = "*", memory: str = "8g") -> SparkSession:
     """A local session for tests, the command line and the bench."""
@@ -45,8 +48,10 @@ def park(df: DataFrame, tag: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
+    """Let Python workers import this package from where the driver found it, each with one thread and no more allocator arenas than it needs."""
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    for name, value in WORKER.items():
+        env.setdefault(name, value)
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{root}:{env.get('PYTHONPATH', '')}".rstrip(":")
 
