@@ -99,6 +99,15 @@ def test_registries(smoke):
     assert ix.postings_of(smoke.docs.withColumn("tokens", F.array()), "length").count() == 3
 
 
+def test_index_of_a_layout_of_ones_own(spark, tmp_path):
+    ix.register_posting_type("first", lambda tokens: ix.positions(tokens).groupBy("term", "doc_id").agg(F.min("pos").alias("first")))
+    path = str(tmp_path / "own")
+    Index.build(spark.createDataFrame(SMOKE, "doc_id long, text string"), RAW, "first", path=path)
+    again = Index.open(spark, path)
+    assert again.kind == "first" and {(r.term, r.doc_id): r["first"] for r in again.postings.where("term = 'games'").collect()} == {("games", 0): 1, ("games", 1): 2}
+    assert {r.term: r.df for r in again.terms.collect()}["good"] == 2 and again.n_docs == 3
+
+
 def test_index_is_kept(spark, tmp_path, smoke):
     path = str(tmp_path / "index")
     docs = spark.createDataFrame(SMOKE, "doc_id long, text string")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stem import check_language, stem_terms
+from .stem import check_language, stem_arrays
 
 #: The 32 signs that become spaces.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -70,16 +70,12 @@ RAW, STANDARD = Analyzer(), Analyzer(3, STOP_WORDS)
 def analyze(docs: DataFrame, analyzer: Analyzer, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, tokens) of every document, one row each; a document without tokens keeps its row.
 
-    Stems are looked up by distinct term, so the Python stemmer meets each term once.
+    Stems replace tokens array by array, each worker with a bounded memo of terms: no token is exchanged.
     """
     rows = docs.select(F.col(key), analyzer.tokens(F.col(text)).alias("tokens"))
     if analyzer.language is None:
         return rows
-    spots = positions(rows, key)
-    stems = stem_terms(spots.select("term").distinct(), analyzer.language)
-    stemmed = spots.join(stems, "term").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "stem"))), lambda x: x["stem"]).alias("tokens"))
-    empty = rows.where(F.size("tokens") == 0)
-    return stemmed.unionByName(empty)
+    return rows.select(key, stem_arrays("tokens", analyzer.language).alias("tokens"))
 
 
 def positions(tokens: DataFrame, key: str = "doc_id") -> DataFrame:

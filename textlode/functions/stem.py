@@ -7,7 +7,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 VOWELS = frozenset("aeiouy")
 #: Fixed values of the description: doubles, letters before a removable "li", exceptions.
@@ -259,3 +259,23 @@ def stem_terms(terms: DataFrame, language: str = "english") -> DataFrame:
         return column.map(STEMMERS[language])
 
     return terms.select("term").distinct().select("term", stem("term").alias("stem"))
+
+
+def stem_arrays(tokens, language: str = "english"):
+    """Arrays of stems in place of arrays of terms, in their order; a null array stays null."""
+    check_language(language)
+    memo: dict[str, str] = {}  # one for each worker's copy of the function
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def stem(column: pd.Series) -> pd.Series:
+        of = STEMMERS[language]
+        if len(memo) > 200_000:
+            memo.clear()
+        out = []
+        for terms in column:
+            for t in () if terms is None else set(terms).difference(memo):
+                memo[t] = of(t)
+            out.append(None if terms is None else [memo[t] for t in terms])
+        return pd.Series(out, dtype=object)
+
+    return stem(tokens)

@@ -49,7 +49,7 @@ LAYOUTS = {PostingType.BOOLEAN: boolean_postings, PostingType.FREQUENCY: frequen
 
 
 def register_posting_type(kind, build) -> None:
-    """Add a layout of one's own: build(tokens) -> DataFrame with term and doc_id."""
+    """Add a layout of one's own, to be indexed and opened by its name: build(tokens) -> DataFrame with term and doc_id, rows of them distinct."""
     LAYOUTS[kind] = build
 
 
@@ -75,6 +75,29 @@ def corpus_statistics(lengths: DataFrame) -> DataFrame:
     return sums.select("n_docs", "avgdl", norm("lo").alias("min_norm"), norm("hi").alias("max_norm"))
 
 
+def ranked_postings(tokens: DataFrame, kind: PostingType) -> DataFrame:
+    """Postings with frequencies, or positions too, and what scoring asks of their document."""
+    # dealt by document, so that grouping by (document, term) and the sums by document exchange nothing more
+    spots = positions(tokens.repartition("doc_id"))
+    what = [F.count("*").cast("long").alias("tf")]
+    if kind is PostingType.POSITIONAL:
+        what.append(F.sort_array(F.collect_list("pos")).alias("positions"))
+    postings = spots.groupBy("doc_id", "term").agg(*what)
+    damped = 1 + F.log(F.col("tf").cast("double"))
+    of_doc = Window.partitionBy("doc_id")
+    postings = postings.select(
+        "term",
+        "doc_id",
+        "tf",
+        F.sum("tf").over(of_doc).cast("int").alias("dl"),
+        F.sum((F.col("tf") * F.col("tf")).cast("double")).over(of_doc).alias("sq_n"),
+        F.sum(damped * damped).over(of_doc).alias("sq_l"),
+        F.count("*").over(of_doc).cast("double").alias("sq_b"),
+        *(["positions"] if kind is PostingType.POSITIONAL else []),
+    )
+    return postings
+
+
 @dataclass
 class Index:
     """An opened index. stats holds four numbers, read once."""
@@ -104,35 +127,18 @@ class Index:
         A null text is an empty document. Duplicate keys are documents of one name: their tokens meet in one posting.
         """
         spark = docs.sparkSession
-        if kind not in PostingType:
+        if kind not in LAYOUTS:
             raise ValueError(f"unknown posting type {kind!r}")
         tokens = park(analyze(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), analyzer), "tokens")
         lengths = tokens.select("doc_id", F.size("tokens").alias("dl"))
-        # dealt by document, so that grouping by (document, term) and the sums by document exchange nothing more
-        spots = positions(tokens.repartition("doc_id"))
-        what = [F.count("*").cast("long").alias("tf")]
-        if kind is PostingType.POSITIONAL:
-            what.append(F.sort_array(F.collect_list("pos")).alias("positions"))
-        postings = spots.groupBy("doc_id", "term").agg(*what)
-        damped = 1 + F.log(F.col("tf").cast("double"))
-        of_doc = Window.partitionBy("doc_id")
-        postings = postings.select(
-            "term",
-            "doc_id",
-            "tf",
-            F.sum("tf").over(of_doc).cast("int").alias("dl"),
-            F.sum((F.col("tf") * F.col("tf")).cast("double")).over(of_doc).alias("sq_n"),
-            F.sum(damped * damped).over(of_doc).alias("sq_l"),
-            F.count("*").over(of_doc).cast("double").alias("sq_b"),
-            *(["positions"] if kind is PostingType.POSITIONAL else []),
-        )
+        postings = ranked_postings(tokens, kind) if kind in (PostingType.FREQUENCY, PostingType.POSITIONAL) else postings_of(tokens.repartition("doc_id"), kind)
         if kind is PostingType.BOOLEAN:
-            postings = postings.drop("tf", "sq_n", "sq_l", "sq_b")
+            postings = postings.join(lengths.select("doc_id", F.col("dl")).groupBy("doc_id").agg(F.sum("dl").cast("int").alias("dl")), "doc_id")
         made = park_sorted(postings, path and f"{path}/postings")
         terms = park_sorted(document_frequencies(made), path and f"{path}/terms")
         docs_table = write(lengths, path and f"{path}/docs", "docs")
         stats = corpus_statistics(docs_table.select("doc_id", F.col("dl").cast("long"))).first().asDict()
-        whole = {"posting_class": kind.value, **analyzer.settings()}
+        whole = {"posting_class": getattr(kind, "value", kind), **analyzer.settings()}
         for name, value in (meta or {}).items():
             if name in whole:
                 raise ValueError(f"metadata key {name!r} is taken")
@@ -148,7 +154,10 @@ class Index:
         whole = json.loads(spark.read.text(f"{path}/meta").first()[0])
         stats = whole.pop("corpus")
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return Index(spark, PostingType(whole["posting_class"]), Analyzer.from_settings(whole), read("postings"), read("terms"), read("docs"), stats, whole)
+        kind = next((k for k in LAYOUTS if getattr(k, "value", k) == whole["posting_class"]), None)
+        if kind is None:
+            raise ValueError(f"unknown posting type {whole['posting_class']!r}")
+        return Index(spark, kind, Analyzer.from_settings(whole), read("postings"), read("terms"), read("docs"), stats, whole)
 
 
 def write(df: DataFrame, path: str | None, tag: str) -> DataFrame:

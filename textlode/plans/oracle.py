@@ -115,6 +115,9 @@ SQL = {
     "postings_frequency": f"WITH {STANDARD} SELECT term, doc_id, count(*) AS tf FROM occ GROUP BY term, doc_id",
     "postings_positional": f"WITH {STANDARD} SELECT term, doc_id, list(pos ORDER BY pos) AS positions FROM occ GROUP BY term, doc_id",
     "posting_lines": f"WITH {STANDARD}, {POST} SELECT term, term || ' ' || string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS line FROM post GROUP BY term",
+    "posting_lines_boolean": f"WITH {STANDARD}, post AS (SELECT DISTINCT term, doc_id FROM occ) SELECT term, term || ' ' || string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS line FROM post GROUP BY term",
+    "posting_lines_positional": f"WITH {STANDARD}, post AS (SELECT term, doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS ps FROM occ GROUP BY term, doc_id) SELECT term, term || ' ' || string_agg(doc_id || ':' || ps, ' ' ORDER BY doc_id) AS line FROM post GROUP BY term",
+    "posting_lines_read": f"WITH {STANDARD} SELECT term, doc_id, list(pos ORDER BY pos) AS positions FROM occ GROUP BY term, doc_id",
     "term_df": with_base("SELECT term, df FROM tdf"),
     "vocab_size": with_base("SELECT count(*) AS n_terms FROM tdf"),
     "sorted_terms": with_base("SELECT term FROM tdf ORDER BY term"),

@@ -161,6 +161,9 @@ QUERIES = {
     "postings_frequency": lambda s, d: ix.frequency_postings(tokens(s, d, STANDARD)),
     "postings_positional": lambda s, d: ix.positional_postings(tokens(s, d, STANDARD)),
     "posting_lines": lambda s, d: posting_text.to_lines(ix.frequency_postings(tokens(s, d, STANDARD)), "frequency"),
+    "posting_lines_boolean": lambda s, d: posting_text.to_lines(ix.boolean_postings(tokens(s, d, STANDARD)), "boolean"),
+    "posting_lines_positional": lambda s, d: posting_text.to_lines(ix.positional_postings(tokens(s, d, STANDARD)), "positional"),
+    "posting_lines_read": lambda s, d: posting_text.from_lines(posting_text.to_lines(ix.positional_postings(tokens(s, d, STANDARD)), "positional").select("line"), "positional"),
     "term_df": lambda s, d: opened(s, d).terms.select("term", "df"),
     "vocab_size": lambda s, d: opened(s, d).terms.agg(F.count("*").alias("n_terms")),
     "sorted_terms": lambda s, d: opened(s, d).terms.select("term").orderBy("term"),
