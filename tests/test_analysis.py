@@ -77,7 +77,20 @@ def test_one_scan_of_the_text(spark, sf_dir):
         ("swedish", {"jaktkarlarne": "jaktkarl", "klostergården": "klostergård", "klokhetens": "klok", "friskt": "frisk", "hopplöst": "hopplös"}),
         ("norwegian", {"havnedistriktene": "havnedistrikt", "opningen": "opning", "havnemyndighetene": "havnemynd", "oppdraget": "oppdrag"}),
         ("danish", {"undersøgelse": "undersøg", "indtagelse": "indtag", "indtog": "indtog", "underskovs": "underskov"}),
+        ("french", dict(x.split(":") for x in "continuait:continu continuation:continu continuellement:continuel continuité:continu continuons:continuon contorsions:contors contradictoirement:contradictoir contraindre:contraindr contraria:contrari maintenaient:mainten maintenant:mainten maintenue:maintenu maîtresses:maîtress majestueusement:majestu majeure:majeur majorité:major maladive:malad".split())),
+        ("spanish", dict(x.split(":") for x in "cheques:chequ chetumaleños:chetumaleñ chicharrones:chicharron tórax:torax toreándolo:tor torearlo:tor toreó:tore toreros:torer tornen:torn torniquete:torniquet torpedearon:torped torpeza:torpez".split())),
+        ("portuguese", dict(x.split(":") for x in "boataria:boat boates:boat bobagem:bobag bobagens:bobagens bobalhões:bobalhõ bobeira:bobeir bocadas:boc bocaiúva:bocaiúv bodoque:bodoqu boemia:boem".split())),
+        ("italian", dict(x.split(":") for x in "abbandonerà:abbandon abbandono:abband abbassamento:abbass abbassandola:abbass abbassarsi:abbass abbassassero:abbass abbastanza:abbast abbattesse:abbattess abbenché:abbenc pronuncerà:pronunc".split())),
+        ("dutch", dict(x.split(":") for x in "lichamelijkheden:licham lichamen:licham lichtende:lichtend lichtgevoeligheid:lichtgevoel lichthoeveelheid:lichthoevel lichtjes:lichtjes opglanzingen:opglanz opgravingen:opgrav".split())),
+        ("russian", dict(x.split(":") for x in "важнейшими:важн важничал:важнича важностию:важност павла:павл падаль:падал падать:пада падением:паден падет:падет падчерица:падчериц падшая:падш".split())),
+        ("porter", dict(x.split(":") for x in "ponies:poni ties:ti agreed:agre conflated:conflat sized:size hopping:hop failing:fail filing:file conformabli:conform feudalism:feudal sensibiliti:sensibl formative:form replacement:replac adoption:adopt rate:rate cease:ceas controll:control".split())),
     ],
 )
 def test_other_stemmers(language, words):
     assert {w: STEMMERS[language](w) for w in words} == words
+
+
+@pytest.mark.parametrize("language", sorted(STEMMERS))
+def test_odd_words(language):
+    odd = ["", "e", "'", "yy", "que", "ъ", "aé", "niss", "ß", "iii", "\t", "x" * 5000, "aei" * 2000]
+    assert all(isinstance(STEMMERS[language](w), str) for w in odd)

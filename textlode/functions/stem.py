@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .stem_more import dutch, porter, russian
+from .stem_romance import french, italian, portuguese, spanish
+
 VOWELS = frozenset("aeiouy")
 #: Fixed values of the description: doubles, letters before a removable "li", exceptions.
 DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
@@ -242,6 +245,13 @@ STEMMERS = {
     "swedish": lambda word: nordic(word, SWEDISH),
     "norwegian": lambda word: nordic(word, NORWEGIAN),
     "danish": lambda word: nordic(word, DANISH),
+    "dutch": dutch,
+    "french": french,
+    "italian": italian,
+    "porter": porter,
+    "portuguese": portuguese,
+    "russian": russian,
+    "spanish": spanish,
 }
 
 
