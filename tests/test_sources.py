@@ -10,6 +10,7 @@ from textlode.plans.queries import example
 from textlode.sources import posting_text
 from textlode.sources.qrels import read_qrels
 from textlode.sources.reviews import number_documents, read_reviews
+from textlode.sources.stop_words import read_stop_words
 from textlode.streaming.segments import append_segments, read_segments
 
 
@@ -65,3 +66,16 @@ def test_stream_of_segments(spark, tmp_path):
     postings, terms, docs = read_segments(spark, str(tmp_path / "out"))
     assert {(r.term, r.doc_id): r.tf for r in postings.collect()} == {("a", 0): 2, ("b", 0): 1, ("b", 1): 1, ("c", 1): 1}
     assert {r.term: r.df for r in terms.collect()} == {"a": 1, "b": 2, "c": 1} and docs.count() == 2
+
+
+def test_stop_word_file(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("of\n\nthe\nof\n")
+    assert read_stop_words(spark, str(tmp_path / "w.txt")) == ("of", "the")
+    args = cli.parser().parse_args(["index", "--documents", example("reviews.tsv.gz"), "--out", str(tmp_path / "i"), "--stop-words", str(tmp_path / "w.txt"), "--max-block-size", "50000", "--max-ram", "95"])
+    assert cli.build(spark, args).meta["stop_words"] == ["of", "the"]
+
+
+def test_limits_are_checked():
+    for bad in (["--max-ram", "0"], ["--max-ram", "101"], ["--max-block-size", "0"]):
+        with pytest.raises(ValueError):
+            cli.session_of(cli.parser().parse_args(["index", "--documents", "a", "--out", "b", *bad]))

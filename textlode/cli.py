@@ -2,15 +2,18 @@
 
     python -m textlode.cli index --documents a.tsv.gz --out DIR [--stop-words FILE] [--min-token-length N]
         [--language english] [--posting-list-type positional] [--ranker bm25] [--k K] [--b B] [--schema lnc.ltc]
+        [--max-block-size N] [--max-ram PERCENT]
     python -m textlode.cli search --index DIR [--n 10] [--show-score] [QUERY]      (a shell without QUERY; q ends it)
     python -m textlode.cli evaluate --index DIR --qrels FILE [--n 10 20 50]
 
-Block size and memory limit are Spark's own settings here.
+--max-block-size makes a task's sort go to disk after so many rows, --max-ram gives the engine so many percent of the
+machine's memory. Both are settings of the local session made here, and change no result; a cluster has its own.
 """
 
 from __future__ import annotations
 
 import argparse
+import os
 import time
 
 from pyspark.sql import functions as F
@@ -22,6 +25,7 @@ from .operators.scoring import RankingMethod
 from .session import local_session, ship
 from .sources.qrels import read_qrels
 from .sources.reviews import number_documents, read_reviews
+from .sources.stop_words import read_stop_words
 
 
 def parser() -> argparse.ArgumentParser:
@@ -38,6 +42,8 @@ def parser() -> argparse.ArgumentParser:
     make.add_argument("--k", type=float, default=0.75)
     make.add_argument("--b", type=float, default=0.5)
     make.add_argument("--schema", default="lnc.ltc")
+    make.add_argument("--max-block-size", type=int, help="rows that a sort holds before it goes to disk")
+    make.add_argument("--max-ram", type=int, help="percent of the machine's memory for the engine")
     ask = sub.add_parser("search")
     ask.add_argument("--index", required=True)
     ask.add_argument("--n", type=int, default=10)
@@ -51,7 +57,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def build(spark, args) -> Index:
-    stop = tuple(r[0] for r in spark.read.text(args.stop_words).collect()) if args.stop_words else ()
+    stop = read_stop_words(spark, args.stop_words) if args.stop_words else ()
     analyzer = Analyzer(args.min_token_length or None, stop, args.language)
     ranker = {"ranker": args.ranker.value if args.ranker else None}
     if args.ranker in (RankingMethod.BM25, RankingMethod.BM25_OPTIMIZED):
@@ -76,9 +82,19 @@ def run_search(spark, path: str, queries: list[tuple[int, str]], n: int):
     return scoring.resolve(best, spark.read.parquet(f"{path}/mapping")).orderBy("query_id", "rank")
 
 
+def session_of(args):
+    """A local session under the limits that the arguments name."""
+    share, rows = getattr(args, "max_ram", None), getattr(args, "max_block_size", None)
+    if (share is not None and not 0 < share <= 100) or (rows is not None and rows < 1):
+        raise ValueError("--max-ram is a percentage from 1 to 100, --max-block-size a positive number")
+    machine = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") >> 20
+    limits = {"memory": f"{max(512, machine * share // 100)}m"} if share else {}
+    return local_session(**limits, settings={"spark.shuffle.spill.numElementsForceSpillThreshold": str(rows)} if rows else {})
+
+
 def main(argv=None) -> None:
     args = parser().parse_args(argv)
-    spark = local_session()
+    spark = session_of(args)
     ship(spark)
     if args.command == "index":
         began = time.perf_counter()

@@ -53,3 +53,25 @@ def summary(metrics: DataFrame, latencies: DataFrame | None = None) -> DataFrame
     if latencies is not None:
         out = out.crossJoin(latencies.agg(F.percentile("seconds", F.lit(0.5)).alias("median_seconds"), (F.sum("n_results") / F.sum("seconds")).alias("results_per_second")))
     return out
+
+
+def loop(results: DataFrame, qrels: DataFrame, sizes: list[int]) -> DataFrame:
+    """(n, query_id, n_results, precision, recall, f_score, ndcg) for every n of sizes, each over the first n results of a query.
+
+    results: query_id, doc_id, rank, score, at least as deep as the largest n; qrels: query_id, doc_id, ord, grade.
+    ndcg is that of `ndcg_reference`. Judged queries only; one without results has zeros.
+    """
+    out = None
+    for n in sizes:
+        first = results.where(F.col("rank") <= n)
+        counts = first.groupBy("query_id").agg(F.count("*").alias("n_results"))
+        rows = precision_recall(first, qrels).join(ndcg_reference(first, qrels), "query_id").join(counts, "query_id", "left")
+        rows = rows.select(F.lit(n).alias("n"), "query_id", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), "precision", "recall", "f_score", "ndcg")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def loop_summary(metrics: DataFrame) -> DataFrame:
+    """One row for each n of `loop`: means over its queries, and the results of all of them."""
+    means = [F.avg(c).alias(f"mean_{c}") for c in ("precision", "recall", "f_score", "ndcg")]
+    return metrics.groupBy("n").agg(F.count("*").alias("n_queries"), F.sum("n_results").alias("n_results"), *means)

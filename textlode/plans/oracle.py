@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from ..functions.analysis import PUNCTUATION, STOP_WORDS
-from .settings import BATCH, LOOKUP, LOOKUP_MANY, QUERY, TOP
+from .settings import BATCH, LOOKUP, LOOKUP_MANY, QUERY, SCHEMAS, SIZES, TOP
+
+EXAMPLES = Path(__file__).resolve().parents[1] / "sources" / "examples"
 
 
 def text(x: str) -> str:
@@ -84,6 +88,21 @@ mx AS (SELECT query_id, doc_id, i, j, p1, greatest(0, max(a)) AS a FROM aff GROU
 prox AS (SELECT b.query_id, b.doc_id, coalesce(sum(a), 0) AS s FROM both_terms b LEFT JOIN mx USING (query_id, doc_id) GROUP BY b.query_id, b.doc_id),
 bst AS (SELECT *, CASE WHEN s > 0 THEN log10(s) ELSE 0 END AS boost FROM prox)"""
 
+LOOP = f"""deep AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM sc),
+sizes AS (SELECT unnest({SIZES}) AS n), firsts AS (SELECT n, deep.* FROM deep JOIN sizes ON rank <= n),
+ret AS (SELECT n, query_id, count(*) AS nr, sum((pow(2, score) - 1) / log2(rank + 1)) AS dcg FROM firsts GROUP BY ALL),
+hit AS (SELECT n, query_id, count(*) AS nh FROM firsts SEMI JOIN qrel USING (query_id, doc_id) GROUP BY ALL),
+jud AS (SELECT query_id, count(*) AS nj, sum((pow(2, grade) - 1) / log2(place + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS place FROM qrel) GROUP BY 1),
+lpr AS (SELECT CAST(n AS INTEGER) AS n, query_id, coalesce(nr, 0) AS n_results, CASE WHEN nr > 0 THEN coalesce(nh, 0)::DOUBLE / nr ELSE 0 END AS precision, coalesce(nh, 0)::DOUBLE / nj AS recall, coalesce(dcg, 0) / idcg AS ndcg
+FROM (SELECT * FROM jud, sizes) LEFT JOIN ret USING (n, query_id) LEFT JOIN hit USING (n, query_id)),
+lp AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f_score FROM lpr)"""
+
+
+def file(name: str, columns: str) -> str:
+    """Lines of an example file, numbered from 0."""
+    return f"SELECT {columns} FROM (SELECT unnest(l) AS line, unnest(range(len(l))) AS no FROM (SELECT string_split(content, chr(10)) AS l FROM read_text({text(str(EXAMPLES / name))})))"
+
+
 OUT = "SELECT doc_id, round(score, 6) AS score FROM sc"
 RANKED = f"rk AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM sc QUALIFY rank <= {TOP})"
 QRELS = "qrel AS (SELECT query_id, doc_id, CAST(doc_id % 3 + 1 AS INTEGER) AS grade FROM qs, labels WHERE quality = 1)"
@@ -130,7 +149,7 @@ SQL = {
     "idf_plain": with_base(f"SELECT term, {idf('t')} AS idf FROM tdf"),
     "idf_prob": with_base(f"SELECT term, {idf('p')} AS idf FROM tdf"),
     **{f"tfidf_doc_weights_{t}": with_base(f", {doc_weights(t)} SELECT doc_id, term, w FROM dw") for t in ("lnc", "nnc", "bnc", "lnn")},
-    **{f"tfidf_{a}_{b}": f"WITH {BASE}, {ONE}, {tfidf(a, b)} {OUT}" for a, b in (("lnc", "ltc"), ("nnn", "nnn"), ("btc", "lpc"), ("npc", "btn"))},
+    **{f"tfidf_{a}_{b}": f"WITH {BASE}, {ONE}, {tfidf(a, b)} {OUT}" for a, b in SCHEMAS},
     "bm25": f"WITH {BASE}, {ONE}, {bm25()} {OUT}",
     "bm25_k12_b075": f"WITH {BASE}, {ONE}, {bm25(1.2, 0.75)} {OUT}",
     "topk_bm25": f"WITH {BASE}, {ONE}, {bm25()}, {RANKED} SELECT rank, doc_id, score FROM rk",
@@ -145,4 +164,10 @@ SQL = {
     "eval_ndcg_reference": f"{FOUND}, o AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(k + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS k FROM qrel) GROUP BY 1), g AS (SELECT query_id, sum((pow(2, score) - 1) / log2(rank + 1)) AS dcg FROM rk GROUP BY 1) SELECT query_id, round(coalesce(dcg, 0) / idcg, 6) AS ndcg FROM o LEFT JOIN g USING (query_id)",
     "eval_ndcg": f"{FOUND}, o AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(k + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS k FROM qrel QUALIFY k <= 10) GROUP BY 1), g AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM rk JOIN qrel USING (query_id, doc_id) GROUP BY 1) SELECT query_id, round(coalesce(dcg, 0) / idcg, 6) AS ndcg FROM o LEFT JOIN g USING (query_id)",
     "eval_summary": f"{FOUND}, {PR} SELECT round(avg(precision), 6) AS mean_precision, round(avg(recall), 6) AS mean_recall, round(avg(f_score), 6) AS mean_f_score FROM prf",
+    "eval_loop": f"WITH {BASE}, {MANY}, {bm25()}, {QRELS}, {LOOP} SELECT n, query_id, n_results, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f_score, 6) AS f_score, round(ndcg, 6) AS ndcg FROM lp",
+    "eval_loop_summary": f"WITH {BASE}, {MANY}, {bm25()}, {QRELS}, {LOOP} SELECT n, count(*) AS n_queries, CAST(sum(n_results) AS BIGINT) AS n_results, round(avg(precision), 6) AS mean_precision, round(avg(recall), 6) AS mean_recall, round(avg(f_score), 6) AS mean_f_score, round(avg(ndcg), 6) AS mean_ndcg FROM lp GROUP BY n",
+    "eval_latency": f"{FOUND}, {PR}, lat AS (SELECT query_id, query_id * query_id / 8.0::DOUBLE AS seconds, (SELECT count(*) FROM rk WHERE rk.query_id = qs.query_id) AS n_results FROM qs) SELECT (SELECT round(avg(precision), 6) FROM prf) AS mean_precision, (SELECT round(avg(recall), 6) FROM prf) AS mean_recall, (SELECT round(avg(f_score), 6) FROM prf) AS mean_f_score, round(median(seconds), 6) AS median_seconds, round(sum(n_results) / sum(seconds), 6) AS results_per_second FROM lat",
+    "stop_word_file": file("stop_words.txt", "DISTINCT line AS word") + " WHERE line <> ''",
+    "qrels_load": f"WITH lines AS ({file('judgments.txt', 'trim(line) AS line, no')}), marked AS (SELECT *, last_value(CASE WHEN contains(line, 'Q:') THEN no END IGNORE NULLS) OVER (ORDER BY no) AS block FROM lines), named AS (SELECT no AS block, trim(string_split(line, ':')[2]) AS query FROM lines WHERE contains(line, 'Q:') QUALIFY row_number() OVER (PARTITION BY query ORDER BY no DESC) = 1) SELECT query, row_number() OVER (PARTITION BY query ORDER BY no) - 1 AS ord, string_split(line, chr(9))[1] AS ext_id, CAST(string_split(line, chr(9))[2] AS INTEGER) AS grade FROM marked JOIN named USING (block) WHERE line <> '' AND NOT contains(line, 'Q:')",
+    "reviews_scan": f"SELECT review_id AS ext_id, concat_ws(' ', review_headline, review_body) AS text FROM read_csv({text(str(EXAMPLES / 'reviews.tsv.gz'))}, delim = chr(9), header = true, quote = '\"', escape = '\"', all_varchar = true)",
 }

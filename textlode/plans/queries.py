@@ -20,7 +20,8 @@ from ..session import park, ship, table
 from ..sources import posting_text
 from ..sources.qrels import read_qrels
 from ..sources.reviews import project_text, read_reviews
-from .settings import BATCH, LOOKUP, LOOKUP_MANY, PROJECTED, QUERY, TOP
+from ..sources.stop_words import stop_word_table
+from .settings import BATCH, LOOKUP, LOOKUP_MANY, PROJECTED, QUERY, SCHEMAS, SIZES, TOP
 
 DATA = Path(__file__).resolve().parents[1] / "sources" / "examples"
 INDEXES: dict[tuple, Index] = {}
@@ -142,6 +143,22 @@ def stemmed_tokens(spark, d):
     return positions(tokens(spark, d, Analyzer(3, STOP_WORDS, "english"))).select("doc_id", "pos", "term")
 
 
+def eval_loop(spark, d):
+    """Every query of the batch at every result size, from one ranking as deep as the largest."""
+    found = park(scoring.top_k(scoring.rank(opened(spark, d), batch(spark), scoring.RankingMethod.BM25), max(SIZES)), "found")
+    return evaluation.loop(found, ordered_qrels(spark, d), SIZES)
+
+
+def eval_latency(spark, d):
+    """Means, median latency and results a second. Real times differ from run to run, so that of a query is a stand-in: its number squared, in eighths of a second."""
+    found = results(spark, d)
+    judged = evaluation.precision_recall(found, qrels(spark, d))
+    seconds = (F.col("query_id") * F.col("query_id") / F.lit(8.0)).alias("seconds")
+    latencies = batch(spark).select("query_id").distinct().join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
+    latencies = latencies.select("query_id", seconds, F.coalesce("n", F.lit(0)).alias("n_results"))
+    return six(evaluation.summary(judged, latencies), "mean_precision", "mean_recall", "mean_f_score", "median_seconds", "results_per_second")
+
+
 def example(name: str) -> str:
     return f"file://{DATA / name}"
 
@@ -176,7 +193,7 @@ QUERIES = {
     "idf_plain": idf_of("t"),
     "idf_prob": idf_of("p"),
     **{f"tfidf_doc_weights_{t}": weights(t) for t in ("lnc", "nnc", "bnc", "lnn")},
-    **{f"tfidf_{a}_{b}": scored(scoring.RankingMethod.TF_IDF, schema=f"{a}.{b}") for a, b in (("lnc", "ltc"), ("nnn", "nnn"), ("btc", "lpc"), ("npc", "btn"))},
+    **{f"tfidf_{a}_{b}": scored(scoring.RankingMethod.TF_IDF, schema=f"{a}.{b}") for a, b in SCHEMAS},
     "bm25": scored(scoring.RankingMethod.BM25),
     "bm25_k12_b075": scored(scoring.RankingMethod.BM25, k=1.2, b=0.75),
     "topk_bm25": lambda s, d: top(queries=one)(s, d).select("rank", "doc_id", "score"),
@@ -191,6 +208,10 @@ QUERIES = {
     "eval_ndcg_reference": lambda s, d: six(evaluation.ndcg_reference(results(s, d), ordered_qrels(s, d)), "ndcg"),
     "eval_ndcg": lambda s, d: six(evaluation.ndcg(results(s, d), qrels(s, d)), "ndcg"),
     "eval_summary": lambda s, d: six(evaluation.summary(evaluation.precision_recall(results(s, d), qrels(s, d))), "mean_precision", "mean_recall", "mean_f_score"),
+    "eval_loop": lambda s, d: six(eval_loop(s, d), "precision", "recall", "f_score", "ndcg"),
+    "eval_loop_summary": lambda s, d: six(evaluation.loop_summary(eval_loop(s, d)), "mean_precision", "mean_recall", "mean_f_score", "mean_ndcg"),
+    "eval_latency": eval_latency,
+    "stop_word_file": lambda s, d: stop_word_table(s, example("stop_words.txt")),
     "qrels_load": lambda s, d: read_qrels(s, example("judgments.txt")),
     "reviews_scan": lambda s, d: read_reviews(s, example("reviews.tsv.gz")),
 }

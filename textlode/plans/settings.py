@@ -7,3 +7,7 @@ LOOKUP, LOOKUP_MANY = "anea", ["anea", "thanedble", "erou", "zzzz"]
 #: How the columns of the projected text are joined.
 PROJECTED = ("source", "lang", "text")
 TOP = 10
+#: Result sizes of the benchmark loop.
+SIZES = [10, 20, 50]
+#: Document and query letters of the weighting schemas that have a query: each letter at each place.
+SCHEMAS = [("lnc", "ltc"), ("nnn", "nnn"), ("btc", "lpc"), ("npc", "btn"), ("ltn", "nnc"), ("bpn", "bpc"), ("nnc", "lnn"), ("lpn", "ntn")]

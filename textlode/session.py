@@ -15,10 +15,11 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints/textlode"
 WORKER = {"OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1000000", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
-def local_session(cpus: str | int = "*", memory: str = "8g") -> SparkSession:
+def local_session(cpus: str | int = "*", memory: str = "8g", settings: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests, the command line and the bench."""
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        SparkSession.builder.config(map=settings or {})
+        .master(f"local[{cpus}]")
         .appName("textlode")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus if cpus != "*" else os.cpu_count()))
