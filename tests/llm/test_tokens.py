@@ -95,8 +95,10 @@ def brute_counts(tokens, eos):
 @pytest.mark.parametrize("span", [2, 4096])
 def test_scan_of_flat_files(spark, tmp_path, monkeypatch, span):
     monkeypatch.setattr(token_counts, "SPAN", span)
+    monkeypatch.setattr(token_counts, "RANGE_BLOCKS", 3)
+    monkeypatch.setattr(token_counts, "RANGES_PER_TASK", 2)
     rng, eos, expected = random.Random(7), 9, {}
-    files = {"a.bin": [rng.randrange(10) for _ in range(997)], "b.bin": [9] * 20, "c.bin": [1] * 50, "d.bin": [], "e.bin": [1] * 64 + [9], "f.bin": [9] + [2] * 63}
+    files = {"a.bin": [rng.randrange(10) for _ in range(997)], "b.bin": [9] * 20, "c.bin": [1] * 50, "d.bin": [], "e.bin": [1] * 64 + [9], "f.bin": [9] + [2] * 63, "g %20ü.bin": [3] * 96}
     for name, tokens in files.items():
         (tmp_path / name).write_bytes(np.array(tokens, "<u2").tobytes())
         expected[name] = [(i, *x) for i, x in enumerate(brute_counts(tokens, eos))]
@@ -108,6 +110,18 @@ def test_scan_of_flat_files(spark, tmp_path, monkeypatch, span):
     assert token_counts.count_tokens(blocks.limit(0), eos).count() == 0
 
 
+def test_a_flat_file_of_over_two_gigabytes(spark, tmp_path):
+    places, size = [5, 1 << 20, (1 << 29) + 77], (1 << 29) + 1000
+    with open(tmp_path / "big.bin", "wb") as out:
+        for at in places:
+            out.seek(4 * at)
+            out.write((9).to_bytes(4, "little"))
+        out.truncate(4 * size)
+    blocks = token_counts.read_token_files(spark, str(tmp_path), 4, block_tokens=1 << 18)
+    got = sorted((r.first_token, r.n_tokens, r.ended) for r in token_counts.count_tokens(blocks, 9, 4).collect())
+    assert got == [(0, 5, True), (6, (1 << 20) - 6, True), ((1 << 20) + 1, places[2] - (1 << 20) - 1, True), (places[2] + 1, size - places[2] - 1, False)]
+
+
 def test_written_tables_are_counted(spark):
     df, lib = odd.table(spark).repartition(3), library(BYTE)
     blocks, manifest = token_counts.write_token_blocks(df, "doc_id", "text", BYTE, PATTERN, 50256, block_tokens=64)

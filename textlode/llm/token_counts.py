@@ -10,11 +10,14 @@ documents that cross blocks are stitched from these.
 
 from __future__ import annotations
 
+import math
 from array import array
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,28 +29,47 @@ from .pretokens import vocabulary
 BLOCK_TOKENS = 1 << 16
 #: Blocks in one task of the prefix scan's lower level.
 SPAN = 4096
+#: Blocks of a flat file that are read in one go, and how many such ranges a task reads on average.
+RANGE_BLOCKS, RANGES_PER_TASK = 64, 16
 
 BLOCKS = pa.schema([("file", pa.string()), ("block", pa.int64()), ("data", pa.binary())])
 SCANNED = "file string, block long, n long, seps array<int>"
 
 
+def opened(path: str) -> pa.NativeFile:
+    """A file that Spark has listed, for reads at any place. Local paths and what pyarrow has a file system for."""
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    found, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return found.open_input_file(name)
+
+
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (file, block, data) of flat little-endian token files under `path`, by Spark's own reader.
+    """Blocks (file, block, data) of flat little-endian token files under `path`.
 
-    One file must fit in a task's memory (2 GB at most, the reader's bound). An empty file has no blocks.
+    Spark lists the files without their content. A task reads ranges of whole blocks, so that a file of any
+    size is spread over tasks and no more than a block is held. An empty file has no blocks.
     """
     step = width * block_tokens
+    reach = RANGE_BLOCKS * step
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / F.lit(reach)).cast("long"))
+    ranges = files.select("file", "length", F.explode(parts).alias("part"))
+    tasks = max(1, math.ceil(ranges.count() / RANGES_PER_TASK))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                view = content.as_buffer()
-                if view is None:
-                    continue
-                for k, at in enumerate(range(0, len(view), step)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([view[at : at + step].to_pybytes()], pa.binary())], schema=BLOCKS)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "file string, block long, data binary")
+            for row in batch.to_pylist():
+                start = row["part"] * reach
+                with opened(row["file"]) as source:
+                    source.seek(start)
+                    for k, at in enumerate(range(start, min(start + reach, row["length"]), step)):
+                        data = source.read(min(step, row["length"] - at))
+                        if len(data) < min(step, row["length"] - at):
+                            raise EOFError(f"{row['file']} is shorter than it was")
+                        yield pa.RecordBatch.from_arrays([pa.array([row["file"]]), pa.array([row["part"] * RANGE_BLOCKS + k], pa.int64()), pa.array([data], pa.binary())], schema=BLOCKS)
+
+    return ranges.repartition(tasks, "file", "part").mapInArrow(read, "file string, block long, data binary")
 
 
 def write_token_blocks(df: DataFrame, key: str, text: str, path: str, pattern: str, eos: int, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
