@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import collocations, line_runs, spelling
 from .quality_rules import Rules
 from .sharding import MODULUS, PRIME, SMALL, round_keys
 from .url_filters import OP9_SQL
@@ -87,4 +88,54 @@ SELECT k.doc_id, k.size, k.text_crc32, 'rows' AS law, (p % 16)::INTEGER AS shard
 FROM (SELECT *, row_number() OVER (ORDER BY doc_id, text_crc32, size) - 1 AS rid FROM keyed) k JOIN walk USING (rid), sides WHERE p < n
 """
 
-SQL = {"op2_ngram_jaccard": OP2_SQL, "op8_sharding": OP8_SQL, "op9_url_filters": OP9_SQL, "op10_quality_rules": OP10_SQL}
+LOWERED = f"translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}')"
+PHRASES = collocations.Rules()
+
+OP11_SQL = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWERED}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, list_slice(w, i, i + k - 1) AS g FROM words, unnest(range(1, len(w) + 1)) AS t(i), unnest(range(1, 6)) AS u(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, g, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+tot AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE len(g) > 1 AND f >= {PHRASES.least}),
+cut AS (SELECT lang, g, f AS a, k, list_slice(g, 1, k) AS g1, list_slice(g, k + 1, len(g)) AS g2 FROM cand, unnest(range(1, len(g))) AS t(k)),
+cuts AS (SELECT cut.*, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.g = g1 JOIN f y ON y.lang = cut.lang AND y.g = g2 JOIN tot ON tot.lang = cut.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+parts AS (SELECT lang, list_slice(g, i, i + k - 1) AS g, max(f) AS longer FROM cand, unnest(range(1, len(g) + 1)) AS t(i), unnest(range(2, len(g))) AS u(k) WHERE i + k - 1 <= len(g) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best LEFT JOIN parts USING (lang, g) WHERE longer IS NULL OR longer < a QUALIFY rank <= {PHRASES.top}
+"""
+
+OP12_SQL = f"""
+WITH RECURSIVE bits AS (SELECT i AS id, i::BIGINT AS c, 0 AS k FROM range(256) AS r(i) UNION ALL SELECT id, {BIT}, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY id) AS tab FROM bits WHERE k = 8),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({LOWERED}, '{spelling.RUN}')) AS run FROM documents),
+once AS (SELECT id, run, count(*) AS times FROM runs GROUP BY ALL),
+coded AS (SELECT *, list_transform(range(octet_length(encode(id || ':' || run))), lambda i: ('0x' || hex(encode(id || ':' || run))[2 * i + 1 : 2 * i + 2])::BIGINT) AS bytes FROM once),
+hashed AS (SELECT run, times, {CRC} AS h FROM coded, crc),
+words AS (SELECT CASE WHEN h % {spelling.SLIPS} = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, sum(times)::BIGINT AS n
+          FROM hashed GROUP BY 1 HAVING length(word) >= {spelling.LEAST_LENGTH} AND n >= {spelling.LEAST_TIMES}),
+dels AS (SELECT word, n, length(word) AS len, i, left(word, i) || substr(word, i + 2) AS d FROM words, unnest(range(length(word))) AS t(i)),
+pairs AS (SELECT a.word, b.word AS other, b.n AS m FROM dels a JOIN dels b ON a.d = b.d AND a.i = b.i AND a.len = b.len AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM dels a JOIN words b ON a.d = b.word UNION SELECT b.word, a.word, a.n FROM dels a JOIN words b ON a.d = b.word),
+near AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS best, max(m) AS best_n FROM pairs GROUP BY word),
+found AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {spelling.FACTOR} * n THEN best END AS form, CASE WHEN best_n >= {spelling.FACTOR} * n THEN best_n END AS form_n FROM words LEFT JOIN near USING (word)),
+chain AS (SELECT word, form AS root, 1 AS k FROM found WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN found f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM found LEFT JOIN ends USING (word)
+"""
+
+LINES = line_runs.Rules()
+KEY = f"translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{spelling.UPPER}', '{spelling.LOWER}')"
+
+OP13_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT rid, doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS place FROM docs),
+keyed AS (SELECT *, {KEY} AS key FROM lines),
+often AS (SELECT key FROM keyed WHERE length(key) >= {LINES.least_chars} GROUP BY key HAVING count(DISTINCT rid) >= {LINES.least_docs}),
+kept AS (SELECT *, often.key IS NOT NULL AS gone FROM keyed LEFT JOIN often USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256 FROM kept GROUP BY rid
+"""
+
+SQL = {"op2_ngram_jaccard": OP2_SQL, "op8_sharding": OP8_SQL, "op9_url_filters": OP9_SQL, "op10_quality_rules": OP10_SQL, "op11_collocations": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_line_dedup": OP13_SQL}

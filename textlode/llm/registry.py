@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, html_text, jaccard_join, oracle, packing, quality_rules, sharding, token_counts, toxicity, url_filters
+from . import ann, bpe, collocations, html_text, jaccard_join, line_runs, oracle, packing, quality_rules, sharding, spelling, token_counts, toxicity, url_filters
 from .common import ship
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_url_filters": url_filters.op9_url_filters,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_line_dedup": line_runs.op13_line_dedup,
 }
 
 
