@@ -248,6 +248,9 @@ def count_phrases(spark: SparkSession, rows: DataFrame, sizes: range, seed: int,
             langs, _, keys = shard.dictionary(seed)
             tongues, of = np.unique(np.array(langs), return_inverse=True)
             for size, phrases, times in intervals(possible(shard.stream(), keys, sizes[0], sent.value), sizes):
+                part = sizes[0] - 1
+                fits = np.all([may_have(sent.value, [keys[phrases[:, i + j]] for j in range(part)]) for i in range(size - part + 1)], axis=0) if size > 2 else np.ones(len(phrases), bool)
+                phrases, times = phrases[fits], times[fits]  # neighbours can cover a phrase that has an impossible part
                 for at in range(0, len(phrases), 100_000):
                     part = phrases[at : at + 100_000]
                     lang = pa.DictionaryArray.from_arrays(of[part[:, 0]].astype(np.int32), pa.array(tongues.tolist(), pa.string())).cast(pa.string())
