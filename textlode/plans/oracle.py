@@ -5,7 +5,8 @@ from __future__ import annotations
 from pathlib import Path
 
 from ..functions.analysis import PUNCTUATION, STOP_WORDS
-from .settings import BATCH, LOOKUP, LOOKUP_MANY, QUERY, SCHEMAS, SIZES, TOP
+from ..operators.blocks import SPAN
+from .settings import BATCH, LOOKUP, LOOKUP_MANY, PRUNED, QUERY, SCHEMAS, SIZES, TOP
 
 EXAMPLES = Path(__file__).resolve().parents[1] / "sources" / "examples"
 
@@ -43,9 +44,14 @@ TERMS = "tdf AS (SELECT term, count(*) AS df FROM post GROUP BY term)"
 BASE = f"{STANDARD}, {POST}, {LENGTHS}, {STATS}, {NORMS}, {TERMS}"
 
 
+def asked_of(queries: str) -> str:
+    """Query terms of a statement for (query_id, query)."""
+    return f"qs AS ({queries}), qtok AS ({analyzed('qs', 'query_id', 'query', 3, True)}), q AS (SELECT query_id, unnest(toks) AS term, CAST(unnest(range(len(toks))) AS INTEGER) AS qpos FROM qtok), qd AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY query_id, term)"
+
+
 def asked(queries: list[tuple[int, str]]) -> str:
     rows = ", ".join(f"({i}, {text(q)})" for i, q in queries)
-    return f"qs AS (SELECT * FROM (VALUES {rows}) AS v(query_id, query)), qtok AS ({analyzed('qs', 'query_id', 'query', 3, True)}), q AS (SELECT query_id, unnest(toks) AS term, CAST(unnest(range(len(toks))) AS INTEGER) AS qpos FROM qtok), qd AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY query_id, term)"
+    return asked_of(f"SELECT * FROM (VALUES {rows}) AS v(query_id, query)")
 
 
 ONE, MANY = asked([(0, QUERY)]), asked(BATCH)
@@ -103,6 +109,8 @@ def file(name: str, columns: str) -> str:
     return f"SELECT {columns} FROM (SELECT unnest(l) AS line, unnest(range(len(l))) AS no FROM (SELECT string_split(content, chr(10)) AS l FROM read_text({text(str(EXAMPLES / name))})))"
 
 
+SPANS = f"""spn AS (SELECT doc_id, dl, (row_number() OVER (ORDER BY dl, doc_id) - 1) // {SPAN} AS span FROM len),
+blk AS (SELECT term, span, count(*)::INTEGER AS n, max(tf)::INTEGER AS max_tf, min(dl)::INTEGER AS min_dl, list(doc_id ORDER BY doc_id) AS ids, list(tf::INTEGER ORDER BY doc_id) AS tfs FROM post JOIN spn USING (doc_id) GROUP BY term, span)"""
 OUT = "SELECT doc_id, round(score, 6) AS score FROM sc"
 RANKED = f"rk AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM sc QUALIFY rank <= {TOP})"
 QRELS = "qrel AS (SELECT query_id, doc_id, CAST(doc_id % 3 + 1 AS INTEGER) AS grade FROM qs, labels WHERE quality = 1)"
@@ -154,6 +162,10 @@ SQL = {
     "bm25_k12_b075": f"WITH {BASE}, {ONE}, {bm25(1.2, 0.75)} {OUT}",
     "topk_bm25": f"WITH {BASE}, {ONE}, {bm25()}, {RANKED} SELECT rank, doc_id, score FROM rk",
     "topk_batch": f"WITH {BASE}, {MANY}, {bm25()}, {RANKED} SELECT query_id, rank, doc_id, score FROM rk",
+    "topk_pruned": f"WITH {BASE}, {asked(PRUNED)}, {bm25()}, {RANKED} SELECT query_id, rank, doc_id, score FROM rk",
+    "search_benchmark": f"WITH {BASE}, {asked_of('SELECT item_id AS query_id, text AS query FROM benchmark')}, {bm25()}, {RANKED} SELECT query_id, rank, doc_id, score FROM rk",
+    "posting_blocks": f"WITH {BASE}, {SPANS} SELECT term, span, n, ids[1] AS first, ids[-1] AS last, max_tf, min_dl, list_transform(ids, lambda x: x - ids[1]) AS offsets, tfs FROM blk",
+    "posting_blocks_read": with_base("SELECT term, doc_id, tf, CAST(dl AS INTEGER) AS dl FROM post JOIN len USING (doc_id)"),
     "position_pairs": f"WITH {BASE}, {ONE}, {PAIRS} SELECT doc_id, i, j, p1, p2 FROM near",
     "proximity_boost": f"WITH {BASE}, {ONE}, {PROX} SELECT doc_id, round(s, 6) AS s, round(boost, 6) AS boost FROM bst",
     "bm25_proximity": f"WITH {BASE}, {ONE}, {bm25()}, {PROX} SELECT sc.doc_id, round(score + CASE WHEN boost > 0 AND hi > lo AND nd > lo THEN 0.01::DOUBLE * boost / log2((nd - lo) / (hi - lo) + 1) ELSE 0 END, 6) AS score FROM sc LEFT JOIN bst ON sc.query_id = bst.query_id AND sc.doc_id = bst.doc_id JOIN nrm ON nrm.doc_id = sc.doc_id, lim",

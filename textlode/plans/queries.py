@@ -13,18 +13,24 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import RAW, STANDARD, STOP_WORDS, Analyzer, analyze, positions
 from ..functions.stem import stem_terms as stems_of
-from ..operators import evaluation, scoring
+from ..operators import blocks, evaluation, scoring
 from ..operators import index as ix
 from ..operators.index import Index
-from ..session import park, ship, table
+from ..session import park, ship, stamp, table
 from ..sources import posting_text
 from ..sources.qrels import read_qrels
 from ..sources.reviews import project_text, read_reviews
 from ..sources.stop_words import stop_word_table
-from .settings import BATCH, LOOKUP, LOOKUP_MANY, PROJECTED, QUERY, SCHEMAS, SIZES, TOP
+from .settings import BATCH, LOOKUP, LOOKUP_MANY, PROJECTED, PRUNED, QUERY, SCHEMAS, SIZES, TOP
 
 DATA = Path(__file__).resolve().parents[1] / "sources" / "examples"
 INDEXES: dict[tuple, Index] = {}
+BLOCKS: dict[tuple, blocks.BlockIndex] = {}
+
+
+def key_of(spark, d, analyzer: Analyzer) -> tuple:
+    """Names an index: another session, other files or newer ones make another."""
+    return (spark.sparkContext.applicationId, d, stamp(spark, f"{d}/documents.parquet"), analyzer)
 
 
 def docs(spark, d) -> DataFrame:
@@ -37,13 +43,20 @@ def tokens(spark, d, analyzer: Analyzer) -> DataFrame:
 
 
 def opened(spark, d, analyzer: Analyzer = STANDARD) -> Index:
-    key = (spark.sparkContext.applicationId, d, analyzer)
+    key = key_of(spark, d, analyzer)
     if key not in INDEXES:
         ship(spark)
         INDEXES[key] = Index.build(docs(spark, d).repartition("doc_id"), analyzer)
     return INDEXES[key]
 
 
+def blocked(spark, d) -> blocks.BlockIndex:
+    key = key_of(spark, d, STANDARD)
+    if key not in BLOCKS:
+        BLOCKS[key] = blocks.BlockIndex.build(opened(spark, d))
+    return BLOCKS[key]
+
+
 def one(spark):
     return scoring.query_table(spark, [(0, QUERY)])
 
@@ -159,6 +172,17 @@ def eval_latency(spark, d):
     return six(evaluation.summary(judged, latencies), "mean_precision", "mean_recall", "mean_f_score", "median_seconds", "results_per_second")
 
 
+def posting_blocks(spark, d):
+    found = blocked(spark, d).blocks
+    return found.select("term", "span", "n", "first", "last", F.array_max(F.transform("impacts", lambda x: x["tf"])).alias("max_tf"), F.element_at("impacts", 1)["dl"].alias("min_dl"), "offsets", "tfs")
+
+
+def search_benchmark(spark, d):
+    """The texts of the benchmark table as queries."""
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return blocks.search_table(blocked(spark, d), queries, TOP)
+
+
 def example(name: str) -> str:
     return f"file://{DATA / name}"
 
@@ -198,6 +222,10 @@ QUERIES = {
     "bm25_k12_b075": scored(scoring.RankingMethod.BM25, k=1.2, b=0.75),
     "topk_bm25": lambda s, d: top(queries=one)(s, d).select("rank", "doc_id", "score"),
     "topk_batch": top(),
+    "topk_pruned": lambda s, d: blocks.top_k_pruned(blocked(s, d), scoring.query_table(s, PRUNED), TOP)[0],
+    "search_benchmark": search_benchmark,
+    "posting_blocks": posting_blocks,
+    "posting_blocks_read": lambda s, d: blocks.read_blocks(blocked(s, d).blocks, "term"),
     "position_pairs": pairs,
     "proximity_boost": boosts,
     "bm25_proximity": scored(scoring.RankingMethod.BM25_OPTIMIZED),

@@ -61,3 +61,9 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stamp(spark: SparkSession, path: str) -> int:
+    """A digest of the files at a path: names, sizes and times."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hash(tuple((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)))
