@@ -66,8 +66,7 @@ def build(spark, args) -> Index:
         scoring.check_schema(args.schema)
         ranker |= {"schema": args.schema}
     docs = number_documents(read_reviews(spark, args.documents))
-    docs.select("doc_id", "ext_id").write.mode("overwrite").parquet(f"{args.out}/mapping")
-    return Index.build(docs, analyzer, args.posting_list_type, meta=ranker, path=args.out)
+    return Index.build(docs, analyzer, args.posting_list_type, meta=ranker, path=args.out, extra={"mapping": docs.select("doc_id", "ext_id")})
 
 
 def method_of(index: Index) -> tuple:
@@ -79,7 +78,7 @@ def run_search(spark, path: str, queries: list[tuple[int, str]], n: int):
     index = Index.open(spark, path)
     method, parameters = method_of(index)
     best = scoring.top_k(scoring.rank(index, scoring.query_table(spark, queries), method, **parameters), n)
-    return scoring.resolve(best, spark.read.parquet(f"{path}/mapping")).orderBy("query_id", "rank")
+    return scoring.resolve(best, index.extra["mapping"]).orderBy("query_id", "rank")
 
 
 def session_of(args):

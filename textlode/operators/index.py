@@ -4,7 +4,10 @@ postings  (term, doc_id, tf, dl, sq_n, sq_l, sq_b[, positions]), in files sorted
           length and squared norms ride along, so that scoring joins nothing by document
 terms     (term, df), sorted by term
 docs      (doc_id, dl), every document, those without tokens too
-meta      one row of JSON: layout, ranker, parameters, analyzer settings, corpus statistics
+meta      layout, ranker, parameters, analyzer settings, corpus statistics
+
+An index written to a path is a version of it (sources/snapshots.py): its tables stand in folders of their own, and the
+version that names them is committed when all are there. Whoever has opened an older version goes on reading that.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.analysis import RAW, Analyzer, analyze, positions
-from ..session import park
+from ..session import park, scratch
+from ..sources.snapshots import Snapshots
 
 
 class PostingType(Enum):
@@ -70,7 +74,12 @@ def document_lengths(tokens: DataFrame) -> DataFrame:
 
 def corpus_statistics(lengths: DataFrame) -> DataFrame:
     """One row: n_docs, avgdl, min_norm, max_norm; norms are lengths over the average, to three places. An empty corpus has nulls."""
-    sums = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.min("dl").alias("lo"), F.max("dl").alias("hi"))
+    return statistics_of(lengths.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total"), F.min("dl").alias("lo"), F.max("dl").alias("hi")))
+
+
+def statistics_of(sums: DataFrame) -> DataFrame:
+    """The same from sums of lengths (n_docs, total, lo, hi), which add up over parts of a corpus."""
+    sums = sums.select("n_docs", F.when(F.col("n_docs") > 0, F.col("total").cast("double") / F.col("n_docs")).alias("avgdl"), "lo", "hi")
     norm = lambda c: half_even(F.when(F.col("avgdl") > 0, F.col(c) / F.col("avgdl")))
     return sums.select("n_docs", "avgdl", norm("lo").alias("min_norm"), norm("hi").alias("max_norm"))
 
@@ -110,6 +119,8 @@ class Index:
     docs: DataFrame
     stats: dict
     meta: dict = field(default_factory=dict)
+    extra: dict[str, DataFrame] = field(default_factory=dict)
+    version: int | None = None
 
     @property
     def n_docs(self) -> int:
@@ -119,58 +130,92 @@ class Index:
         return half_even(dl / F.lit(self.stats["avgdl"] or 1.0))
 
     @staticmethod
-    def build(docs: DataFrame, analyzer: Analyzer = RAW, kind: PostingType = PostingType.POSITIONAL, key: str = "doc_id", text: str = "text", meta: dict | None = None, path: str | None = None) -> Index:
-        """Index a table of documents and write it, to `path` or the session's shared folder.
+    def build(docs: DataFrame, analyzer: Analyzer = RAW, kind: PostingType = PostingType.POSITIONAL, key: str = "doc_id", text: str = "text", meta: dict | None = None, path: str | None = None, extra: dict[str, DataFrame] | None = None) -> Index:
+        """Index a table of documents and write it, as a new version of `path` or to the session's shared folder.
 
         Tokens are written first, so that nothing is analysed twice. They are dealt by document once,
         and postings are grouped where they lie; the only exchange of postings is the final sort by term.
         A null text is an empty document. Duplicate keys are documents of one name: their tokens meet in one posting.
+        extra: further tables by name that belong to the index. A build that stops leaves the versions before as they are;
+        of two builds at once one is committed and the other raises CommitConflict.
         """
         spark = docs.sparkSession
         if kind not in LAYOUTS:
             raise ValueError(f"unknown posting type {kind!r}")
-        tokens = park(analyze(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), analyzer), "tokens")
-        lengths = tokens.select("doc_id", F.size("tokens").alias("dl"))
-        postings = ranked_postings(tokens, kind) if kind in (PostingType.FREQUENCY, PostingType.POSITIONAL) else postings_of(tokens.repartition("doc_id"), kind)
-        if kind is PostingType.BOOLEAN:
-            postings = postings.join(lengths.select("doc_id", F.col("dl")).groupBy("doc_id").agg(F.sum("dl").cast("int").alias("dl")), "doc_id")
-        made = park_sorted(postings, path and f"{path}/postings")
-        terms = park_sorted(document_frequencies(made), path and f"{path}/terms")
-        docs_table = write(lengths, path and f"{path}/docs", "docs")
-        stats = corpus_statistics(docs_table.select("doc_id", F.col("dl").cast("long"))).first().asDict()
         whole = {"posting_class": getattr(kind, "value", kind), **analyzer.settings()}
         for name, value in (meta or {}).items():
             if name in whole:
                 raise ValueError(f"metadata key {name!r} is taken")
             whole[name] = value
-        if path:
-            row = json.dumps(whole | {"corpus": stats}, sort_keys=True)
-            spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
-        return Index(spark, kind, analyzer, made, terms, docs_table, stats, whole)
+        place = Place(spark, path)
+        with scratch(spark):
+            tokens = park(analyze(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), analyzer), "tokens")
+            made = place.write_sorted(postings_by_document(tokens, kind), "postings")
+            terms = place.write_sorted(document_frequencies(made), "terms")
+            docs_table = place.write(tokens.select("doc_id", F.size("tokens").alias("dl")), "docs")
+            more = {name: place.write(df, name) for name, df in (extra or {}).items()}
+        stats = corpus_statistics(docs_table.select("doc_id", F.col("dl").cast("long"))).first().asDict()
+        version = place.commit({"meta": whole, "corpus": stats, "extra": sorted(more)})
+        return Index(spark, kind, analyzer, made, terms, docs_table, stats, whole, more, version)
 
     @staticmethod
-    def open(spark: SparkSession, path: str) -> Index:
-        """An index written by build(); what is missing is an error of the reader."""
-        whole = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        stats = whole.pop("corpus")
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
+    def open(spark: SparkSession, path: str, version: int | None = None) -> Index:
+        """An index written by build(), its last version or the one named; what is missing is an error of the reader."""
+        store = Snapshots(spark, path)
+        version, content = store.load(version)
+        if not version:
+            raise ValueError(f"no index at {path}")
+        whole, names = content["meta"], content["names"]
+        read = lambda name: spark.read.parquet(store.table(names[name]))
         kind = next((k for k in LAYOUTS if getattr(k, "value", k) == whole["posting_class"]), None)
         if kind is None:
             raise ValueError(f"unknown posting type {whole['posting_class']!r}")
-        return Index(spark, kind, Analyzer.from_settings(whole), read("postings"), read("terms"), read("docs"), stats, whole)
-
-
-def write(df: DataFrame, path: str | None, tag: str) -> DataFrame:
-    if path is None:
-        return park(df, tag)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def park_sorted(df: DataFrame, path: str | None) -> DataFrame:
-    """Written in files sorted by term, so that a search reads the row groups of its terms."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return Index(spark, kind, Analyzer.from_settings(whole), read("postings"), read("terms"), read("docs"), content["corpus"], whole, {n: read(n) for n in content["extra"]}, version)
+
+
+def postings_by_document(tokens: DataFrame, kind) -> DataFrame:
+    """Postings of a layout with what scoring asks of their document."""
+    if kind in (PostingType.FREQUENCY, PostingType.POSITIONAL):
+        return ranked_postings(tokens, kind)
+    if kind is not PostingType.BOOLEAN:
+        return postings_of(tokens.repartition("doc_id"), kind)
+    # the length rides along from the token array, summed over documents of one name
+    rows = tokens.repartition("doc_id").select("doc_id", F.size("tokens").alias("size"), F.posexplode_outer("tokens").alias("pos", "term")).where("pos is not null")
+    counts = rows.groupBy("doc_id", "term").agg(F.count("*").alias("_n"))
+    return counts.select("term", "doc_id", F.sum("_n").over(Window.partitionBy("doc_id")).cast("int").alias("dl"))
+
+
+class Place:
+    """Where an index is written: folders of a coming version, or the session's shared folder."""
+
+    def __init__(self, spark: SparkSession, path: str | None) -> None:
+        self.spark, self.path, self.names = spark, path, {}
+        self.store = Snapshots(spark, path) if path else None
+        self.after = self.store.load()[0] if self.store else 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        if self.store is None:
+            return park(df, name, keep=True)
+        self.names[name] = self.store.fresh(name)
+        df.write.parquet(self.store.table(self.names[name]))
+        return self.spark.read.parquet(self.store.table(self.names[name]))
+
+    def write_sorted(self, df: DataFrame, name: str) -> DataFrame:
+        return self.write(sorted_by_term(df), name)
+
+    def commit(self, content: dict) -> int | None:
+        if self.store is None:
+            return None
+        version = self.store.commit(content | {"names": self.names, "tables": sorted(self.names.values())}, self.after)
+        # for people: the last version's metadata as text
+        row = json.dumps(content["meta"] | {"corpus": content["corpus"]}, sort_keys=True)
+        self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/meta")
+        return version
+
+
+def sorted_by_term(df: DataFrame) -> DataFrame:
+    """In files sorted by term, so that a search reads the row groups of its terms."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [c for c in ("term", "doc_id") if c in df.columns]
     # doc_id too: a term that most documents have is dealt over several files
-    return write(df.repartitionByRange(n, *order).sortWithinPartitions(*order), path, "sorted")
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)

@@ -128,6 +128,7 @@ def spots(least: int = 0, stop: bool = False) -> str:
 def with_base(rest: str) -> str:
     return f"WITH {BASE} {rest}"
 
+BM25 = f"WITH {BASE}, {ONE}, {bm25()} {OUT}"
 
 SQL = {
     "corpus_scan": "SELECT doc_id, text FROM documents",
@@ -158,7 +159,7 @@ SQL = {
     "idf_prob": with_base(f"SELECT term, {idf('p')} AS idf FROM tdf"),
     **{f"tfidf_doc_weights_{t}": with_base(f", {doc_weights(t)} SELECT doc_id, term, w FROM dw") for t in ("lnc", "nnc", "bnc", "lnn")},
     **{f"tfidf_{a}_{b}": f"WITH {BASE}, {ONE}, {tfidf(a, b)} {OUT}" for a, b in SCHEMAS},
-    "bm25": f"WITH {BASE}, {ONE}, {bm25()} {OUT}",
+    **dict.fromkeys(("bm25", "stream_bm25", "index_snapshot"), BM25),
     "bm25_k12_b075": f"WITH {BASE}, {ONE}, {bm25(1.2, 0.75)} {OUT}",
     "topk_bm25": f"WITH {BASE}, {ONE}, {bm25()}, {RANKED} SELECT rank, doc_id, score FROM rk",
     "topk_batch": f"WITH {BASE}, {MANY}, {bm25()}, {RANKED} SELECT query_id, rank, doc_id, score FROM rk",

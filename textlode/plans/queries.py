@@ -6,6 +6,7 @@ for each folder and setting, built at the first of them and kept for the session
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
@@ -16,11 +17,12 @@ from ..functions.stem import stem_terms as stems_of
 from ..operators import blocks, evaluation, scoring
 from ..operators import index as ix
 from ..operators.index import Index
-from ..session import park, ship, stamp, table
+from ..session import park, shared_dir, ship, stamp, table
 from ..sources import posting_text
 from ..sources.qrels import read_qrels
 from ..sources.reviews import project_text, read_reviews
 from ..sources.stop_words import stop_word_table
+from ..streaming.growing import GrowingIndex
 from .settings import BATCH, LOOKUP, LOOKUP_MANY, PROJECTED, PRUNED, QUERY, SCHEMAS, SIZES, TOP
 
 DATA = Path(__file__).resolve().parents[1] / "sources" / "examples"
@@ -183,6 +185,37 @@ def search_benchmark(spark, d):
     return blocks.search_table(blocked(spark, d), queries, TOP)
 
 
+#: Micro-batches that the documents come in.
+MICRO_BATCHES = 3
+
+
+def grown(spark, d) -> GrowingIndex:
+    """The documents as a stream of files, a third of them in each micro-batch."""
+    path = f"{shared_dir(spark)}/textlode/stream-{uuid.uuid4().hex}"
+    files = spark.sparkContext.defaultParallelism
+    found = docs(spark, d)
+    found.repartition(MICRO_BATCHES * files).write.parquet(f"{path}/inbox")
+    index = GrowingIndex(spark, f"{path}/index", STANDARD, ix.PostingType.FREQUENCY)
+    stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/inbox")
+    index.stream(stream, f"{path}/checkpoint").awaitTermination()
+    return index
+
+
+def stream_bm25(spark, d):
+    return scoring.rounded(scoring.bm25(grown(spark, d).snapshot(), one(spark))).select("doc_id", "score")
+
+
+def index_snapshot(spark, d):
+    """Scores by the first version of an index, opened before a second was committed over it."""
+    path = f"{shared_dir(spark)}/textlode/index-{uuid.uuid4().hex}"
+    Index.build(docs(spark, d).repartition("doc_id"), STANDARD, ix.PostingType.FREQUENCY, path=path)
+    first = Index.open(spark, path)
+    Index.build(table(spark, d, "benchmark"), STANDARD, ix.PostingType.FREQUENCY, "item_id", path=path)
+    if Index.open(spark, path).version != first.version + 1:
+        raise RuntimeError("the second version was not committed")
+    return scoring.rounded(scoring.bm25(first, one(spark))).select("doc_id", "score")
+
+
 def example(name: str) -> str:
     return f"file://{DATA / name}"
 
@@ -226,6 +259,8 @@ QUERIES = {
     "search_benchmark": search_benchmark,
     "posting_blocks": posting_blocks,
     "posting_blocks_read": lambda s, d: blocks.read_blocks(blocked(s, d).blocks, "term"),
+    "stream_bm25": stream_bm25,
+    "index_snapshot": index_snapshot,
     "position_pairs": pairs,
     "proximity_boost": boosts,
     "bm25_proximity": scored(scoring.RankingMethod.BM25_OPTIMIZED),

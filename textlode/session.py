@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +44,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def park(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table into the shared folder and read it again: cuts lineage, survives lost executors."""
+#: Folders of the tables parked in the innermost scope.
+SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables parked inside, unless they are to be kept, are removed at the end: for work whose results are written by then."""
+    mine: list[str] = []
+    token = SCOPE.set(mine)
+    try:
+        yield
+    finally:
+        SCOPE.reset(token)
+        for path in mine:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def park(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Write a table into the shared folder and read it again: cuts lineage, survives lost executors. keep: beyond the scope it is parked in."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textlode/{tag}-{uuid.uuid4().hex}"
+    if not keep and (mine := SCOPE.get()) is not None:
+        mine.append(path)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
