@@ -14,8 +14,8 @@ def index(spark, sf_dir):
 
 
 @pytest.fixture(scope="module")
-def found(index):
-    return blocks.BlockIndex.build(index, span=8)
+def found(spark, sf_dir):
+    return blocks.BlockIndex.build(spark.read.parquet(f"{sf_dir}/documents.parquet"), STANDARD, span=8)
 
 
 def rows(df):
@@ -29,7 +29,8 @@ def some_queries(spark, index, n=40, seed=1):
 
 def test_blocks_hold_the_postings(index, found):
     assert found.blocks.agg(F.max("n")).first()[0] <= 8
-    assert rows(blocks.read_blocks(found.blocks, "term").select("term", "doc_id", "tf", "dl")) == rows(index.postings.select("term", "doc_id", "tf", "dl"))
+    assert rows(found.postings()) == rows(index.postings.select("term", "doc_id", "tf", "dl"))
+    assert rows(found.documents()) == rows(index.docs) and rows(found.terms) == rows(index.terms) and found.stats == index.stats
     assert found.blocks.groupBy("span").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
 
 
@@ -54,10 +55,11 @@ def test_pruned_and_table_search_are_exact(spark, index, found, k, b):
 def test_a_frequent_term_is_read_in_part(spark):
     rng = random.Random(3)
     docs = [(i, " ".join(rng.choices(["common", "other", "third"], [1, 5, 5], k=rng.randrange(2, 60)))) for i in range(3000)]
-    found = blocks.BlockIndex.build(Index.build(spark.createDataFrame(docs, "doc_id long, text string"), RAW, PostingType.FREQUENCY), span=16)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = blocks.BlockIndex.build(table, RAW, span=16)
     queries = scoring.query_table(spark, [(1, "common"), (2, "common third")])
     pruned, counts = blocks.top_k_pruned(found, queries)
-    assert rows(pruned) == rows(scoring.top_k(scoring.bm25(found.index, queries), 10))
+    assert rows(pruned) == rows(scoring.top_k(scoring.bm25(Index.build(table, RAW, PostingType.FREQUENCY), queries), 10))
     n = {r.query_id: r for r in counts.collect()}
     assert n[1].n_postings > 1500 and n[1].n_read < n[1].n_postings / 2
 
@@ -75,7 +77,7 @@ def test_a_table_of_queries_moves_no_postings(spark, index, found):
     try:
         with blocks.subset_keys(spark):
             hits = found.blocks.join(found.at_shards(found.weights(queries)), ["shard", "term"])
-            plan = blocks.sums(index, hits, 0.75, 0.5)._jdf.queryExecution().sparkPlan().toString() + hits._jdf.queryExecution().executedPlan().toString()
+            plan = blocks.sums(found, hits, 0.75, 0.5)._jdf.queryExecution().sparkPlan().toString() + hits._jdf.queryExecution().executedPlan().toString()
             physical = hits._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
@@ -84,19 +86,26 @@ def test_a_table_of_queries_moves_no_postings(spark, index, found):
     assert rows(blocks.search_table(found, queries)) == rows(scoring.top_k(scoring.bm25(index, queries), 10))
 
 
-def test_odd_queries_and_empty_tables(spark, found):
+def test_odd_queries_and_empty_tables(spark, index, found):
     queries = spark.createDataFrame([(1, None), (None, "tion"), (2, "tion"), (2, "ing")], "query_id long, query string")
     both = scoring.query_table(spark, [(2, "tion ing")])
-    expected = rows(scoring.top_k(scoring.bm25(found.index, both), 10))
+    expected = rows(scoring.top_k(scoring.bm25(index, both), 10))
     assert rows(blocks.search_table(found, queries)) == expected and rows(blocks.top_k_pruned(found, queries)[0]) == expected
-    empty = Index.build(spark.createDataFrame([], "doc_id long, text string"), RAW, PostingType.FREQUENCY)
-    none = blocks.BlockIndex.build(empty)
+    none = blocks.BlockIndex.build(spark.createDataFrame([], "doc_id long, text string, term string"))
+    assert none.n_docs == 0 and none.documents().collect() == []
+    odd = blocks.BlockIndex.build(spark.createDataFrame([(None, "a"), (1, None), (2, "b " * 70_000), (3, "b")], "doc_id int, text string"))
+    assert odd.n_docs == 3 and rows(odd.postings()) == [("b", 2, 70_000, 70_000), ("b", 3, 1, 1)]
     assert blocks.search_table(none, queries).collect() == [] and blocks.top_k_pruned(none, queries)[0].collect() == []
 
 
-def test_blocks_are_opened_again(spark, index, tmp_path):
+def test_blocks_are_opened_again(spark, sf_dir, index, tmp_path):
     path = f"file://{tmp_path}/blocks"
-    made = blocks.BlockIndex.build(index, path, shards=3)
-    again = blocks.BlockIndex.open(index, path, 3)
-    assert rows(again.blocks.select("term", "span", "n")) == rows(made.blocks.select("term", "span", "n"))
-    assert again.blocks.count() > 0
+    blocks.BlockIndex.build(spark.read.parquet(f"{sf_dir}/documents.parquet"), STANDARD, path, shards=3)
+    again = blocks.BlockIndex.open(spark, path, STANDARD, 3)
+    assert again.stats == index.stats and rows(again.postings()) == rows(index.postings.select("term", "doc_id", "tf", "dl"))
+
+
+def test_building_moves_the_tokens_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = blocks.blocks_of(blocks.analyze(docs, STANDARD), 8, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1

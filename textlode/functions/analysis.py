@@ -49,8 +49,7 @@ class Analyzer:
         if self.min_length:
             keep.append(lambda t: F.length(t) >= self.min_length)
         if self.stop_words:
-            stop = F.array(*map(F.lit, self.stop_words))
-            keep.append(lambda t: ~F.array_contains(stop, t))
+            keep.append(lambda t: ~t.isin(*self.stop_words))  # a hash set, once there are more than a few
         for test in keep:
             found = F.filter(found, test)
         return found

@@ -1,13 +1,16 @@
 """Postings in blocks, dealt by document: tables of queries, top n with pruning, lookup without moving postings.
 
-Documents stand in the order of their lengths, SPAN neighbours are a span, and spans are dealt over shards. A block
-holds a term's postings in one span: ids as differences from the first, frequencies, lengths, and what a search
+Documents are dealt over shards. In a shard they stand in the order of their lengths, and SPAN neighbours are a span. A
+block holds a term's postings in one span: ids as differences from the first, frequencies, lengths, and what a search
 may skip by, the first and last id, and the impacts, the pairs of frequency and length that no other pair of the block
-beats. From those the best BM25 part in the block is known exactly for any parameters.
+beats. From those the best BM25 part in the block is known exactly for any parameters. The block of no term (null) holds
+all documents of its span.
 
 blocks    (shard, term, low, span, n, first, last, impacts, offsets, tfs, dls), in buckets by shard, sorted by (term, low);
           low is the negated best part at usual parameters, so that a term's best blocks come first in its files
 
+Building moves the tokens once, to their document's shard; all that follows happens there.
+
 All terms of a document are in one shard. So queries go to the shards, and their rows, not the postings, are copied: a
 score is summed where its postings lie, and what leaves a shard is its best k for each query.
 """
@@ -24,9 +27,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.analysis import RAW, Analyzer, analyze
 from ..session import park, shared_dir
-from .index import Index, PostingType, half_even
-from .scoring import idf, need, query_tokens, top_k
+from .index import corpus_statistics, half_even
+from .scoring import idf, query_tokens, top_k
 
 #: Documents of a span, and so the postings of a block at most.
 SPAN = 64
@@ -36,23 +40,11 @@ SALTS = 16
 PUSHED_FLOORS = 64
 #: Scores are given to six places: a block that can come this near to the last of the best is read.
 SLACK = 2e-6
-USUAL = (0.75, 0.5)
+#: Average length, k and b that blocks are put in order by.
+USUAL = (300.0, 0.75, 0.5)
 SCHEMA = "shard INT, term STRING, low DOUBLE, span BIGINT, n INT, first BIGINT, last BIGINT, impacts ARRAY<STRUCT<tf: INT, dl: INT>>, offsets ARRAY<BIGINT>, tfs ARRAY<INT>, dls ARRAY<INT>"
 
 
-def with_place(df: DataFrame, *order: str) -> DataFrame:
-    """df with its place from 0 in this order, which must tell rows apart; sorted by ranges, numbered by their sizes."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = park(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
-    part, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    starts, total = [], 0
-    for r in sorted(rows.groupBy(part.alias("part")).count().collect()):  # one row a range
-        starts.append(F.when(part == r["part"], F.lit(total)))
-        total += r["count"]
-    return rows.withColumn("place", F.coalesce(*starts, F.lit(0)).cast("long") + local).drop("_at")
-
-
 def part_of(tf: Column, dl: Column, avgdl: float | None, k: float, b: float) -> Column:
     """What a posting adds to a BM25 score, without idf: more for a higher frequency, not more for a longer document."""
     tf = tf.cast("double")
@@ -96,31 +88,58 @@ def declared(spark: SparkSession, path: str, shards: int) -> str:
 
 @dataclass
 class BlockIndex:
-    """Blocks of an index; terms, statistics and analyzer are the index's own."""
+    """Blocks, document frequencies (term, df), and four numbers of the corpus."""
 
-    index: Index
+    spark: SparkSession
+    analyzer: Analyzer
     blocks: DataFrame
+    terms: DataFrame
+    stats: dict
     shards: int
 
+    @property
+    def n_docs(self) -> int:
+        return self.stats["n_docs"]
+
     @staticmethod
-    def build(index: Index, path: str | None = None, span: int = SPAN, shards: int | None = None) -> BlockIndex:
-        """Blocks of an index with frequencies, whose doc_id is an integer. shards: as many as the session's shuffle partitions if not given."""
-        need(index, (PostingType.FREQUENCY, PostingType.POSITIONAL))
-        spark = index.spark
+    def build(docs: DataFrame, analyzer: Analyzer = RAW, path: str | None = None, span: int = SPAN, shards: int | None = None, key: str = "doc_id", text: str = "text") -> BlockIndex:
+        """Index a table of documents whose key is an integer. shards: as many as the session's shuffle partitions if not given.
+
+        A null text is an empty document; rows without a key are left out; rows of one key are documents
+        of their own, whose scores add up. Of docs only two columns are read.
+        """
+        spark = docs.sparkSession
         shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
         path = path or f"{shared_dir(spark)}/textlode/blocks-{uuid.uuid4().hex}"
+        tokens = analyze(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null"), analyzer)
         name = declared(spark, path, shards)
-        blocks_of(index, span, shards).select(*spark.table(name).columns).write.insertInto(name)
-        return BlockIndex(index, spark.table(name), shards)
+        blocks_of(tokens, span, shards).select(*spark.table(name).columns).write.insertInto(name)
+        return BlockIndex.of(spark, name, analyzer, shards)
 
     @staticmethod
-    def open(index: Index, path: str, shards: int) -> BlockIndex:
-        return BlockIndex(index, index.spark.table(declared(index.spark, path, shards)), shards)
+    def open(spark: SparkSession, path: str, analyzer: Analyzer, shards: int) -> BlockIndex:
+        """Blocks at a path, written with this analyzer and so many shards."""
+        return BlockIndex.of(spark, declared(spark, path, shards), analyzer, shards)
+
+    @staticmethod
+    def of(spark: SparkSession, name: str, analyzer: Analyzer, shards: int) -> BlockIndex:
+        blocks = spark.table(name)
+        terms = park(blocks.where("term is not null").groupBy("term").agg(F.sum("n").alias("df")), "terms")
+        stats = corpus_statistics(blocks.where("term is null").select(F.explode("dls").alias("dl"))).first().asDict()
+        return BlockIndex(spark, analyzer, blocks, terms, stats, shards)
+
+    def postings(self) -> DataFrame:
+        """(term, doc_id, tf, dl)."""
+        return read_blocks(self.blocks.where("term is not null"), "term")
+
+    def documents(self) -> DataFrame:
+        """(doc_id, dl) of every document."""
+        return read_blocks(self.blocks.where("term is null")).select("doc_id", "dl")
 
     def weights(self, queries: DataFrame) -> DataFrame:
         """(query_id, term, idf) of a table of queries (query_id, query): each term that the index has, once."""
-        asked = park(query_tokens(queries, self.index.analyzer).select("query_id", "term").where("query_id is not null").distinct(), "asked")
-        known = self.index.terms.join(asked.select("term").distinct(), "term", "left_semi").select("term", idf(self.index.n_docs, F.col("df"), "t").alias("idf"))
+        asked = park(query_tokens(queries, self.analyzer).select("query_id", "term").where("query_id is not null").distinct(), "asked")
+        known = self.terms.join(asked.select("term").distinct(), "term", "left_semi").select("term", idf(self.n_docs, F.col("df"), "t").alias("idf"))
         known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = asked.withColumn("salt", F.pmod(F.hash("query_id"), F.lit(SALTS)))
         return park(salted.join(known, ["term", "salt"]).select("query_id", "term", "idf"), "weights")
@@ -130,17 +149,19 @@ class BlockIndex:
         return rows.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1)))).repartition(self.shards, "shard")
 
 
-def span_of(index: Index, span: int) -> DataFrame:
-    """(doc_id, span) of every document that has a posting or none: neighbours in length are in one span."""
-    lengths = index.docs.groupBy("doc_id").agg(F.sum("dl").alias("dl"))
-    return with_place(lengths, "dl", "doc_id").select("doc_id", F.floor(F.col("place") / span).alias("span"))
+def shard_of(doc_id: Column, shards: int) -> Column:
+    return (F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % shards).cast("int")
 
 
-def blocks_of(index: Index, span: int, shards: int) -> DataFrame:
-    """Rows of SCHEMA. Postings move twice: to their document's span, and with it to its shard, where they are grouped."""
-    rows = index.postings.select("term", "doc_id", "tf", "dl").join(span_of(index, span), "doc_id")
-    rows = rows.withColumn("shard", F.pmod("span", F.lit(shards)).cast("int")).repartition(shards, "shard")
-    whole = rows.groupBy("shard", "span", "term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("x"))
+def blocks_of(tokens: DataFrame, span: int, shards: int) -> DataFrame:
+    """Rows of SCHEMA of (doc_id, tokens)."""
+    dealt = tokens.withColumn("shard", shard_of(F.col("doc_id"), shards)).withColumn("dl", F.size("tokens")).repartition(shards, "shard")
+    place = F.row_number().over(Window.partitionBy("shard").orderBy("dl", "doc_id")) - 1
+    placed = dealt.withColumn("span", F.floor(place / span).cast("long") * shards + F.col("shard"))
+    # a null before a document's terms: the block of no term
+    words = placed.select("shard", "span", "doc_id", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
+    counts = words.groupBy("shard", "span", "term", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf"))
+    whole = counts.groupBy("shard", "span", "term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("x"))
     first = F.element_at("x", 1)["doc_id"]
     blocks = whole.select(
         "shard",
@@ -151,10 +172,10 @@ def blocks_of(index: Index, span: int, shards: int) -> DataFrame:
         F.element_at("x", -1)["doc_id"].alias("last"),
         front(F.sort_array(F.transform("x", lambda e: F.struct(e["dl"].alias("dl"), (-e["tf"]).alias("less"))))).alias("impacts"),
         F.transform("x", lambda e: e["doc_id"] - first).alias("offsets"),
-        F.transform("x", lambda e: e["tf"].cast("int")).alias("tfs"),
-        F.transform("x", lambda e: e["dl"].cast("int")).alias("dls"),
+        F.col("x.tf").alias("tfs"),
+        F.col("x.dl").alias("dls"),
     )
-    return blocks.withColumn("low", -best_part(index.stats["avgdl"], *USUAL))
+    return blocks.withColumn("low", -best_part(*USUAL))
 
 
 def read_blocks(blocks: DataFrame, *keep: str) -> DataFrame:
@@ -163,9 +184,9 @@ def read_blocks(blocks: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, (F.col("first") + F.col("e.offsets")).alias("doc_id"), F.col("e.tfs").cast("long").alias("tf"), F.col("e.dls").alias("dl"))
 
 
-def sums(index: Index, hits: DataFrame, k: float, b: float) -> DataFrame:
+def sums(found: BlockIndex, hits: DataFrame, k: float, b: float) -> DataFrame:
     """(shard, query_id, doc_id, score) of blocks that queries meet: (shard, query_id, idf) beside a block."""
-    parts = read_blocks(hits, "shard", "query_id", "idf").withColumn("part", F.col("idf") * part_of(F.col("tf"), F.col("dl"), index.stats["avgdl"], k, b))
+    parts = read_blocks(hits, "shard", "query_id", "idf").withColumn("part", F.col("idf") * part_of(F.col("tf"), F.col("dl"), found.stats["avgdl"], k, b))
     return parts.groupBy("shard", "query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
@@ -175,14 +196,14 @@ def search_table(found: BlockIndex, queries: DataFrame, n: int = 10, k: float =
     Nothing is collected and nothing is broadcast but what Spark itself finds small. Rows of queries without a known term
     are missing; a null query has none, nor has one without an id; an id that comes twice is one query with the terms of both.
     """
-    with subset_keys(found.index.spark):
+    with subset_keys(found.spark):
         hits = found.blocks.join(found.at_shards(found.weights(queries)), ["shard", "term"])
-        return park(top_k(sums(found.index, hits, k, b).select("query_id", "doc_id", "score"), n), "results")
+        return park(top_k(sums(found, hits, k, b).select("query_id", "doc_id", "score"), n), "results")
 
 
 def ranked_spans(found: BlockIndex, weights: DataFrame, k: float, b: float) -> DataFrame:
     """(shard, query_id, span, bound, n): what a document of a span can score at most, and the postings that the span has for the query."""
-    meta = found.blocks.select("shard", "term", "span", "n", best_part(found.index.stats["avgdl"], k, b).alias("best"))
+    meta = found.blocks.select("shard", "term", "span", "n", best_part(found.stats["avgdl"], k, b).alias("best"))
     met = meta.join(found.at_shards(weights), ["shard", "term"])
     return met.groupBy("shard", "query_id", "span").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"), F.sum("n").alias("n"))
 
@@ -201,7 +222,7 @@ def score_spans(found: BlockIndex, wanted: DataFrame, weights: DataFrame, k: flo
     """(query_id, doc_id, score) of all documents of the wanted spans (shard, query_id, span)."""
     pairs = wanted.select("shard", "query_id", "span").join(weights, "query_id").repartition(found.shards, "shard")
     hits = floors(found.blocks, wanted, weights).join(pairs, ["shard", "term", "span"])
-    return sums(found.index, hits, k, b).select("query_id", "doc_id", "score")
+    return sums(found, hits, k, b).select("query_id", "doc_id", "score")
 
 
 def top_k_pruned(found: BlockIndex, queries: DataFrame, n: int = 10, k: float = 0.75, b: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -212,7 +233,7 @@ def top_k_pruned(found: BlockIndex, queries: DataFrame, n: int = 10, k: float =
     """
     if k < 0 or not 0 <= b <= 1:
         raise ValueError("bounds hold for k of at least 0 and b from 0 to 1")
-    spark = found.index.spark
+    spark = found.spark
     with subset_keys(spark):
         weights = found.weights(queries)
         spans = park(ranked_spans(found, weights, k, b), "spans")

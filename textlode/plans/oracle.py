@@ -6,7 +6,7 @@ from pathlib import Path
 
 from ..functions.analysis import PUNCTUATION, STOP_WORDS
 from ..operators.blocks import SPAN
-from .settings import BATCH, LOOKUP, LOOKUP_MANY, PRUNED, QUERY, SCHEMAS, SIZES, TOP
+from .settings import BATCH, LOOKUP, LOOKUP_MANY, PRUNED, QUERY, SCHEMAS, SHARDS, SIZES, TOP
 
 EXAMPLES = Path(__file__).resolve().parents[1] / "sources" / "examples"
 
@@ -109,7 +109,8 @@ def file(name: str, columns: str) -> str:
     return f"SELECT {columns} FROM (SELECT unnest(l) AS line, unnest(range(len(l))) AS no FROM (SELECT string_split(content, chr(10)) AS l FROM read_text({text(str(EXAMPLES / name))})))"
 
 
-SPANS = f"""spn AS (SELECT doc_id, dl, (row_number() OVER (ORDER BY dl, doc_id) - 1) // {SPAN} AS span FROM len),
+SPANS = f"""shd AS (SELECT doc_id, dl, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {SHARDS} AS shard FROM len),
+spn AS (SELECT doc_id, dl, (row_number() OVER (PARTITION BY shard ORDER BY dl, doc_id) - 1) // {SPAN} * {SHARDS} + shard AS span FROM shd),
 blk AS (SELECT term, span, count(*)::INTEGER AS n, max(tf)::INTEGER AS max_tf, min(dl)::INTEGER AS min_dl, list(doc_id ORDER BY doc_id) AS ids, list(tf::INTEGER ORDER BY doc_id) AS tfs FROM post JOIN spn USING (doc_id) GROUP BY term, span)"""
 OUT = "SELECT doc_id, round(score, 6) AS score FROM sc"
 RANKED = f"rk AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM sc QUALIFY rank <= {TOP})"

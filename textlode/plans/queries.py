@@ -23,7 +23,7 @@ from ..sources.qrels import read_qrels
 from ..sources.reviews import project_text, read_reviews
 from ..sources.stop_words import stop_word_table
 from ..streaming.growing import GrowingIndex
-from .settings import BATCH, LOOKUP, LOOKUP_MANY, PROJECTED, PRUNED, QUERY, SCHEMAS, SIZES, TOP
+from .settings import BATCH, LOOKUP, LOOKUP_MANY, PROJECTED, PRUNED, QUERY, SCHEMAS, SHARDS, SIZES, TOP
 
 DATA = Path(__file__).resolve().parents[1] / "sources" / "examples"
 INDEXES: dict[tuple, Index] = {}
@@ -55,7 +55,7 @@ def opened(spark, d, analyzer: Analyzer = STANDARD) -> Index:
 def blocked(spark, d) -> blocks.BlockIndex:
     key = key_of(spark, d, STANDARD)
     if key not in BLOCKS:
-        BLOCKS[key] = blocks.BlockIndex.build(opened(spark, d))
+        BLOCKS[key] = blocks.BlockIndex.build(docs(spark, d), STANDARD)
     return BLOCKS[key]
 
 
@@ -175,7 +175,8 @@ def eval_latency(spark, d):
 
 
 def posting_blocks(spark, d):
-    found = blocked(spark, d).blocks
+    """Blocks in a layout of its own, with as many shards as the SQL has; an index takes the session's number."""
+    found = blocks.blocks_of(tokens(spark, d, STANDARD), blocks.SPAN, SHARDS).where("term is not null")
     return found.select("term", "span", "n", "first", "last", F.array_max(F.transform("impacts", lambda x: x["tf"])).alias("max_tf"), F.element_at("impacts", 1)["dl"].alias("min_dl"), "offsets", "tfs")
 
 
@@ -258,7 +259,7 @@ QUERIES = {
     "topk_pruned": lambda s, d: blocks.top_k_pruned(blocked(s, d), scoring.query_table(s, PRUNED), TOP)[0],
     "search_benchmark": search_benchmark,
     "posting_blocks": posting_blocks,
-    "posting_blocks_read": lambda s, d: blocks.read_blocks(blocked(s, d).blocks, "term"),
+    "posting_blocks_read": lambda s, d: blocked(s, d).postings(),
     "stream_bm25": stream_bm25,
     "index_snapshot": index_snapshot,
     "position_pairs": pairs,
