@@ -6,6 +6,9 @@ words, stems. A term's position is its index in the filtered list.
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +19,9 @@ from .stem import check_language, stem_arrays
 #: The 32 signs that become spaces.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-#: A token is a run of characters outside this white space, or one tab or newline by itself.
-TOKEN = r"[^\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|\t|\n"
+#: White space between tokens. A tab or newline is a token by itself, so these two get spaces around them first.
+GAP = r"[\x0B-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+ALONE = "[\t\n]"
 
 #: The 127 stop words.
 STOP_WORDS = tuple(
@@ -43,16 +47,15 @@ class Analyzer:
 
     def tokens(self, text: Column) -> Column:
         """Tokens of a text, without stems: array<string>, empty for a null text."""
-        spaced = F.lower(F.translate(F.coalesce(text, F.lit("")), PUNCTUATION, " " * len(PUNCTUATION)))
-        found = F.regexp_extract_all(spaced, F.lit(TOKEN), F.lit(0))
-        keep = []
+        # split is several times as fast here as matching tokens by the complement of GAP
+        spaced = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(f"[{re.escape(PUNCTUATION)}]"), F.lit(" "))
+        found = F.split(F.lower(F.regexp_replace(spaced, F.lit(ALONE), F.lit(" $0 "))), GAP)
+        keep = [lambda t: t != ""]
         if self.min_length:
             keep.append(lambda t: F.length(t) >= self.min_length)
         if self.stop_words:
             keep.append(lambda t: ~t.isin(*self.stop_words))  # a hash set, once there are more than a few
-        for test in keep:
-            found = F.filter(found, test)
-        return found
+        return F.filter(found, lambda t: functools.reduce(operator.and_, [test(t) for test in keep]))
 
     def settings(self) -> dict:
         return {"min_token_length": self.min_length, "stop_words": list(self.stop_words), "language": self.language}

@@ -64,7 +64,9 @@ def front(entries: Column) -> Column:
 
 
 def best_part(avgdl: float | None, k: float, b: float) -> Column:
-    return F.array_max(F.transform("impacts", lambda x: part_of(x["tf"], x["dl"], avgdl, k, b)))
+    several = F.array_max(F.transform("impacts", lambda x: part_of(x["tf"], x["dl"], avgdl, k, b)))
+    one = F.element_at("impacts", 1)
+    return F.when(F.size("impacts") == 1, part_of(one["tf"], one["dl"], avgdl, k, b)).otherwise(several)
 
 
 @contextmanager
@@ -146,7 +148,14 @@ class BlockIndex:
 
     def at_shards(self, rows: DataFrame) -> DataFrame:
         """A copy of rows for every shard, dealt as the blocks are."""
-        return rows.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1)))).repartition(self.shards, "shard")
+        return rows.withColumn("shard", F.explode(F.array(*map(F.lit, shard_names(self.spark, self.shards))))).repartition(self.shards, "shard")
+
+
+def shard_names(spark: SparkSession, shards: int) -> list[int]:
+    """So many numbers that Spark's hash deals one to each bucket; 0, 1, 2 ... would share some and leave others empty."""
+    rows = spark.range(shards * (20 + shards.bit_length())).select(F.col("id").cast("int").alias("id"))
+    found = rows.groupBy(F.pmod(F.hash("id"), F.lit(shards)).alias("bucket")).agg(F.min("id").alias("id")).collect()
+    return [r.id for r in sorted(found)]
 
 
 def shard_of(doc_id: Column, shards: int) -> Column:
@@ -155,14 +164,17 @@ def shard_of(doc_id: Column, shards: int) -> Column:
 
 def blocks_of(tokens: DataFrame, span: int, shards: int) -> DataFrame:
     """Rows of SCHEMA of (doc_id, tokens)."""
-    dealt = tokens.withColumn("shard", shard_of(F.col("doc_id"), shards)).withColumn("dl", F.size("tokens")).repartition(shards, "shard")
+    names = F.array(*map(F.lit, shard_names(tokens.sparkSession, shards)))
+    dealt = tokens.withColumn("no", shard_of(F.col("doc_id"), shards)).withColumn("dl", F.size("tokens")).withColumn("shard", F.get(names, "no")).repartition(shards, "shard")
     place = F.row_number().over(Window.partitionBy("shard").orderBy("dl", "doc_id")) - 1
-    placed = dealt.withColumn("span", F.floor(place / span).cast("long") * shards + F.col("shard"))
+    placed = dealt.withColumn("span", F.floor(place / span).cast("long") * shards + F.col("no"))
     # a null before a document's terms: the block of no term
     words = placed.select("shard", "span", "doc_id", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
     counts = words.groupBy("shard", "span", "term", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf"))
     whole = counts.groupBy("shard", "span", "term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("x"))
-    first = F.element_at("x", 1)["doc_id"]
+    # most blocks have one posting: what needs a function of arrays is left to the others
+    one, first = F.element_at("x", 1), F.element_at("x", 1)["doc_id"]
+    alone = F.size("x") == 1
     blocks = whole.select(
         "shard",
         "span",
@@ -170,8 +182,8 @@ def blocks_of(tokens: DataFrame, span: int, shards: int) -> DataFrame:
         F.size("x").alias("n"),
         first.alias("first"),
         F.element_at("x", -1)["doc_id"].alias("last"),
-        front(F.sort_array(F.transform("x", lambda e: F.struct(e["dl"].alias("dl"), (-e["tf"]).alias("less"))))).alias("impacts"),
-        F.transform("x", lambda e: e["doc_id"] - first).alias("offsets"),
+        F.when(alone, F.array(F.struct(one["tf"].alias("tf"), one["dl"].alias("dl")))).otherwise(front(F.sort_array(F.transform("x", lambda e: F.struct(e["dl"].alias("dl"), (-e["tf"]).alias("less")))))).alias("impacts"),
+        F.when(alone, F.array(F.lit(0).cast("long"))).otherwise(F.transform("x", lambda e: e["doc_id"] - first)).alias("offsets"),
         F.col("x.tf").alias("tfs"),
         F.col("x.dl").alias("dls"),
     )
