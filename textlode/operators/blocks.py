@@ -2,12 +2,13 @@
 
 Documents are dealt over shards. In a shard they stand in the order of their lengths, and SPAN neighbours are a span. A
 block holds a term's postings in one span: ids as differences from the first, frequencies, lengths, and what a search
-may skip by, the first and last id, and the impacts, the pairs of frequency and length that no other pair of the block
+may skip by, the first and last id, the highest frequency, the least length, and the impacts, the pairs of frequency and length that no other pair of the block
 beats. From those the best BM25 part in the block is known exactly for any parameters. The block of no term (null) holds
 all documents of its span.
 
-blocks    (shard, term, low, span, n, first, last, impacts, offsets, tfs, dls), in buckets by shard, sorted by (term, low);
-          low is the negated best part at usual parameters, so that a term's best blocks come first in its files
+blocks    (shard, term, low, span, n, first, last, max_tf, min_dl, impacts, offsets, tfs, dls), in buckets by shard, sorted
+          by (term, low); low is the negated best part at usual parameters, so that a term's best blocks come first in
+          its files. Most blocks have one posting: their arrays are null, as are impacts that are (max_tf, min_dl) alone
 
 Building moves the tokens once, to their document's shard; all that follows happens there.
 
@@ -42,7 +43,7 @@ PUSHED_FLOORS = 64
 SLACK = 2e-6
 #: Average length, k and b that blocks are put in order by.
 USUAL = (300.0, 0.75, 0.5)
-SCHEMA = "shard INT, term STRING, low DOUBLE, span BIGINT, n INT, first BIGINT, last BIGINT, impacts ARRAY<STRUCT<tf: INT, dl: INT>>, offsets ARRAY<BIGINT>, tfs ARRAY<INT>, dls ARRAY<INT>"
+SCHEMA = "shard INT, term STRING, low DOUBLE, span BIGINT, n INT, first BIGINT, last BIGINT, max_tf INT, min_dl INT, impacts ARRAY<STRUCT<tf: INT, dl: INT>>, offsets ARRAY<BIGINT>, tfs ARRAY<INT>, dls ARRAY<INT>"
 
 
 def part_of(tf: Column, dl: Column, avgdl: float | None, k: float, b: float) -> Column:
@@ -65,8 +66,7 @@ def front(entries: Column) -> Column:
 
 def best_part(avgdl: float | None, k: float, b: float) -> Column:
     several = F.array_max(F.transform("impacts", lambda x: part_of(x["tf"], x["dl"], avgdl, k, b)))
-    one = F.element_at("impacts", 1)
-    return F.when(F.size("impacts") == 1, part_of(one["tf"], one["dl"], avgdl, k, b)).otherwise(several)
+    return F.when(F.col("impacts").isNull(), part_of(F.col("max_tf"), F.col("min_dl"), avgdl, k, b)).otherwise(several)
 
 
 @contextmanager
@@ -127,7 +127,7 @@ class BlockIndex:
     def of(spark: SparkSession, name: str, analyzer: Analyzer, shards: int) -> BlockIndex:
         blocks = spark.table(name)
         terms = park(blocks.where("term is not null").groupBy("term").agg(F.sum("n").alias("df")), "terms")
-        stats = corpus_statistics(blocks.where("term is null").select(F.explode("dls").alias("dl"))).first().asDict()
+        stats = corpus_statistics(read_blocks(blocks.where("term is null")).select("dl")).first().asDict()
         return BlockIndex(spark, analyzer, blocks, terms, stats, shards)
 
     def postings(self) -> DataFrame:
@@ -172,9 +172,7 @@ def blocks_of(tokens: DataFrame, span: int, shards: int) -> DataFrame:
     words = placed.select("shard", "span", "doc_id", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
     counts = words.groupBy("shard", "span", "term", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf"))
     whole = counts.groupBy("shard", "span", "term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("x"))
-    # most blocks have one posting: what needs a function of arrays is left to the others
-    one, first = F.element_at("x", 1), F.element_at("x", 1)["doc_id"]
-    alone = F.size("x") == 1
+    several, first = F.size("x") > 1, F.element_at("x", 1)["doc_id"]
     blocks = whole.select(
         "shard",
         "span",
@@ -182,17 +180,21 @@ def blocks_of(tokens: DataFrame, span: int, shards: int) -> DataFrame:
         F.size("x").alias("n"),
         first.alias("first"),
         F.element_at("x", -1)["doc_id"].alias("last"),
-        F.when(alone, F.array(F.struct(one["tf"].alias("tf"), one["dl"].alias("dl")))).otherwise(front(F.sort_array(F.transform("x", lambda e: F.struct(e["dl"].alias("dl"), (-e["tf"]).alias("less")))))).alias("impacts"),
-        F.when(alone, F.array(F.lit(0).cast("long"))).otherwise(F.transform("x", lambda e: e["doc_id"] - first)).alias("offsets"),
-        F.col("x.tf").alias("tfs"),
-        F.col("x.dl").alias("dls"),
+        F.array_max("x.tf").alias("max_tf"),
+        F.array_min("x.dl").alias("min_dl"),
+        F.when(several, front(F.sort_array(F.transform("x", lambda e: F.struct(e["dl"].alias("dl"), (-e["tf"]).alias("less")))))).alias("impacts"),
+        F.when(several, F.transform("x", lambda e: e["doc_id"] - first)).alias("offsets"),
+        F.when(several, F.col("x.tf")).alias("tfs"),
+        F.when(several, F.col("x.dl")).alias("dls"),
     )
-    return blocks.withColumn("low", -best_part(*USUAL))
+    # a front of one pair is (max_tf, min_dl)
+    return blocks.withColumn("impacts", F.when(F.size("impacts") > 1, F.col("impacts"))).withColumn("low", -best_part(*USUAL))
 
 
 def read_blocks(blocks: DataFrame, *keep: str) -> DataFrame:
     """Postings of blocks: (keep..., doc_id, tf, dl)."""
-    rows = blocks.select(*keep, "first", F.explode(F.arrays_zip("offsets", "tfs", "dls")).alias("e"))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("offsets"), F.col("max_tf").alias("tfs"), F.col("min_dl").alias("dls")))
+    rows = blocks.select(*keep, "first", F.explode(F.when(F.col("n") == 1, one).otherwise(F.arrays_zip("offsets", "tfs", "dls"))).alias("e"))
     return rows.select(*keep, (F.col("first") + F.col("e.offsets")).alias("doc_id"), F.col("e.tfs").cast("long").alias("tf"), F.col("e.dls").alias("dl"))
 
 

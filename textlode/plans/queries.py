@@ -177,7 +177,7 @@ def eval_latency(spark, d):
 def posting_blocks(spark, d):
     """Blocks in a layout of its own, with as many shards as the SQL has; an index takes the session's number."""
     found = blocks.blocks_of(tokens(spark, d, STANDARD), blocks.SPAN, SHARDS).where("term is not null")
-    return found.select("term", "span", "n", "first", "last", F.array_max(F.transform("impacts", lambda x: x["tf"])).alias("max_tf"), F.element_at("impacts", 1)["dl"].alias("min_dl"), "offsets", "tfs")
+    return found.select("term", "span", "n", "first", "last", "max_tf", "min_dl", F.coalesce("offsets", F.array(F.lit(0).cast("long"))).alias("offsets"), F.coalesce("tfs", F.array("max_tf")).alias("tfs"))
 
 
 def search_benchmark(spark, d):
