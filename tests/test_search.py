@@ -171,3 +171,26 @@ def test_meta_is_json(spark, tmp_path, smoke):
     path = str(tmp_path / "meta")
     Index.build(spark.createDataFrame(SMOKE, "doc_id long, text string"), path=path)
     assert json.loads(spark.read.text(f"{path}/meta").first()[0])["posting_class"] == "positional"
+
+
+def test_long_position_lists_meet_by_bins(spark, monkeypatch, albums):
+    """The same pairs and sums whichever way lists are compared."""
+    queries = scoring.query_table(spark, [(0, "greatest rock album rock"), (1, "album greatest")])
+    values = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    inside = values(scoring.position_pairs(albums, queries)), values(scoring.proximity(albums, queries))
+    monkeypatch.setattr(scoring, "COMPARED", 0)
+    assert (values(scoring.position_pairs(albums, queries)), values(scoring.proximity(albums, queries))) == inside
+
+
+def test_proximity_is_near_linear_in_a_long_document(spark):
+    """50,000 occurrences of two terms, 2.5 billion pairs of positions: what is made is at most one row for each place in reach."""
+    index = Index.build(spark.createDataFrame([(0, "rock album " * 50_000), (1, "rock")], "doc_id long, text string"))
+    queries = scoring.query_table(spark, [(0, "rock album")])
+    assert scoring.position_pairs(index, queries).count() == sum(sum(0 <= p + d < 100_000 for d in range(-9, 10, 2)) for p in range(0, 100_000, 2))
+
+    def fit(apart):
+        dist = apart - 2 if apart < 0 else 2 - apart
+        return math.log10(15) - math.log10(dist + 1) if dist >= 0 else 0.8 * (math.log10(1 - dist) + math.log10(15))
+
+    brute = sum(max(0.0, *(fit(d) for d in range(-9, 10, 2) if 0 <= p + d < 100_000)) for p in range(0, 100_000, 2))
+    assert scoring.proximity(index, queries).first().s == pytest.approx(brute, rel=1e-9)

@@ -180,11 +180,35 @@ def matched_pairs(index: Index, queries) -> DataFrame:
     return first.join(asked.pairs, "t1").join(second, ["doc_id", "t2"]).select("query_id", "doc_id", "dl", "i", "j", "p1", "p2")
 
 
+#: Pairs of two position lists up to which they are compared inside arrays; longer lists meet by bins.
+COMPARED = 4096
+
+
+def short_lists(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matched pairs whose lists are compared as they are, and the others."""
+    few = F.size("p1").cast("long") * F.size("p2") <= COMPARED
+    return rows.where(few), rows.where(~few)
+
+
+def met_by_bins(rows: DataFrame, how: str = "inner") -> DataFrame:
+    """Long lists as rows: (query_id, doc_id, dl, i, j, p1, p2) of positions within reach. A bin is as wide as the reach,
+    so a first position meets the second ones of three bins: at most as many as there are places in reach, however long the lists are."""
+    width = REACH + 1
+    keys = ["query_id", "doc_id", "i", "j"]
+    first = rows.select(*keys, "dl", F.explode("p1").alias("p1")).withColumn("bin", F.floor(F.col("p1") / width))
+    second = rows.select(*keys, F.explode("p2").alias("p2")).withColumn("at", F.floor(F.col("p2") / width))
+    second = second.withColumn("bin", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1))).drop("at")
+    near = F.abs(second["p2"] - first["p1"]) <= REACH
+    return first.join(second, [*(first[c].eqNullSafe(second[c]) for c in keys), first["bin"] == second["bin"], near], how).select(*(first[c] for c in keys), "dl", "p1", "p2")
+
+
 def position_pairs(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, i, j, p1, p2) of positions within reach of each other, one row each."""
-    rows = matched_pairs(index, queries).select("query_id", "doc_id", "i", "j", F.explode("p1").alias("p1"), "p2")
+    short, long = short_lists(matched_pairs(index, queries))
+    rows = short.select("query_id", "doc_id", "i", "j", F.explode("p1").alias("p1"), "p2")
     near = F.filter("p2", lambda p: F.abs(p - F.col("p1")) <= REACH)
-    return rows.select("query_id", "doc_id", "i", "j", "p1", F.explode(near).alias("p2"))
+    inside = rows.select("query_id", "doc_id", "i", "j", "p1", F.explode(near).alias("p2"))
+    return inside.unionByName(met_by_bins(long).drop("dl"))
 
 
 def closeness(gap: Column, p1: Column, p2: Column) -> Column:
@@ -202,8 +226,11 @@ def proximity(index: Index, queries: DataFrame) -> DataFrame:
         near = F.filter("p2", lambda p2: F.abs(p2 - p1) <= REACH)
         return F.greatest(F.lit(0.0), F.coalesce(F.array_max(F.transform(near, lambda p2: closeness(gap, p1, p2))), F.lit(0.0)))
 
-    rows = matched_pairs(index, queries).withColumn("part", F.aggregate(F.transform("p1", best), F.lit(0.0), lambda a, x: a + x))
-    sums = rows.groupBy("query_id", "doc_id", "dl").agg(F.sum("part").alias("s"))
+    short, long = short_lists(matched_pairs(index, queries))
+    short = short.select("query_id", "doc_id", "dl", F.aggregate(F.transform("p1", best), F.lit(0.0), lambda a, x: a + x).alias("part"))
+    met = met_by_bins(long, "left").withColumn("part", F.greatest(F.lit(0.0), F.coalesce(closeness(gap, F.col("p1"), F.col("p2")), F.lit(0.0))))
+    long = met.groupBy("query_id", "doc_id", "dl", "i", "j", "p1").agg(F.max("part").alias("part"))
+    sums = short.unionByName(long.select("query_id", "doc_id", "dl", "part")).groupBy("query_id", "doc_id", "dl").agg(F.sum("part").alias("s"))
     return sums.withColumn("boost", F.when(F.col("s") > 0, F.log10("s")).otherwise(0.0))
 
 
