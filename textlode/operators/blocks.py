@@ -7,7 +7,7 @@ beats. From those the best BM25 part in the block is known exactly for any param
 all documents of its span.
 
 blocks    (shard, term, low, span, n, first, last, max_tf, min_dl, impacts, offsets, tfs, dls), in buckets by shard, sorted
-          by (term, low); low is the negated best part at usual parameters, so that a term's best blocks come first in
+          by (term, low); low is the negated part at usual parameters, about the best, so that a term's best blocks come first in
           its files. Most blocks have one posting: their arrays are null, as are impacts that are (max_tf, min_dl) alone
 
 Building moves the tokens once, to their document's shard; all that follows happens there.
@@ -42,7 +42,7 @@ PUSHED_FLOORS = 64
 #: Scores are given to six places: a block that can come this near to the last of the best is read.
 SLACK = 2e-6
 #: Average length, k and b that blocks are put in order by.
-USUAL = (300.0, 0.75, 0.5)
+USUAL_LENGTH, USUAL_K, USUAL_B = 300.0, 0.75, 0.5
 SCHEMA = "shard INT, term STRING, low DOUBLE, span BIGINT, n INT, first BIGINT, last BIGINT, max_tf INT, min_dl INT, impacts ARRAY<STRUCT<tf: INT, dl: INT>>, offsets ARRAY<BIGINT>, tfs ARRAY<INT>, dls ARRAY<INT>"
 
 
@@ -64,6 +64,12 @@ def front(entries: Column) -> Column:
     return F.aggregate(entries, start, step, lambda acc: acc["kept"])
 
 
+def usual_part() -> Column:
+    """About the best part of a block at usual parameters, from its highest frequency and least length: an order, no bound."""
+    tf = F.col("max_tf").cast("double")
+    return tf / (tf + USUAL_K * (1 - USUAL_B + USUAL_B * F.col("min_dl") / USUAL_LENGTH))
+
+
 def best_part(avgdl: float | None, k: float, b: float) -> Column:
     several = F.array_max(F.transform("impacts", lambda x: part_of(x["tf"], x["dl"], avgdl, k, b)))
     return F.when(F.col("impacts").isNull(), part_of(F.col("max_tf"), F.col("min_dl"), avgdl, k, b)).otherwise(several)
@@ -188,7 +194,7 @@ def blocks_of(tokens: DataFrame, span: int, shards: int) -> DataFrame:
         F.when(several, F.col("x.dl")).alias("dls"),
     )
     # a front of one pair is (max_tf, min_dl)
-    return blocks.withColumn("impacts", F.when(F.size("impacts") > 1, F.col("impacts"))).withColumn("low", -best_part(*USUAL))
+    return blocks.withColumn("impacts", F.when(F.size("impacts") > 1, F.col("impacts"))).withColumn("low", -usual_part())
 
 
 def read_blocks(blocks: DataFrame, *keep: str) -> DataFrame:

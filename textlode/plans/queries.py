@@ -176,7 +176,7 @@ def eval_latency(spark, d):
 
 def posting_blocks(spark, d):
     """Blocks in a layout of its own, with as many shards as the SQL has; an index takes the session's number."""
-    found = blocks.blocks_of(tokens(spark, d, STANDARD), blocks.SPAN, SHARDS).where("term is not null")
+    found = blocks.blocks_of(analyze(docs(spark, d), STANDARD), blocks.SPAN, SHARDS).where("term is not null")
     return found.select("term", "span", "n", "first", "last", "max_tf", "min_dl", F.coalesce("offsets", F.array(F.lit(0).cast("long"))).alias("offsets"), F.coalesce("tfs", F.array("max_tf")).alias("tfs"))
 
 
@@ -209,7 +209,7 @@ def stream_bm25(spark, d):
 def index_snapshot(spark, d):
     """Scores by the first version of an index, opened before a second was committed over it."""
     path = f"{shared_dir(spark)}/textlode/index-{uuid.uuid4().hex}"
-    Index.build(docs(spark, d).repartition("doc_id"), STANDARD, ix.PostingType.FREQUENCY, path=path)
+    Index.build(docs(spark, d), STANDARD, ix.PostingType.FREQUENCY, path=path)
     first = Index.open(spark, path)
     Index.build(table(spark, d, "benchmark"), STANDARD, ix.PostingType.FREQUENCY, "item_id", path=path)
     if Index.open(spark, path).version != first.version + 1:
