@@ -197,7 +197,7 @@ class Place:
         if self.store is None:
             return park(df, name, keep=True)
         self.names[name] = self.store.fresh(name)
-        df.write.parquet(self.store.table(self.names[name]))
+        df.write.option("compression", "zstd").parquet(self.store.table(self.names[name]))
         return self.spark.read.parquet(self.store.table(self.names[name]))
 
     def write_sorted(self, df: DataFrame, name: str) -> DataFrame:
