@@ -7,7 +7,7 @@ from textlode.llm.common import park
 
 def test_stages_have_their_names_and_order():
     assert [name for name, _ in cp.STAGES] == ["toxicity", "quality_rules", "ngram_jaccard", "best_fit_packing"]
-    assert cp.ORACLE_SQL is None and len(registry.QUERIES) == 10
+    assert cp.ORACLE_SQL is None and len(registry.QUERIES) == 13
 
 
 def test_each_stage_against_its_operator(spark, sf_dir):
