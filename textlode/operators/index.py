@@ -13,10 +13,11 @@ version that names them is committed when all are there. Whoever has opened an o
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.analysis import RAW, Analyzer, analyze, positions
@@ -63,9 +64,51 @@ def postings_of(tokens: DataFrame, kind) -> DataFrame:
     return LAYOUTS[kind](tokens)
 
 
-def document_frequencies(postings: DataFrame) -> DataFrame:
-    """(term, df) of any layout: rows of (term, doc_id) are distinct."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
+@dataclass(frozen=True)
+class Hooks:
+    """What a ranker keeps in an index, worked out while it is built.
+
+    postings    columns of counted postings: f(window over all postings of the document) -> Column over (term, doc_id, tf[, positions])
+    terms       columns of the terms table: an aggregate over a term's postings, the columns above among them
+    parameters  values for the metadata, which whoever opens the index finds there
+    """
+
+    postings: Mapping[str, Callable[[WindowSpec], Column]] = field(default_factory=dict)
+    terms: Mapping[str, Callable[[], Column]] = field(default_factory=dict)
+    parameters: Mapping[str, object] = field(default_factory=dict)
+
+
+HOOKS: dict[str, Hooks] = {}
+#: Columns that every index of counted postings has.
+TAKEN = frozenset(("term", "doc_id", "tf", "dl", "sq_n", "sq_l", "sq_b", "positions", "df"))
+
+
+def register_hooks(ranker: str, hooks: Hooks) -> None:
+    """Let a ranker have columns of its own in the indexes that are built for it (Index.build(rankers=...))."""
+    names = [*hooks.postings, *hooks.terms]
+    if len(set(names)) < len(names) or TAKEN & set(names):
+        raise ValueError(f"column names {names} are taken or repeated")
+    HOOKS[ranker] = hooks
+
+
+def hooks_of(rankers: Iterable[str]) -> Hooks:
+    """The hooks of several rankers together; those that use one name for a column share it if they are the same."""
+    whole = Hooks()
+    for ranker in rankers:
+        if ranker not in HOOKS:
+            raise ValueError(f"no hooks are registered for the ranker {ranker!r}")
+        for have, more in ((whole.postings, HOOKS[ranker].postings), (whole.terms, HOOKS[ranker].terms), (whole.parameters, HOOKS[ranker].parameters)):
+            if clash := [c for c in more if c in have and have[c] != more[c]]:
+                raise ValueError(f"rankers do not agree about {clash}")
+            have.update(more)
+    if set(whole.postings) & set(whole.terms):
+        raise ValueError("a column of postings and one of terms have the same name")
+    return whole
+
+
+def document_frequencies(postings: DataFrame, more: Mapping[str, Callable[[], Column]] | None = None) -> DataFrame:
+    """(term, df) of any layout, with more aggregates by name: rows of (term, doc_id) are distinct."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"), *(f().alias(name) for name, f in (more or {}).items()))
 
 
 def document_lengths(tokens: DataFrame) -> DataFrame:
@@ -84,8 +127,8 @@ def statistics_of(sums: DataFrame) -> DataFrame:
     return sums.select("n_docs", "avgdl", norm("lo").alias("min_norm"), norm("hi").alias("max_norm"))
 
 
-def ranked_postings(tokens: DataFrame, kind: PostingType) -> DataFrame:
-    """Postings with frequencies, or positions too, and what scoring asks of their document."""
+def ranked_postings(tokens: DataFrame, kind: PostingType, more: Mapping[str, Callable[[WindowSpec], Column]] | None = None) -> DataFrame:
+    """Postings with frequencies, or positions too, and what scoring asks of their document, with more columns by name."""
     # dealt by document, so that grouping by (document, term) and the sums by document exchange nothing more
     spots = positions(tokens.repartition("doc_id"))
     what = [F.count("*").cast("long").alias("tf")]
@@ -103,6 +146,7 @@ def ranked_postings(tokens: DataFrame, kind: PostingType) -> DataFrame:
         F.sum(damped * damped).over(of_doc).alias("sq_l"),
         F.count("*").over(of_doc).cast("double").alias("sq_b"),
         *(["positions"] if kind is PostingType.POSITIONAL else []),
+        *(f(of_doc).alias(name) for name, f in (more or {}).items()),
     )
     return postings
 
@@ -121,6 +165,7 @@ class Index:
     meta: dict = field(default_factory=dict)
     extra: dict[str, DataFrame] = field(default_factory=dict)
     version: int | None = None
+    rankers: tuple[str, ...] = ()
 
     @property
     def n_docs(self) -> int:
@@ -130,33 +175,37 @@ class Index:
         return half_even(dl / F.lit(self.stats["avgdl"] or 1.0))
 
     @staticmethod
-    def build(docs: DataFrame, analyzer: Analyzer = RAW, kind: PostingType = PostingType.POSITIONAL, key: str = "doc_id", text: str = "text", meta: dict | None = None, path: str | None = None, extra: dict[str, DataFrame] | None = None) -> Index:
+    def build(docs: DataFrame, analyzer: Analyzer = RAW, kind: PostingType = PostingType.POSITIONAL, key: str = "doc_id", text: str = "text", meta: dict | None = None, path: str | None = None, extra: dict[str, DataFrame] | None = None, rankers: Iterable[str] = ()) -> Index:
         """Index a table of documents and write it, as a new version of `path` or to the session's shared folder.
 
         Tokens are written first, so that nothing is analysed twice. They are dealt by document once,
         and postings are grouped where they lie; the only exchange of postings is the final sort by term.
         A null text is an empty document. Duplicate keys are documents of one name: their tokens meet in one posting.
-        extra: further tables by name that belong to the index. A build that stops leaves the versions before as they are;
+        extra: further tables by name that belong to the index. rankers: names whose hooks add columns to it. A build that stops leaves the versions before as they are;
         of two builds at once one is committed and the other raises CommitConflict.
         """
         spark = docs.sparkSession
         if kind not in LAYOUTS:
             raise ValueError(f"unknown posting type {kind!r}")
+        rankers = tuple(rankers)
+        hooks = hooks_of(rankers)
+        if (hooks.postings or hooks.terms) and kind not in (PostingType.FREQUENCY, PostingType.POSITIONAL):
+            raise ValueError("hooks add columns to frequency or positional postings only")
         whole = {"posting_class": getattr(kind, "value", kind), **analyzer.settings()}
-        for name, value in (meta or {}).items():
+        for name, value in (hooks.parameters | (meta or {})).items():
             if name in whole:
                 raise ValueError(f"metadata key {name!r} is taken")
             whole[name] = value
         place = Place(spark, path)
         with scratch(spark):
             tokens = park(analyze(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), analyzer), "tokens")
-            made = place.write_sorted(postings_by_document(tokens, kind), "postings")
-            terms = place.write_sorted(document_frequencies(made), "terms")
+            made = place.write_sorted(postings_by_document(tokens, kind, hooks.postings), "postings")
+            terms = place.write_sorted(document_frequencies(made, hooks.terms), "terms")
             docs_table = place.write(tokens.select("doc_id", F.size("tokens").alias("dl")), "docs")
             more = {name: place.write(df, name) for name, df in (extra or {}).items()}
         stats = corpus_statistics(docs_table.select("doc_id", F.col("dl").cast("long"))).first().asDict()
-        version = place.commit({"meta": whole, "corpus": stats, "extra": sorted(more)})
-        return Index(spark, kind, analyzer, made, terms, docs_table, stats, whole, more, version)
+        version = place.commit({"meta": whole, "corpus": stats, "extra": sorted(more), "rankers": list(rankers)})
+        return Index(spark, kind, analyzer, made, terms, docs_table, stats, whole, more, version, rankers)
 
     @staticmethod
     def open(spark: SparkSession, path: str, version: int | None = None) -> Index:
@@ -170,13 +219,13 @@ class Index:
         kind = next((k for k in LAYOUTS if getattr(k, "value", k) == whole["posting_class"]), None)
         if kind is None:
             raise ValueError(f"unknown posting type {whole['posting_class']!r}")
-        return Index(spark, kind, Analyzer.from_settings(whole), read("postings"), read("terms"), read("docs"), content["corpus"], whole, {n: read(n) for n in content["extra"]}, version)
+        return Index(spark, kind, Analyzer.from_settings(whole), read("postings"), read("terms"), read("docs"), content["corpus"], whole, {n: read(n) for n in content["extra"]}, version, tuple(content.get("rankers", ())))
 
 
-def postings_by_document(tokens: DataFrame, kind) -> DataFrame:
-    """Postings of a layout with what scoring asks of their document."""
+def postings_by_document(tokens: DataFrame, kind, more: Mapping[str, Callable[[WindowSpec], Column]] | None = None) -> DataFrame:
+    """Postings of a layout with what scoring asks of their document, with more columns by name where they are counted."""
     if kind in (PostingType.FREQUENCY, PostingType.POSITIONAL):
-        return ranked_postings(tokens, kind)
+        return ranked_postings(tokens, kind, more)
     if kind is not PostingType.BOOLEAN:
         return postings_of(tokens.repartition("doc_id"), kind)
     # the length rides along from the token array, summed over documents of one name

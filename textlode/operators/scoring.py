@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.analysis import Analyzer, analyze, positions
-from .index import Index, PostingType, half_even
+from .index import Hooks, Index, PostingType, half_even, register_hooks
 
 #: Query terms up to this many go to the scan as a list.
 PUSHED_TERMS = 2000
@@ -252,8 +252,25 @@ def tfidf_proximity(index: Index, queries: DataFrame, schema: str = "lnc.ltc") -
     return tfidf(index, queries, schema).join(boosts, ["query_id", "doc_id"], "left").select("query_id", "doc_id", (F.col("score") + TFIDF_BOOST * F.coalesce("boost", F.lit(0.0))).alias("score"))
 
 
+#: A ranker with columns of its own in the index: the most frequent term's count in a document, and a term's count in the corpus.
+AUGMENTED = "augmented"
+register_hooks(AUGMENTED, Hooks({"max_tf": lambda of_doc: F.max("tf").over(of_doc)}, {"cf": lambda: F.sum("tf")}, {"augmented_floor": 0.5}))
+
+
+def augmented(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score): frequencies against the document's highest, from the floor kept in the index up to 1, by the
+    logarithm of all tokens over those of the term. For an index that was built for this ranker."""
+    if AUGMENTED not in index.rankers:
+        raise ValueError("the index was not built for this ranker: Index.build(rankers=('augmented',))")
+    asked, floor = asked_of(queries, index.analyzer), index.meta["augmented_floor"]
+    n_tokens = F.lit(float(index.n_docs) * (index.stats["avgdl"] or 0.0))
+    known = asked.counts.join(asked.lookup(index.terms), "term").select("query_id", "term", F.log(n_tokens / F.col("cf")).alias("icf"))
+    hits = asked.lookup(index.postings).select("term", "doc_id", (floor + (1 - floor) * F.col("tf") / F.col("max_tf")).alias("part"))
+    return hits.join(known, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("icf") * F.col("part")).alias("score"))
+
+
 #: Rankers by method: f(index, queries, **parameters) -> (query_id, doc_id, score).
-RANKERS = {None: unranked, RankingMethod.BM25: bm25, RankingMethod.BM25_OPTIMIZED: bm25_proximity, RankingMethod.TF_IDF: tfidf, RankingMethod.TF_IDF_OPTIMIZED: tfidf_proximity}
+RANKERS = {None: unranked, RankingMethod.BM25: bm25, RankingMethod.BM25_OPTIMIZED: bm25_proximity, RankingMethod.TF_IDF: tfidf, RankingMethod.TF_IDF_OPTIMIZED: tfidf_proximity, AUGMENTED: augmented}
 
 
 def register_ranker(name, ranker) -> None:

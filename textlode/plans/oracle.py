@@ -160,7 +160,7 @@ SQL = {
     "idf_prob": with_base(f"SELECT term, {idf('p')} AS idf FROM tdf"),
     **{f"tfidf_doc_weights_{t}": with_base(f", {doc_weights(t)} SELECT doc_id, term, w FROM dw") for t in ("lnc", "nnc", "bnc", "lnn")},
     **{f"tfidf_{a}_{b}": f"WITH {BASE}, {ONE}, {tfidf(a, b)} {OUT}" for a, b in SCHEMAS},
-    **dict.fromkeys(("bm25", "stream_bm25", "index_snapshot"), BM25),
+    **dict.fromkeys(("bm25", "stream_bm25", "index_snapshot", "sql_bm25"), BM25),
     "bm25_k12_b075": f"WITH {BASE}, {ONE}, {bm25(1.2, 0.75)} {OUT}",
     "topk_bm25": f"WITH {BASE}, {ONE}, {bm25()}, {RANKED} SELECT rank, doc_id, score FROM rk",
     "topk_batch": f"WITH {BASE}, {MANY}, {bm25()}, {RANKED} SELECT query_id, rank, doc_id, score FROM rk",
@@ -168,6 +168,10 @@ SQL = {
     "search_benchmark": f"WITH {BASE}, {asked_of('SELECT item_id AS query_id, text AS query FROM benchmark')}, {bm25()}, {RANKED} SELECT query_id, rank, doc_id, score FROM rk",
     "posting_blocks": f"WITH {BASE}, {SPANS} SELECT term, span, n, ids[1] AS first, ids[-1] AS last, max_tf, min_dl, list_transform(ids, lambda x: x - ids[1]) AS offsets, tfs FROM blk",
     "posting_blocks_read": with_base("SELECT term, doc_id, tf, CAST(dl AS INTEGER) AS dl FROM post JOIN len USING (doc_id)"),
+    "ranker_hooks": f"WITH {BASE}, {ONE}, mxt AS (SELECT doc_id, max(tf) AS max_tf FROM post GROUP BY doc_id), cfs AS (SELECT term, sum(tf) AS cf FROM post GROUP BY term), all_tokens AS (SELECT sum(dl)::DOUBLE AS total FROM len) SELECT doc_id, round(sum(ln(total / cf) * (0.5::DOUBLE + 0.5::DOUBLE * tf / max_tf)), 6) AS score FROM post JOIN qd USING (term) JOIN mxt USING (doc_id) JOIN cfs USING (term), all_tokens GROUP BY doc_id",
+    "forward_fill": "WITH lines AS (SELECT doc_id, 0 AS kind, 'Q:' || doc_id AS value FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 1, concat_ws(chr(9), doc_id, quality) FROM labels) SELECT doc_id, kind, value, last_value(CASE WHEN kind = 0 THEN value END IGNORE NULLS) OVER (ORDER BY doc_id, kind, value) AS block FROM lines",
+    "number_documents": "SELECT ext_id, row_number() OVER (ORDER BY md5(ext_id), ext_id) - 1 AS doc_id FROM (SELECT concat_ws('-', source, doc_id::VARCHAR) AS ext_id FROM documents)",
+    "sql_tokenize": spots(3, True),
     "position_pairs": f"WITH {BASE}, {ONE}, {PAIRS} SELECT doc_id, i, j, p1, p2 FROM near",
     "proximity_boost": f"WITH {BASE}, {ONE}, {PROX} SELECT doc_id, round(s, 6) AS s, round(boost, 6) AS boost FROM bst",
     "bm25_proximity": f"WITH {BASE}, {ONE}, {bm25()}, {PROX} SELECT sc.doc_id, round(score + CASE WHEN boost > 0 AND hi > lo AND nd > lo THEN 0.01::DOUBLE * boost / log2((nd - lo) / (hi - lo) + 1) ELSE 0 END, 6) AS score FROM sc LEFT JOIN bst ON sc.query_id = bst.query_id AND sc.doc_id = bst.doc_id JOIN nrm ON nrm.doc_id = sc.doc_id, lim",

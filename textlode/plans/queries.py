@@ -13,14 +13,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.analysis import RAW, STANDARD, STOP_WORDS, Analyzer, analyze, positions
+from ..functions.sql import register_analysis, register_search
 from ..functions.stem import stem_terms as stems_of
 from ..operators import blocks, evaluation, scoring
 from ..operators import index as ix
+from ..operators.fill import forward_fill
 from ..operators.index import Index
 from ..session import park, shared_dir, ship, stamp, table
 from ..sources import posting_text
 from ..sources.qrels import read_qrels
-from ..sources.reviews import project_text, read_reviews
+from ..sources.reviews import number_documents, project_text, read_reviews
 from ..sources.stop_words import stop_word_table
 from ..streaming.growing import GrowingIndex
 from .settings import BATCH, LOOKUP, LOOKUP_MANY, PROJECTED, PRUNED, QUERY, SCHEMAS, SHARDS, SIZES, TOP
@@ -217,6 +219,43 @@ def index_snapshot(spark, d):
     return scoring.rounded(scoring.bm25(first, one(spark))).select("doc_id", "score")
 
 
+def ranker_hooks(spark, d):
+    """Scores by a ranker that has columns of its own in the index, from an index that was opened again."""
+    path = f"{shared_dir(spark)}/textlode/hooked-{uuid.uuid4().hex}"
+    Index.build(docs(spark, d), STANDARD, ix.PostingType.FREQUENCY, path=path, rankers=(scoring.AUGMENTED,))
+    return scoring.rounded(scoring.rank(Index.open(spark, path), one(spark), scoring.AUGMENTED)).select("doc_id", "score")
+
+
+def judged_lines(spark, d) -> DataFrame:
+    """Labels as the lines of a judgment file: a toxic document opens a block, every document is a line in it."""
+    labels = table(spark, d, "labels").select("doc_id", "quality", "toxic")
+    line = F.struct(F.lit(1).alias("kind"), F.concat_ws("\t", "doc_id", "quality").alias("value"))
+    head = F.struct(F.lit(0).alias("kind"), F.concat(F.lit("Q:"), F.col("doc_id").cast("string")).alias("value"))
+    return labels.select("doc_id", F.explode(F.when(F.col("toxic") == 1, F.array(head, line)).otherwise(F.array(line))).alias("x")).select("doc_id", "x.kind", "x.value")
+
+
+def block_of_lines(spark, d):
+    """The block that each line belongs to: its opening line, carried forward."""
+    heads = judged_lines(spark, d).withColumn("block", F.when(F.col("kind") == 0, F.col("value")))
+    return forward_fill(heads, ["doc_id", "kind", "value"], ["block"])
+
+
+def numbered(spark, d):
+    named = F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("ext_id")
+    return number_documents(table(spark, d, "documents").select(named)).select("ext_id", "doc_id")
+
+
+def sql_tokenize(spark, d):
+    register_analysis(spark, STANDARD)
+    docs(spark, d).createOrReplaceTempView("textlode_documents")
+    return spark.sql("SELECT d.doc_id, t.pos, t.term FROM textlode_documents AS d, LATERAL tokens(d.text) AS t")
+
+
+def sql_bm25(spark, d):
+    register_search(spark, opened(spark, d))
+    return spark.sql(f"SELECT doc_id, round(score, 6) AS score FROM search_bm25('{QUERY}')")
+
+
 def example(name: str) -> str:
     return f"file://{DATA / name}"
 
@@ -262,6 +301,11 @@ QUERIES = {
     "posting_blocks_read": lambda s, d: blocked(s, d).postings(),
     "stream_bm25": stream_bm25,
     "index_snapshot": index_snapshot,
+    "ranker_hooks": ranker_hooks,
+    "forward_fill": block_of_lines,
+    "number_documents": numbered,
+    "sql_tokenize": sql_tokenize,
+    "sql_bm25": sql_bm25,
     "position_pairs": pairs,
     "proximity_boost": boosts,
     "bm25_proximity": scored(scoring.RankingMethod.BM25_OPTIMIZED),

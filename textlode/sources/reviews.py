@@ -45,10 +45,11 @@ def read_reviews(spark: SparkSession, paths: str | list[str], id_column: str = I
 
 
 def number_documents(docs: DataFrame) -> DataFrame:
-    """docs with a dense doc_id from 0 over all files, and so the mapping to ext_id: ordered by a digest of the id, then the id."""
-    spread = docs.withColumn("_h", F.xxhash64("ext_id"))
+    """docs with a dense doc_id from 0 over all files, and so the mapping to ext_id: ordered by a digest of the id, then the id, then the other columns."""
+    spread = docs.withColumn("_h", F.md5(F.col("ext_id").cast("binary")))
+    others = [f"`{c}`" for c in docs.columns if c != "ext_id"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = park(spread.repartitionByRange(n, "_h", "ext_id").sortWithinPartitions("_h", "ext_id", "text").withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    placed = park(spread.repartitionByRange(n, "_h", "ext_id").sortWithinPartitions("_h", "ext_id", *others).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a partition
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
