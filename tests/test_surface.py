@@ -98,7 +98,7 @@ def test_sql_tokens_equal_the_analyzer(spark, analyzer):
     register_analysis(spark, analyzer)
     want = {r.doc_id: r.tokens for r in analyze(df, analyzer).collect()}
     assert {r.doc_id: r.found for r in spark.sql("SELECT doc_id, tokenize(text) AS found FROM some_texts").collect()} == want
-    rows = spark.sql("SELECT doc_id, t.* FROM some_texts, LATERAL tokens(text) AS t").collect()
+    rows = spark.sql("SELECT doc_id, t.* FROM (SELECT doc_id, tokenize(text) AS words FROM some_texts), LATERAL posexplode(words) AS t(pos, term)").collect()
     assert sorted((r.doc_id, r.pos, r.term) for r in rows) == sorted((i, pos, t) for i, found in want.items() for pos, t in enumerate(found))
     with pytest.raises(ValueError):
         register_analysis(spark, Analyzer(language="english"))
@@ -115,6 +115,11 @@ def test_search_by_name(spark):
         register_search(spark, Index.build(spark.createDataFrame(DOCS, "doc_id long, text string"), RAW, PostingType.BOOLEAN))
 
 
+def test_tokens_in_sql_are_made_where_the_text_is(spark, sf_dir):
+    text = plan(queries.sql_tokenize(spark, sf_dir))
+    assert "Join" not in text and "Aggregate" not in text and text.count("regexp_replace(regexp_replace") == 1
+
+
 @pytest.mark.parametrize("query", [queries.sql_tokenize, queries.sql_bm25, queries.ranker_hooks, queries.block_of_lines])
 def test_no_python_in_the_plan(spark, sf_dir, query):
     text = plan(query(spark, sf_dir))

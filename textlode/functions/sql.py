@@ -1,10 +1,11 @@
 """The engine from SQL: functions defined in SQL, so that all of a statement is one plan for Catalyst and nothing of it runs in Python.
 
-    tokenize(text)         ARRAY<STRING>                 SELECT tokenize(text) FROM documents
-    tokens(text)           TABLE (pos, term)             SELECT doc_id, t.* FROM documents, LATERAL tokens(text) AS t
+    tokenize(text)         ARRAY<STRING>                 SELECT doc_id, tokenize(text) AS words FROM documents
     search_bm25(query)     TABLE (doc_id, score)         SELECT * FROM search_bm25('some words') ORDER BY score DESC LIMIT 10
 
-The names are temporary functions of the session; registering again replaces them. A statement keeps those it was analysed with.
+Tokens as rows: SELECT doc_id, t.* FROM (SELECT doc_id, tokenize(text) AS words FROM documents), LATERAL posexplode(words) AS t(pos, term).
+There is no table function for that: Spark takes one with a column of another table as its argument for a join on that column, and
+would exchange whole texts; a generator stays where its row is. The names are temporary functions of the session; registering again replaces them. A statement keeps those it was analysed with.
 """
 
 from __future__ import annotations
@@ -34,14 +35,12 @@ def tokens_sql(analyzer: Analyzer, text: str) -> str:
 
 
 def register_analysis(spark: SparkSession, analyzer: Analyzer) -> None:
-    """tokenize and tokens by an analyzer without stems. A null text has no tokens."""
+    """tokenize by an analyzer without stems. A null text has no tokens."""
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION tokenize(body STRING) RETURNS ARRAY<STRING> RETURN {tokens_sql(analyzer, 'body')}")
-    # the outer form keeps Catalyst from inferring a filter on the array, which would tokenise twice
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION tokens(body STRING) RETURNS TABLE (pos INT, term STRING) RETURN SELECT x.pos, x.term FROM LATERAL posexplode_outer({tokens_sql(analyzer, 'body')}) AS x(pos, term) WHERE x.pos IS NOT NULL")
 
 
 def register_search(spark: SparkSession, index, k: float = 0.75, b: float = 0.5) -> None:
-    """search_bm25 over an index with counted postings, with tokenize and tokens by its analyzer; views `indexed_postings` and `indexed_terms` stand for its tables.
+    """search_bm25 over an index with counted postings, with tokenize by its analyzer; views `indexed_postings` and `indexed_terms` stand for its tables.
 
     A query is a constant of the statement. A repeated word counts once; words that the index lacks, empty and null queries find nothing.
     """

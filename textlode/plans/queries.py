@@ -247,8 +247,9 @@ def numbered(spark, d):
 
 def sql_tokenize(spark, d):
     register_analysis(spark, STANDARD)
-    docs(spark, d).createOrReplaceTempView("textlode_documents")
-    return spark.sql("SELECT d.doc_id, t.pos, t.term FROM textlode_documents AS d, LATERAL tokens(d.text) AS t")
+    docs(spark, d).repartition("doc_id").createOrReplaceTempView("textlode_documents")
+    # the outer form keeps Catalyst from inferring a filter on the array, which would tokenise twice
+    return spark.sql("SELECT d.doc_id, t.pos, t.term FROM (SELECT doc_id, tokenize(text) AS words FROM textlode_documents) AS d, LATERAL posexplode_outer(d.words) AS t(pos, term) WHERE t.pos IS NOT NULL")
 
 
 def sql_bm25(spark, d):
