@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -109,6 +110,56 @@ def test_wide_families_in_proportion(spark, monkeypatch):
     assert sums[1] <= 2.8 * sums[0]
 
 
+def brute_reps(texts, keys):
+    """(key of the representative, similarity) of each text, by taking sets in the order of their smallest keys."""
+    sets = [shingles(t) for t in texts]
+    name, of = {}, []
+    for i, t in enumerate(texts):
+        of.append(sets[i] if t is not None else (None, i))  # a null text is alone
+        name[of[i]] = min(name.get(of[i], keys[i]), keys[i])
+    heads, found = [], {}
+    for one in sorted(name, key=name.get):
+        share = lambda h: len(one & h) / len(one | h) if one and h else 0.0
+        linked = [h for h in heads if share(h) >= 0.8 - 1e-9] if isinstance(one, frozenset) else []
+        if linked:
+            found[one] = name[linked[0]], share(linked[0])
+        else:
+            found[one] = name[one], 1.0
+            if isinstance(one, frozenset):
+                heads.append(one)
+    return [found[x] for x in of]
+
+
+@pytest.mark.parametrize("texts", [near_texts(4, families=3) + odd.TEXTS + ["", None], wide_family(5, 120, 12)])
+def test_representatives(spark, monkeypatch, texts):
+    """Each document of a class has a representative that it is linked to, by the order of the keys; in blocks of a few, too."""
+    monkeypatch.setattr(jj, "HEADS", 4)
+    keys = [(i * 37) % 1009 for i in range(len(texts))]
+    rows = spark.createDataFrame(list(zip(keys, texts, range(len(texts)))), "doc_id long, text string, number long")
+    got = {r.doc: (r.rep_doc, r.similarity) for r in jj.near_duplicates(rows, row="number", pairs=True).collect()}
+    assert [got[k] for k in keys] == brute_reps(texts, keys)
+    assert len({r for r, _ in got.values()}) < len(texts)
+
+
+def test_leaves_by_shingles(spark, monkeypatch):
+    """Few members with much text are split around pivots as many members are."""
+    monkeypatch.setattr(jj, "LEAF_TOKENS", 500)
+    texts = near_texts(6, families=3, size=20)
+    assert joined(spark, texts) == brute_join(texts)
+
+
+def test_largest_leaf_in_memory():
+    """What a leaf of 2,048 members may hold at most is compared in some hundred MB."""
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 62, 6000)
+    sets = [np.sort(rng.choice(pool, jj.LEAF_TOKENS // jj.LAST_LEAF, replace=False)) for _ in range(jj.LAST_LEAF)]
+    tracemalloc.start()
+    counts = jj.common_counts(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6 and counts[0, 1] == len(np.intersect1d(sets[0], sets[1]))
+
+
 def test_common_counts():
     rng = random.Random(3)
     sets = [np.array(sorted(rng.sample(range(60), rng.randrange(1, 40)))) for _ in range(30)]
@@ -133,6 +184,8 @@ def test_join_of_tables(spark, sf_dir):
     for d, (c, _) in zip(docs, expected):
         classes[c].add(d.doc_id)
     assert {r.doc_id: (r.class_id, r.class_size, r.n_copies) for r in got} == {d.doc_id: (min(classes[c]), len(classes[c]), n) for d, (c, n) in zip(docs, expected)}
+    reps = brute_reps([d.text for d in docs], [d.doc_id for d in docs])
+    assert {r.doc_id: (r.rep_doc_id, r.similarity) for r in got} == {d.doc_id: r for d, r in zip(docs, reps)}
 
 
 def test_runs_reach_the_recall():

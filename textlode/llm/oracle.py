@@ -47,13 +47,22 @@ sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(1) ORDER BY s)) AS
 classes AS (SELECT k, min(doc_id) AS rep, count(*) AS weight, min(n) AS n FROM sizes GROUP BY k),
 rsets AS (SELECT rep, s FROM sets JOIN classes ON rep = doc_id),
 common AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM rsets a JOIN rsets b ON a.s = b.s AND a.rep < b.rep GROUP BY a.rep, b.rep),
-linked AS (SELECT a, b FROM common JOIN classes x ON x.rep = a JOIN classes y ON y.rep = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c) - 1e-9),
+linked AS (SELECT a, b, c / (x.n + y.n - c) AS similarity FROM common JOIN classes x ON x.rep = a JOIN classes y ON y.rep = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c) - 1e-9),
 ends AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
 reach AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT r.a, e.b FROM reach r JOIN ends e ON e.a = r.b),
 roots AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
-found AS (SELECT s.doc_id, r.class_id, c.weight - 1 AS n_copies FROM sizes s JOIN classes c USING (k) JOIN roots r USING (rep))
-SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, n_copies FROM found
-UNION ALL SELECT doc_id, doc_id, 1, 0 FROM documents WHERE text IS NULL
+ranked AS (SELECT rep, class_id, row_number() OVER (PARTITION BY class_id ORDER BY rep) AS rn FROM roots),
+earlier AS (SELECT b AS rep, list(a) AS before FROM linked GROUP BY b),
+walk AS (
+  SELECT class_id, rn, [rep] AS heads FROM ranked WHERE rn = 1
+  UNION ALL SELECT w.class_id, r.rn, CASE WHEN list_has_any(w.heads, e.before) THEN w.heads ELSE list_append(w.heads, r.rep) END
+  FROM walk w JOIN ranked r ON r.class_id = w.class_id AND r.rn = w.rn + 1 LEFT JOIN earlier e ON e.rep = r.rep),
+heads AS (SELECT DISTINCT unnest(heads) AS head FROM walk),
+first AS (SELECT b AS rep, min(a) AS rep_doc_id, arg_min(similarity, a) AS similarity FROM linked JOIN heads ON head = a WHERE b NOT IN (SELECT head FROM heads) GROUP BY b),
+found AS (SELECT s.doc_id, r.class_id, c.weight - 1 AS n_copies, coalesce(f.rep_doc_id, rep) AS rep_doc_id, coalesce(f.similarity, 1) AS similarity
+          FROM sizes s JOIN classes c USING (k) JOIN roots r USING (rep) LEFT JOIN first f USING (rep))
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, n_copies, rep_doc_id, similarity::DOUBLE AS similarity FROM found
+UNION ALL SELECT doc_id, doc_id, 1, 0, doc_id, 1 FROM documents WHERE text IS NULL
 """
 
 
