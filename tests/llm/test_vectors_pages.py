@@ -3,6 +3,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import odd
+import pyarrow as pa
 import pytest
 
 from textlode.llm import ann
@@ -100,6 +101,23 @@ def test_many_equal_vectors_in_small_blocks(spark, monkeypatch):
     assert [r.vec_id for r in found] == top
 
 
+def test_a_block_takes_the_hashes_it_is_given(monkeypatch):
+    """Vectors are hashed once, not in each of the chunks of queries that their block meets; a rotation is the same by transforms and as one product."""
+    rng = np.random.default_rng(6)
+    x = ann.unit(rng.normal(size=(300, 12)))
+    signs = ann.rotations(12, 16, 2, 5)
+    keys = ann.joint_keys(x, signs)
+    assert np.allclose(ann.rotate(x, signs[0, 0]), ann.transformed(x, signs[0, 0]))
+    monkeypatch.setattr(ann, "joint_keys", lambda *_: pytest.fail("hashed again"))
+    points = pa.table({"id": pa.array(range(300)), "vec": pa.array(list(x)), "keys": pa.array(list(keys))})
+    found = ann.search_block(points, points.slice(0, 5), signs, 40, 3).to_pylist()
+    met = {q: (np.isin(keys, ann.probes(x[q : q + 1], signs, 40)[0]).any(1) & (np.arange(300) != q)) for q in range(5)}
+    for q in range(5):
+        best = sorted((-float(x[i] @ x[q]), i) for i in np.flatnonzero(met[q]))[:3]
+        assert [r["vec_id"] for r in found if r["query_id"] == q and r["vec_id"] is not None] == [i for _, i in best]
+    assert ann.grid(600_000, 30_000, 12) == (19, 4) and ann.grid(10_256, 513, 12) == (1, 3)
+
+
 def test_odd_vectors(spark):
     rows = [[1, 0], [0, 0], None, [float("nan"), 1], [float("inf"), 1], [None, 1], [], [0.5, 0.5], [1, 2, 3], [3, 4]]
     df = table(spark, rows)
