@@ -1,4 +1,5 @@
 import gzip
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,23 @@ def test_limits_are_checked():
     for bad in (["--max-ram", "0"], ["--max-ram", "101"], ["--max-block-size", "0"]):
         with pytest.raises(ValueError):
             cli.session_of(cli.parser().parse_args(["index", "--documents", "a", "--out", "b", *bad]))
+
+
+def test_a_long_line_is_cut_once(spark):
+    """Each entry used to carry and cut its whole line again: 40,000 entries then took minutes."""
+    line = "word " + " ".join(f"{d}:{d % 7},{d % 7 + 9}" for d in range(40_000)) + "#1.5"
+    lines = spark.createDataFrame([(line,), ("bare",), ("x 1:2 3:4#0.5",), ("y 1:2",)], "line string")
+    start = time.monotonic()
+    rows = {(r.term, r.doc_id): r.positions for r in posting_text.from_lines(lines, "positional").collect()}
+    assert time.monotonic() - start < 30
+    assert len(rows) == 40_003 and all(rows["word", d] == [d % 7, d % 7 + 9] for d in range(40_000)) and rows["x", 3] == [4]
+
+
+def test_terms_are_dealt_over_more_tasks_for_more_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"rock album {i}") for i in range(200)], "doc_id long, text string")
+    few = posting_text.parts_for(docs)
+    monkeypatch.setattr(posting_text, "TASK_TEXT", 64)
+    parts = posting_text.parts_for(docs)
+    assert few == 4 and parts > 30
+    found = posting_text.to_lines(ix.frequency_postings(analyze(docs, Analyzer())), "frequency", parts=parts)
+    assert found.rdd.getNumPartitions() == parts and found.count() == 202

@@ -80,6 +80,10 @@ def spots(analyzer: Analyzer):
     return lambda spark, d: positions(tokens(spark, d, analyzer)).select("doc_id", "pos", "term")
 
 
+def lines(postings, layout: str):
+    return lambda spark, d: posting_text.to_lines(postings(tokens(spark, d, STANDARD)), layout, parts=posting_text.parts_for(docs(spark, d)))
+
+
 def corpus_stats(spark, d):
     return ix.corpus_statistics(ix.document_lengths(tokens(spark, d, STANDARD)))
 
@@ -275,10 +279,10 @@ QUERIES = {
     "postings_boolean": lambda s, d: ix.boolean_postings(tokens(s, d, STANDARD)),
     "postings_frequency": lambda s, d: ix.frequency_postings(tokens(s, d, STANDARD)),
     "postings_positional": lambda s, d: ix.positional_postings(tokens(s, d, STANDARD)),
-    "posting_lines": lambda s, d: posting_text.to_lines(ix.frequency_postings(tokens(s, d, STANDARD)), "frequency"),
-    "posting_lines_boolean": lambda s, d: posting_text.to_lines(ix.boolean_postings(tokens(s, d, STANDARD)), "boolean"),
-    "posting_lines_positional": lambda s, d: posting_text.to_lines(ix.positional_postings(tokens(s, d, STANDARD)), "positional"),
-    "posting_lines_read": lambda s, d: posting_text.from_lines(posting_text.to_lines(ix.positional_postings(tokens(s, d, STANDARD)), "positional").select("line"), "positional"),
+    "posting_lines": lines(ix.frequency_postings, "frequency"),
+    "posting_lines_boolean": lines(ix.boolean_postings, "boolean"),
+    "posting_lines_positional": lines(ix.positional_postings, "positional"),
+    "posting_lines_read": lambda s, d: posting_text.from_lines(park(lines(ix.positional_postings, "positional")(s, d).select("line"), "lines"), "positional"),
     "term_df": lambda s, d: opened(s, d).terms.select("term", "df"),
     "vocab_size": lambda s, d: opened(s, d).terms.agg(F.count("*").alias("n_terms")),
     "sorted_terms": lambda s, d: opened(s, d).terms.select("term").orderBy("term"),
