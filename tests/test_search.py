@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from textlode.functions.analysis import RAW, Analyzer
+from textlode.functions.analysis import RAW, Analyzer, analyze
 from textlode.operators import evaluation, index as ix, scoring
 from textlode.operators.index import Index, PostingType
 from textlode.operators.scoring import RankingMethod
@@ -194,3 +194,38 @@ def test_proximity_is_near_linear_in_a_long_document(spark):
 
     brute = sum(max(0.0, *(fit(d) for d in range(-9, 10, 2) if 0 <= p + d < 100_000)) for p in range(0, 100_000, 2))
     assert scoring.proximity(index, queries).first().s == pytest.approx(brute, rel=1e-9)
+
+
+def test_postings_exchange_no_token(spark):
+    """What a document holds is gathered from its own text: grouping tokens by (term, document) sorted and spilled them all."""
+    tokens = analyze(spark.createDataFrame(SMOKE, "doc_id long, text string"), RAW)
+    for make in (ix.boolean_postings, ix.frequency_postings, ix.positional_postings):
+        plan = make(tokens)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("kind", [PostingType.BOOLEAN, PostingType.FREQUENCY, PostingType.POSITIONAL])
+def test_rows_of_one_name_meet_beside_others(spark, kind):
+    rows = [(1, "b a b"), (2, "a"), (1, "b c"), (None, "a a"), (None, "b"), (3, None), (4, "c " * 30_000 + "a")]
+    index = Index.build(spark.createDataFrame(rows, "doc_id long, text string"), kind=kind)
+    spots = {}
+    for doc, text in rows:
+        for pos, term in enumerate((text or "").split()):
+            spots.setdefault((term, doc), []).append(pos)
+    lengths = {d: sum(len(p) for (_, e), p in spots.items() if e == d) for d, _ in rows}
+    found = index.postings.collect()
+    assert len(found) == len(spots) and all(r.dl == lengths[r.doc_id] for r in found)
+    for r in found:
+        if kind is not PostingType.BOOLEAN:
+            tfs = [len(p) for (_, e), p in spots.items() if e == r.doc_id]
+            assert r.tf == len(spots[r.term, r.doc_id]) and r.sq_n == sum(t * t for t in tfs) and r.sq_b == len(tfs)
+            assert r.sq_l == pytest.approx(sum((1 + math.log(t)) ** 2 for t in tfs))
+        if kind is PostingType.POSITIONAL:
+            assert r.positions == sorted(spots[r.term, r.doc_id])
+    assert sorted((str(r.doc_id), r.dl) for r in index.docs.collect()) == sorted((str(d), len((t or "").split())) for d, t in rows)
+
+
+def test_a_table_that_grows_gets_more_files(spark, monkeypatch):
+    monkeypatch.setattr(ix, "FILE_ROWS", 100)
+    df = spark.range(1500).selectExpr("concat('t', id % 7) AS term", "id AS doc_id")
+    assert ix.sorted_by_term(df, 1500).rdd.getNumPartitions() > 10 and ix.files_for(spark, 3) == 4

@@ -35,19 +35,68 @@ def half_even(x: Column, digits: int = 3) -> Column:
     return F.bround(x, digits)
 
 
+#: Repeated ids up to this many are broadcast.
+BROADCAST_IDS = 100_000
+#: Rows of one file of a sorted table, about 60 MB while it is sorted: a table that grows gets more files, not larger ones.
+FILE_ROWS = 500_000
+
+
+def by_repetition(tokens: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose doc_id no other row has, and the others, None if there are none. Ids alone are exchanged."""
+    ids = park(tokens.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "repeated")
+    n = ids.count()
+    if not n:
+        return tokens, None
+    ids, same = F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("again"))
+    return tokens.join(ids, same, "left_anti"), tokens.join(ids, same, "left_semi")
+
+
+def gathered(tokens: DataFrame, positional: bool = False) -> DataFrame:
+    """(doc_id, dl, postings) of rows (doc_id, tokens), each by itself: no token is exchanged or held beyond its document.
+
+    postings: an array of (term, tf), or (term, positions). A document's tokens are sorted, and each run of equal ones is a posting.
+    """
+    words = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))) if positional else F.col("tokens")
+    term = lambda x: x["term"] if positional else x
+    # each step is a column that the next one reads more than once, so that it is worked out once
+    rows = tokens.select("doc_id", F.sort_array(words).alias("words"))
+    first = F.transform("words", lambda x, i: F.when((i == 0) | (term(x) != term(F.get("words", i - 1))), i))
+    rows = rows.select("doc_id", "words", F.filter(first, lambda i: i.isNotNull()).alias("starts"))
+
+    def posting(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("words"))
+        what = F.transform(F.sequence(start, end - 1), lambda i: F.get("words", i)["pos"]).alias("positions") if positional else (end - start).cast("long").alias("tf")
+        return F.struct(term(F.get("words", start)).alias("term"), what)
+
+    return rows.select("doc_id", F.size("words").alias("dl"), F.transform("starts", posting).alias("postings"))
+
+
+def unpacked(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each posting of gathered rows, with columns of their document. The outer form as in `positions`."""
+    return rows.select("doc_id", *columns, F.explode_outer("postings").alias("x")).where("x is not null").select("x.*", "doc_id", *columns)
+
+
+def united(once: DataFrame, again: DataFrame | None) -> DataFrame:
+    return once if again is None else once.unionByName(again)
+
+
 def boolean_postings(tokens: DataFrame) -> DataFrame:
     """(term, doc_id): which documents have a term."""
-    return positions(tokens).select("term", "doc_id").distinct()
+    once, again = by_repetition(tokens)
+    rows = once.select("doc_id", F.array_distinct("tokens").alias("tokens"))
+    return united(positions(rows).select("term", "doc_id"), again and positions(again).select("term", "doc_id").distinct())
 
 
 def frequency_postings(tokens: DataFrame) -> DataFrame:
     """(term, doc_id, tf): how often."""
-    return positions(tokens).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    once, again = by_repetition(tokens)
+    return united(unpacked(gathered(once)).select("term", "doc_id", "tf"), again and positions(again).groupBy("term", "doc_id").agg(F.count("*").alias("tf")))
 
 
 def positional_postings(tokens: DataFrame) -> DataFrame:
     """(term, doc_id, positions): where, in order, from 0."""
-    return positions(tokens).groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    once, again = by_repetition(tokens)
+    return united(unpacked(gathered(once, True)).select("term", "doc_id", "positions"), again and positions(again).groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions")))
 
 
 LAYOUTS = {PostingType.BOOLEAN: boolean_postings, PostingType.FREQUENCY: frequency_postings, PostingType.POSITIONAL: positional_postings}
@@ -127,8 +176,27 @@ def statistics_of(sums: DataFrame) -> DataFrame:
     return sums.select("n_docs", "avgdl", norm("lo").alias("min_norm"), norm("hi").alias("max_norm"))
 
 
-def ranked_postings(tokens: DataFrame, kind: PostingType, more: Mapping[str, Callable[[WindowSpec], Column]] | None = None) -> DataFrame:
-    """Postings with frequencies, or positions too, and what scoring asks of their document, with more columns by name."""
+def ranked_postings(rows: DataFrame, kind: PostingType, n: int, more: Mapping[str, Callable[[WindowSpec], Column]] | None = None) -> DataFrame:
+    """Postings of gathered rows with what scoring asks of their document, with more columns by name; n: how many there are."""
+    positional = kind is PostingType.POSITIONAL
+    if more:  # dealt by document before they are unpacked, so that windows over a document exchange nothing more
+        rows = rows.repartition(files_for(rows.sparkSession, n), "doc_id")
+    made = unpacked(rows, "dl", "sq_n", "sq_l", "sq_b")
+    if positional:
+        made = made.withColumn("tf", F.size("positions").cast("long"))
+    of_doc = Window.partitionBy("doc_id")
+    return made.select("term", "doc_id", "tf", "dl", "sq_n", "sq_l", "sq_b", *(["positions"] if positional else []), *(f(of_doc).alias(name) for name, f in (more or {}).items()))
+
+
+def squared_norms(positional: bool) -> dict[str, Column]:
+    """Squared norms of a gathered row, by its damped frequencies."""
+    tf = lambda x: (F.size(x["positions"]) if positional else x["tf"]).cast("double")
+    of = lambda f: F.aggregate("postings", F.lit(0.0), lambda a, x: a + f(tf(x)) * f(tf(x)))
+    return {"sq_n": of(lambda t: t), "sq_l": of(lambda t: 1 + F.log(t)), "sq_b": F.size("postings").cast("double")}
+
+
+def met_postings(tokens: DataFrame, kind: PostingType, more: Mapping[str, Callable[[WindowSpec], Column]] | None = None) -> DataFrame:
+    """The columns of ranked_postings for documents that several rows have, whose tokens meet."""
     # dealt by document, so that grouping by (document, term) and the sums by document exchange nothing more
     spots = positions(tokens.repartition("doc_id"))
     what = [F.count("*").cast("long").alias("tf")]
@@ -178,8 +246,8 @@ class Index:
     def build(docs: DataFrame, analyzer: Analyzer = RAW, kind: PostingType = PostingType.POSITIONAL, key: str = "doc_id", text: str = "text", meta: dict | None = None, path: str | None = None, extra: dict[str, DataFrame] | None = None, rankers: Iterable[str] = ()) -> Index:
         """Index a table of documents and write it, as a new version of `path` or to the session's shared folder.
 
-        Tokens are written first, so that nothing is analysed twice. They are dealt by document once,
-        and postings are grouped where they lie; the only exchange of postings is the final sort by term.
+        A document's postings are gathered from its own text and written first, so that nothing is analysed twice
+        and no token is exchanged; the only exchange of postings is the final sort by term.
         A null text is an empty document. Duplicate keys are documents of one name: their tokens meet in one posting.
         extra: further tables by name that belong to the index. rankers: names whose hooks add columns to it. A build that stops leaves the versions before as they are;
         of two builds at once one is committed and the other raises CommitConflict.
@@ -198,10 +266,11 @@ class Index:
             whole[name] = value
         place = Place(spark, path)
         with scratch(spark):
-            tokens = park(analyze(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), analyzer), "tokens")
-            made = place.write_sorted(postings_by_document(tokens, kind, hooks.postings), "postings")
+            tokens = analyze(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), analyzer)
+            postings, lengths, n = postings_by_document(tokens, kind, hooks.postings)
+            made = place.write_sorted(postings, "postings", n)
             terms = place.write_sorted(document_frequencies(made, hooks.terms), "terms")
-            docs_table = place.write(tokens.select("doc_id", F.size("tokens").alias("dl")), "docs")
+            docs_table = place.write(lengths, "docs")
             more = {name: place.write(df, name) for name, df in (extra or {}).items()}
         stats = corpus_statistics(docs_table.select("doc_id", F.col("dl").cast("long"))).first().asDict()
         version = place.commit({"meta": whole, "corpus": stats, "extra": sorted(more), "rankers": list(rankers)})
@@ -222,16 +291,28 @@ class Index:
         return Index(spark, kind, Analyzer.from_settings(whole), read("postings"), read("terms"), read("docs"), content["corpus"], whole, {n: read(n) for n in content["extra"]}, version, tuple(content.get("rankers", ())))
 
 
-def postings_by_document(tokens: DataFrame, kind, more: Mapping[str, Callable[[WindowSpec], Column]] | None = None) -> DataFrame:
-    """Postings of a layout with what scoring asks of their document, with more columns by name where they are counted."""
-    if kind in (PostingType.FREQUENCY, PostingType.POSITIONAL):
-        return ranked_postings(tokens, kind, more)
+def postings_by_document(tokens: DataFrame, kind, more: Mapping[str, Callable[[WindowSpec], Column]] | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Postings of a layout with what scoring asks of their document, with more columns by name where they are counted; lengths
+    (doc_id, dl) of rows of tokens; and about how many postings there are. Texts are analysed once: what a document holds is written here."""
+    lengths = lambda df: df.select("doc_id", F.size("tokens").alias("dl"))
+    if not isinstance(kind, PostingType):
+        tokens = park(tokens, "tokens")
+        return postings_of(tokens.repartition("doc_id"), kind), lengths(tokens), tokens.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    once, again = by_repetition(tokens)
+    again = again and park(again, "tokens")
+    if kind is PostingType.BOOLEAN:
+        held = F.array_distinct("tokens")
+        rows = park(once.select("doc_id", F.size("tokens").alias("dl"), F.transform(held, lambda t: F.struct(t.alias("term"))).alias("postings")), "documents")
+    else:
+        positional = kind is PostingType.POSITIONAL
+        rows = park(gathered(once, positional).withColumns(squared_norms(positional)), "documents")
+    n = sum(df.agg(F.sum(F.size(c))).first()[0] or 0 for df, c in ((rows, "postings"), (again, "tokens")) if df is not None)
     if kind is not PostingType.BOOLEAN:
-        return postings_of(tokens.repartition("doc_id"), kind)
-    # the length rides along from the token array, summed over documents of one name
-    rows = tokens.repartition("doc_id").select("doc_id", F.size("tokens").alias("size"), F.posexplode_outer("tokens").alias("pos", "term")).where("pos is not null")
-    counts = rows.groupBy("doc_id", "term").agg(F.count("*").alias("_n"))
-    return counts.select("term", "doc_id", F.sum("_n").over(Window.partitionBy("doc_id")).cast("int").alias("dl"))
+        made = united(ranked_postings(rows, kind, n, more), again and met_postings(again, kind, more))
+    else:
+        # the length rides along, summed over documents of one name
+        made = united(unpacked(rows, "dl"), again and met_postings(again, PostingType.FREQUENCY).select("term", "doc_id", "dl"))
+    return made, united(rows.select("doc_id", "dl"), again and lengths(again)), n
 
 
 class Place:
@@ -249,8 +330,8 @@ class Place:
         df.write.option("compression", "zstd").parquet(self.store.table(self.names[name]))
         return self.spark.read.parquet(self.store.table(self.names[name]))
 
-    def write_sorted(self, df: DataFrame, name: str) -> DataFrame:
-        return self.write(sorted_by_term(df), name)
+    def write_sorted(self, df: DataFrame, name: str, n: int = 0) -> DataFrame:
+        return self.write(sorted_by_term(df, n), name)
 
     def commit(self, content: dict) -> int | None:
         if self.store is None:
@@ -262,9 +343,13 @@ class Place:
         return version
 
 
-def sorted_by_term(df: DataFrame) -> DataFrame:
-    """In files sorted by term, so that a search reads the row groups of its terms."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def files_for(spark: SparkSession, rows: int) -> int:
+    """As many as the session's shuffle partitions, and more for so many rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // FILE_ROWS))
+
+
+def sorted_by_term(df: DataFrame, rows: int = 0) -> DataFrame:
+    """In files sorted by term, so that a search reads the row groups of its terms; rows: about how many there are."""
     order = [c for c in ("term", "doc_id") if c in df.columns]
     # doc_id too: a term that most documents have is dealt over several files
-    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return df.repartitionByRange(files_for(df.sparkSession, rows), *order).sortWithinPartitions(*order)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import RAW, Analyzer, analyze
 from ..operators.index import Index, PostingType, document_frequencies, postings_by_document, sorted_by_term, statistics_of
-from ..session import park, scratch
+from ..session import scratch
 from ..sources.snapshots import Snapshots
 
 FANOUT = 3
@@ -67,8 +67,8 @@ class GrowingIndex:
         df.write.option("compression", "zstd").parquet(self.store.table(name))
         return name
 
-    def segment(self, postings: DataFrame, docs: DataFrame, terms: DataFrame | None = None) -> Segment:
-        first = self.write(sorted_by_term(postings), "postings")
+    def segment(self, postings: DataFrame, docs: DataFrame, n: int, terms: DataFrame | None = None) -> Segment:
+        first = self.write(sorted_by_term(postings, n), "postings")
         terms = document_frequencies(self.spark.read.parquet(self.store.table(first))) if terms is None else terms
         names = [first, self.write(sorted_by_term(terms), "terms"), self.write(docs, "docs")]
         lengths = self.spark.read.parquet(self.store.table(names[2]))
@@ -77,7 +77,8 @@ class GrowingIndex:
 
     def merged(self, segments: list[Segment]) -> Segment:
         terms = self.read(segments, "terms").groupBy("term").agg(F.sum("df").alias("df"))
-        return self.segment(self.read(segments, "postings"), self.read(segments, "docs"), terms)
+        postings = self.read(segments, "postings")
+        return self.segment(postings, self.read(segments, "docs"), postings.count(), terms)
 
     def add(self, docs: DataFrame, stream: str = "", batch: int | None = None) -> bool:
         """Index a batch (doc_id, text) as a segment. False if this batch of this stream is in already.
@@ -95,8 +96,7 @@ class GrowingIndex:
         if known:
             fresh = fresh.join(self.read(known, "docs").select("doc_id"), "doc_id", "left_anti")
         with scratch(self.spark):
-            tokens = park(analyze(fresh, self.analyzer), "tokens")
-            new = self.segment(postings_by_document(tokens, self.kind), tokens.select("doc_id", F.size("tokens").alias("dl")))
+            new = self.segment(*postings_by_document(analyze(fresh, self.analyzer), self.kind))
         if new.n_docs:
             levels = compacted([[*(levels[0] if levels else []), new], *levels[1:]], self.merged)
         batches = self.state["batches"] | ({stream: batch} if batch is not None else {})
