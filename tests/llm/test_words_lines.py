@@ -255,3 +255,14 @@ def test_a_hot_key_is_met_where_its_lines_lie(spark, monkeypatch):
     rows = [(i, f"hot\nwarm {i % 8}\nown {i}") for i in range(100)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, lr.dedup(table, texts=False).collect()), key=repr) == brute_lines(rows)
+
+
+def test_no_table_of_words_is_broadcast(spark):
+    """The rows that words meet by are twelve to a word, and Spark took their size for the words' file's: 10 MB of it were hundreds on the driver."""
+    words = spark.createDataFrame([("letter", 9), ("lettre", 4), ("leter", 3), ("better", 5)], "word string, n long")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    pairs = sp.near_pairs(words)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [("better", "letter"), ("leter", "letter")]
+    found = sp.variants(spark.createDataFrame([(1, "letter " * 6 + "leter " * 3)], "doc_id long, text string"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() >= 1

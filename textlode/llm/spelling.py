@@ -66,7 +66,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     first_half = F.when(F.substring("a_word", F.lit(1), cut) == F.substring("b_word", F.lit(1), cut), 0).otherwise(1)
     longer = F.length("b_word") > F.length("a_word")
     fits = (longer | (F.col("a_word") < F.col("b_word"))) & (F.bit_count(flips) <= 2) & (F.col("band") == first_band) & (F.col("half") == first_half)
-    return left.join(right, "key").where(fits & (F.levenshtein("a_word", "b_word", 1) == 1)).select(F.col("a_word").alias("a"), "a_n", F.col("b_word").alias("b"), "b_n")
+    # Spark knows the words' file, not the rows made of them: by its size they would be broadcast
+    return left.join(right.hint("merge"), "key").where(fits & (F.levenshtein("a_word", "b_word", 1) == 1)).select(F.col("a_word").alias("a"), "a_n", F.col("b_word").alias("b"), "b_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def roots(forms: DataFrame) -> DataFrame:
     found, moved = park(forms.select("word", F.col("form").alias("root")), "roots"), 1
     while moved:
         on = found.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        steps = park(found.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        steps = park(found.join(on.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         moved, found = steps.where("moved").limit(1).count(), steps.select("word", "root")
     return found
 
@@ -92,11 +93,11 @@ def variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     words = park(word_counts(docs, doc_id, text), "vocabulary")
     pairs = near_pairs(words).select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("m")), F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("a_n").alias("m")))).alias("p")).select("p.*")
     near = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
-    rows = words.join(near, "word", "left")
+    rows = words.join(near.hint("merge"), "word", "left")
     own = F.when(-F.col("best.m") >= FACTOR * F.col("n"), F.col("best.other"))
     rows = park(rows.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), own.alias("form"), F.when(own.isNotNull(), -F.col("best.m")).alias("form_n")), "forms")
     ends = roots(rows.where("form is not null"))
-    return rows.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
