@@ -141,6 +141,20 @@ def test_representatives(spark, monkeypatch, texts):
     assert len({r for r, _ in got.values()}) < len(texts)
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    """Links between members that are not representatives too, in classes of several blocks; each of a set's copies counts."""
+    monkeypatch.setattr(jj, "LINK_BLOCK", block)
+    texts = wide_family(5, 90, 12)
+    texts += [*texts[:5], texts[7], *near_texts(8, families=2), *odd.TEXTS, "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc: r.n_links for r in jj.near_duplicates(rows, pairs=True).collect()}
+    sets = [shingles(t) if t is not None else frozenset() for t in texts]
+    for i, a in enumerate(sets):
+        assert got[i] == sum(bool(a and b) and a != b and len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in sets)
+    assert max(got.values()) > 10
+
+
 def test_leaves_by_shingles(spark, monkeypatch):
     """Few members with much text are split around pivots as many members are."""
     monkeypatch.setattr(jj, "LEAF_TOKENS", 500)

@@ -16,7 +16,7 @@ Sets that are equal form a class, represented once. Met pairs of small nodes are
 smallest hashes and then verified on whole sets; nodes that hold the same members are compared once.
 Links leave their node as (member, representative), never as all pairs; components are joined by
 alternating stars. On request each member of a class is given a representative that it is linked to, with their
-exact similarity (see `represented`).
+exact similarity (see `represented`), and the number of all its links, counted exactly inside its class (see `link_counts`).
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ HEADS = 32
 #: Similarity to the pivot from which a member that is not linked to it may be linked to one that is, and from which it
 #: may be linked to such a member (by the triangle inequality of Jaccard distances); and the band keys of a difference.
 NEAR, FAR, BANDS = 0.6, 0.4, 24
+#: Members of a block of a class whose links are counted, and their shingles: two blocks meet in a task.
+LINK_BLOCK, LINK_TOKENS = 1024, 1_000_000
 #: Smallest hashes kept of a set for the screen, and the share of them that a pair must have in common.
 SCREEN, SCREEN_SHARE = 32, 0.5
 #: Tables up to this size, by rows and bytes of a row, are broadcast.
@@ -544,10 +546,45 @@ def represented(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return done.join(nodes.select(F.col("id").alias("rep"), F.col("doc").alias("rep_doc")), "rep").select("id", "rep_doc", "similarity")
 
 
+def link_counts(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, n_links) of nodes (id, root, size, weight): how many documents have another set that is linked to it; weight: documents of a set.
+
+    A link joins two members of one class, so the members of each class are compared with each other, all of them and
+    exactly, whatever leaf or pivot they met at. A large class is dealt in blocks, and each two blocks meet in a
+    group of their own; counts leave it, never pairs. A class makes one row of a member for each of its blocks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for got in groups(batches):
+            ids, weights, own, other = (got.column(c).to_numpy() for c in ("id", "weight", "own", "other"))
+            sets = [x.values.to_numpy() for x in got.column("tokens")]
+            out = np.zeros(len(ids), np.int64)
+            for a, b in zip((ends := bounds(got))[:-1], ends[1:]):
+                n, counts = np.array([len(x) for x in sets[a:b]]), common_counts(sets[a:b])
+                np.fill_diagonal(counts, -1)
+                for at in row_blocks(b - a):
+                    ok = counts[at] >= THRESHOLD * (n[at, None] + n[None, :] - counts[at].astype(float)) - 1e-9
+                    # where two blocks meet, links inside one are counted in the group of that one
+                    ok &= (own[a] == other[a]) | (own[a:b][at, None] != own[None, a:b])
+                    out[a:b][at] = ok @ weights[a:b]
+            some = np.flatnonzero(out)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(out[some])], names=["id", "n_links"])
+
+    sizes = nodes.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    blocks = F.ceil(F.greatest(F.col("n") / LINK_BLOCK, F.col("tokens") / LINK_TOKENS)).cast("int").alias("blocks")
+    dealt = nodes.join(few(park(sizes.select("root", blocks), "sizes")), "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("key")
+    rows = sets.join(dealt.select("id", "weight", "own", "other", key), "id").select("key", "id", "weight", "own", "other", "tokens")
+    return in_order(rows).mapInArrow(run, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL, row: str | None = None, pairs: bool = False) -> DataFrame:
     """(row, doc, th, class_row, n_copies), one row for each of df: its near-duplicate class, and how many other rows have an equal set.
 
-    With `pairs` also (rep_doc, similarity): a document that it is linked to, and their exact similarity. Sets are
+    With `pairs` also (n_links, rep_doc, similarity): how many documents with another set it is linked to, and a document that it is linked to, and their exact similarity. Sets are
     taken in the order of their smallest (doc, th); a set that is linked to no earlier representative is one, and
     its documents have the smallest doc of theirs, with 1.0. A document alone in its class has itself.
 
@@ -581,19 +618,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", reca
         roots = park(roots, "roots")
         rest = park(roots.select("id").join(few(likely.select("id").distinct(), 16), "id", "left_anti"), "rest")  # settled at pivots alone
         known = sets if rest.isEmpty() else sets.unionByName(park(sets_of(rows, members, rest), "sets"))
-        nodes = roots.join(classes.select("id", "first.doc", "first.th"), "id").join(members.select("id", "size"), "id").select("id", "root", "doc", "th", "size")
-        classes = classes.join(represented(park(nodes, "nodes"), known), "id", "left")
-        own += [F.coalesce("rep_doc", "first.doc").alias("rep_doc"), F.coalesce("similarity", F.lit(1.0)).alias("similarity")]
+        nodes = roots.join(classes.select("id", "first.doc", "first.th", "weight"), "id").join(members.select("id", "size"), "id")
+        nodes = park(nodes.select("id", "root", "doc", "th", "size", "weight"), "nodes")
+        linked = park(link_counts(nodes, known), "link_counts")
+        classes = classes.join(represented(nodes.drop("weight"), known), "id", "left").join(linked, "id", "left")
+        own += [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep_doc", "first.doc").alias("rep_doc"), F.coalesce("similarity", F.lit(1.0)).alias("similarity")]
     verdict = park(classes.join(roots, "id", "left").select("set_key", *own), "verdict")
     given = [c for c in verdict.columns if c != "set_key"]
     whole = named.select("row", "doc", "th", "set_key").join(verdict, "set_key").select("row", "doc", "th", *given)
-    alone = docs.where("th is null").select("row", "doc", "th", F.col("row").alias("class_row"), F.lit(0).cast("long").alias("n_copies"), *([F.col("doc").alias("rep_doc"), F.lit(1.0).alias("similarity")] if pairs else []))
+    alone = docs.where("th is null").select("row", "doc", "th", F.col("row").alias("class_row"), F.lit(0).cast("long").alias("n_copies"), *([F.lit(0).cast("long").alias("n_links"), F.col("doc").alias("rep_doc"), F.lit(1.0).alias("similarity")] if pairs else []))
     return whole.unionByName(alone)
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """Every document with its class, the smallest doc_id in it, the class's size, how many other documents have an equal
-    shingle set, and a representative: a document that it is linked to, with their exact similarity.
+    shingle set, to how many with another set it is linked, and a representative: a document that it is linked to, with their exact similarity.
 
     A class has one representative or more, each of which is linked to none of the others before it. Nulls, empty
     and repeated texts as near_duplicates says.
@@ -602,6 +641,6 @@ def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     names = found.groupBy("class_row").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")
     own = F.col("class_size").isNull()
     return found.join(few(park(names, "names")), "class_row", "left").select(
-        F.col("doc").alias("doc_id"), F.when(own, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"), "n_copies",
+        F.col("doc").alias("doc_id"), F.when(own, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"), "n_copies", "n_links",
         F.col("rep_doc").alias("rep_doc_id"), "similarity",
     )

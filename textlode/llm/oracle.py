@@ -59,10 +59,11 @@ walk AS (
   FROM walk w JOIN ranked r ON r.class_id = w.class_id AND r.rn = w.rn + 1 LEFT JOIN earlier e ON e.rep = r.rep),
 heads AS (SELECT DISTINCT unnest(heads) AS head FROM walk),
 first AS (SELECT b AS rep, min(a) AS rep_doc_id, arg_min(similarity, a) AS similarity FROM linked JOIN heads ON head = a WHERE b NOT IN (SELECT head FROM heads) GROUP BY b),
-found AS (SELECT s.doc_id, r.class_id, c.weight - 1 AS n_copies, coalesce(f.rep_doc_id, rep) AS rep_doc_id, coalesce(f.similarity, 1) AS similarity
-          FROM sizes s JOIN classes c USING (k) JOIN roots r USING (rep) LEFT JOIN first f USING (rep))
-SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, n_copies, rep_doc_id, similarity::DOUBLE AS similarity FROM found
-UNION ALL SELECT doc_id, doc_id, 1, 0, doc_id, 1 FROM documents WHERE text IS NULL
+degrees AS (SELECT a AS rep, sum(weight)::BIGINT AS n_links FROM ends JOIN classes ON rep = b GROUP BY a),
+found AS (SELECT s.doc_id, r.class_id, c.weight - 1 AS n_copies, coalesce(n_links, 0) AS n_links, coalesce(f.rep_doc_id, rep) AS rep_doc_id, coalesce(f.similarity, 1) AS similarity
+          FROM sizes s JOIN classes c USING (k) JOIN roots r USING (rep) LEFT JOIN first f USING (rep) LEFT JOIN degrees USING (rep))
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, n_copies, n_links, rep_doc_id, similarity::DOUBLE AS similarity FROM found
+UNION ALL SELECT doc_id, doc_id, 1, 0, 0, doc_id, 1 FROM documents WHERE text IS NULL
 """
 
 
