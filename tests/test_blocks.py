@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textlode.functions.analysis import RAW, STANDARD
+from textlode.functions.analysis import RAW, STANDARD, analyze
 from textlode.operators import blocks, scoring
 from textlode.operators.index import Index, PostingType
 
@@ -109,3 +109,10 @@ def test_building_moves_the_tokens_once(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = blocks.blocks_of(blocks.analyze(docs, STANDARD), 8, 4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
+
+
+def test_tokens_are_counted_before_they_move(spark, sf_dir):
+    """One aggregation, of postings: counting tokens by (term, document) in a shard's task grew with all tokens of the shard."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    plan = blocks.blocks_of(analyze(docs, STANDARD), 8, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1

@@ -10,7 +10,7 @@ blocks    (shard, term, low, span, n, first, last, max_tf, min_dl, impacts, offs
           by (term, low); low is the negated part at usual parameters, about the best, so that a term's best blocks come first in
           its files. Most blocks have one posting: their arrays are null, as are impacts that are (max_tf, min_dl) alone
 
-Building moves the tokens once, to their document's shard; all that follows happens there.
+Building moves a document's counted terms once, to its shard; all that follows happens there.
 
 All terms of a document are in one shard. So queries go to the shards, and their rows, not the postings, are copied: a
 score is summed where its postings lie, and what leaves a shard is its best k for each query.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import RAW, Analyzer, analyze
 from ..session import park, shared_dir
-from .index import corpus_statistics, half_even
+from .index import corpus_statistics, gathered, half_even
 from .scoring import idf, query_tokens, top_k
 
 #: Documents of a span, and so the postings of a block at most.
@@ -171,12 +171,13 @@ def shard_of(doc_id: Column, shards: int) -> Column:
 def blocks_of(tokens: DataFrame, span: int, shards: int) -> DataFrame:
     """Rows of SCHEMA of (doc_id, tokens)."""
     names = F.array(*map(F.lit, shard_names(tokens.sparkSession, shards)))
-    dealt = tokens.withColumn("no", shard_of(F.col("doc_id"), shards)).withColumn("dl", F.size("tokens")).withColumn("shard", F.get(names, "no")).repartition(shards, "shard")
+    # a document's tokens are counted in its own row, before it moves
+    dealt = gathered(tokens).withColumn("no", shard_of(F.col("doc_id"), shards)).withColumn("shard", F.get(names, "no")).repartition(shards, "shard")
     place = F.row_number().over(Window.partitionBy("shard").orderBy("dl", "doc_id")) - 1
     placed = dealt.withColumn("span", F.floor(place / span).cast("long") * shards + F.col("no"))
     # a null before a document's terms: the block of no term
-    words = placed.select("shard", "span", "doc_id", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
-    counts = words.groupBy("shard", "span", "term", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf"))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf")))
+    counts = placed.select("shard", "span", "doc_id", "dl", F.explode(F.concat(none, "postings")).alias("x")).select("shard", "span", "doc_id", "dl", "x.term", F.col("x.tf").cast("int").alias("tf"))
     whole = counts.groupBy("shard", "span", "term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("x"))
     several, first = F.size("x") > 1, F.element_at("x", 1)["doc_id"]
     blocks = whole.select(
