@@ -256,6 +256,15 @@ def test_suffix_array_covers_what_repeats(run):
         at += len(s) + 1
 
 
+def test_stream_of_blocks():
+    found = [(ht.ARTICLE, "one two"), (ht.OPEN, "three"), (ht.MARKED, "four\u2009five six")]
+    words, roles = ht.stream(found)
+    assert words == [w for _, x in found for w in x.split(" ")]
+    assert roles.tolist() == [r for r, x in found for _ in x.split(" ")]
+    words, roles = ht.stream([])
+    assert words == [] and len(roles) == 0
+
+
 def test_array_decides_on_nominated_blocks(spark, monkeypatch):
     """Nominated blocks of an article go where they repeat outside articles; an article's own text stays, repeated or not."""
     passage = " ".join(f"shared{i}" for i in range(40))

@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -173,7 +175,7 @@ def repeated(tokens: np.ndarray, pages: np.ndarray, counts: np.ndarray | None =
         after = np.zeros(n, np.int64)
         after[:-step] = rank[step:] + 1
         rank, have = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64), have + step
-    array = np.argsort(rank, kind="stable")
+    array = np.argsort(rank)  # in any order where equal
     starts = np.r_[0, np.flatnonzero(np.diff(rank[array])) + 1]
     of, far = pages[array], np.iinfo(np.int64)
     counted = np.ones(n, bool) if counts is None else counts[array]
@@ -214,7 +216,7 @@ class Words:
         known = self.digest
         for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
-        return np.array([known[w] for w in words], np.uint64)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def run_digests(words: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -227,22 +229,22 @@ def run_digests(words: np.ndarray, run: int = RUN) -> np.ndarray:
 
 def stream(found: list[tuple[int, str]]) -> tuple[list[str], np.ndarray]:
     """The words of a page's blocks and the role of each."""
-    lists = [text.split(" ") for _, text in found]
-    return [w for x in lists for w in x], np.repeat(np.array([r for r, _ in found], np.int8), list(map(len, lists)))
+    words = " ".join([text for _, text in found]).split(" ") if found else []
+    return words, np.repeat(np.array([r for r, _ in found], np.int8), [text.count(" ") + 1 for _, text in found])
 
 
 def extracted(hosts: list[str], parsed: list[list[tuple[int, str]]], often: dict[str, np.ndarray]) -> list[tuple[str, int]]:
     """(text, removed tokens) of each page, from one suffix array over the whole streams of all; often: digests of boilerplate runs known of a host beyond this array."""
-    number: dict[str, int] = {}
+    number: defaultdict[str, int] = defaultdict(count().__next__)
     memo, streams, tokens, pages, counts = Words(), [], [], [], []
     host_number = {h: i for i, h in enumerate(dict.fromkeys(hosts))}
     for p, (host, found) in enumerate(zip(hosts, parsed)):
         words, roles = stream(found)
         streams.append((words, roles))
-        of_page = np.array([number.setdefault(w, len(number)) for w in words], np.int64) * len(host_number) + host_number[host]
-        tokens.append(np.r_[of_page, -p - 1])  # the last is its own: no run crosses pages
+        of_page = np.fromiter(map(number.__getitem__, words), np.int64, len(words)) * len(host_number) + host_number[host]
+        tokens.append(np.append(of_page, -p - 1))  # the last is its own: no run crosses pages
         pages.append(np.full(len(words) + 1, xxhash.xxh64_intdigest(host + " " + " ".join(words)) - 2**63))
-        counts.append(np.r_[outside(roles), False])
+        counts.append(np.append(outside(roles), False))
     hits = repeated(np.concatenate(tokens), np.concatenate(pages), np.concatenate(counts)) if tokens else np.zeros(0, bool)
     out, at = [], 0
     for host, (words, roles) in zip(hosts, streams):
@@ -250,10 +252,10 @@ def extracted(hosts: list[str], parsed: list[list[tuple[int, str]]], often: dict
         at += len(words) + 1
         if host in often and len(words) >= RUN:
             starts[: len(words) - RUN + 1] |= np.isin(run_digests(memo.digests(words)), often[host])
-        main = np.isin(roles, (ARTICLE, MARKED_IN))
+        main = (roles == ARTICLE) | (roles == MARKED_IN)
         wanted = main if main.any() else roles == OPEN
         kept = wanted & ~(covered(starts) & (roles != ARTICLE))
-        text = " ".join([w for w, k in zip(words, kept.tolist()) if k])
+        text = " ".join(compress(words, kept.tolist()))
         out.append((text, int(wanted.sum() - kept.sum())))
     return out
 
