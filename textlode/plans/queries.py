@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.analysis import RAW, STANDARD, STOP_WORDS, Analyzer, analyze, positions
@@ -19,7 +19,7 @@ from ..operators import blocks, evaluation, scoring
 from ..operators import index as ix
 from ..operators.fill import forward_fill
 from ..operators.index import Index
-from ..session import park, shared_dir, ship, stamp, table
+from ..session import dealt, park, shared_dir, ship, stamp, table
 from ..sources import posting_text
 from ..sources.qrels import read_qrels
 from ..sources.reviews import number_documents, project_text, read_reviews
@@ -42,15 +42,14 @@ def docs(spark, d) -> DataFrame:
 
 
 def tokens(spark, d, analyzer: Analyzer) -> DataFrame:
-    # one file may hold all rows: deal them before the work
-    return analyze(docs(spark, d).repartition("doc_id"), analyzer)
+    return analyze(dealt(docs(spark, d)), analyzer)
 
 
 def opened(spark, d, analyzer: Analyzer = STANDARD) -> Index:
     key = key_of(spark, d, analyzer)
     if key not in INDEXES:
         ship(spark)
-        INDEXES[key] = Index.build(docs(spark, d).repartition("doc_id"), analyzer)
+        INDEXES[key] = Index.build(dealt(docs(spark, d)), analyzer)
     return INDEXES[key]
 
 
@@ -129,8 +128,7 @@ def qrels(spark, d) -> DataFrame:
 
 def ordered_qrels(spark, d) -> DataFrame:
     """The judgments in the order of doc_id within each of the five queries."""
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) - 1
-    return qrels(spark, d).withColumn("ord", place)
+    return evaluation.in_order(qrels(spark, d))
 
 
 def results(spark, d) -> DataFrame:
