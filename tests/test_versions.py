@@ -180,3 +180,10 @@ def test_odd_batches(spark, tmp_path):
     grow.add(spark.createDataFrame([(1, None, "x"), (2, "a a b", "y"), (3, "", "z")], "doc_id long, text string, term string"))
     assert grow.snapshot().n_docs == 3 and rows(grow.snapshot().terms) == [("a", 1), ("b", 1)]
     assert growing.compacted([[], []], None) == [[], []]
+
+
+def test_texts_of_new_documents_are_not_joined(spark, docs):
+    texts, seen = docs.select("doc_id", "text"), docs.where("part <= 3")
+    fresh = park(texts.join(seen.select("doc_id"), "doc_id", "left_anti"), "fresh")
+    assert growing.unknown(fresh, seen) is fresh
+    assert rows(growing.unknown(texts, seen)) == rows(fresh)

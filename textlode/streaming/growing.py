@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.analysis import RAW, Analyzer, analyze
-from ..operators.index import Index, PostingType, document_frequencies, postings_by_document, sorted_by_term, statistics_of
-from ..session import scratch
+from ..operators.index import BROADCAST_IDS, Index, PostingType, document_frequencies, postings_by_document, sorted_by_term, statistics_of
+from ..session import park, scratch
 from ..sources.snapshots import Snapshots
 
 FANOUT = 3
@@ -94,7 +94,7 @@ class GrowingIndex:
         known = [s for level in levels for s in level]
         fresh = docs.select("doc_id", "text")
         if known:
-            fresh = fresh.join(self.read(known, "docs").select("doc_id"), "doc_id", "left_anti")
+            fresh = unknown(fresh, self.read(known, "docs"))
         with scratch(self.spark):
             new = self.segment(*postings_by_document(analyze(fresh, self.analyzer), self.kind))
         if new.n_docs:
@@ -137,6 +137,14 @@ class GrowingIndex:
         return self.store.expire(keep)
 
 
+def unknown(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """docs without those whose doc_id is known. Ids alone are joined; texts move only where ids come again, and many of them."""
+    again = park(docs.select("doc_id").join(known.select("doc_id"), "doc_id", "left_semi").distinct(), "known")
+    if not (n := again.count()):
+        return docs
+    return docs.join(F.broadcast(again) if n <= BROADCAST_IDS else again, "doc_id", "left_anti")
+
+
 def compacted(levels: list[list[Segment]], merge) -> list[list[Segment]]:
     """Levels with none of FANOUT segments or more: such a level becomes one segment of the next."""
     out = [list(level) for level in levels]
