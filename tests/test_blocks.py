@@ -116,3 +116,11 @@ def test_tokens_are_counted_before_they_move(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     plan = blocks.blocks_of(analyze(docs, STANDARD), 8, 4)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
+
+
+def test_shards_grow_with_the_table(spark, sf_dir, index, found, monkeypatch):
+    monkeypatch.setattr(blocks, "SHARD_DOCS", 20)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = blocks.BlockIndex.build(docs, STANDARD)
+    assert more.shards == -(-docs.count() // 20) > found.shards
+    assert sorted(more.postings().collect()) == sorted(found.postings().collect())

@@ -25,16 +25,21 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.analysis import RAW, Analyzer, analyze
-from ..session import park, shared_dir
+from ..session import park, shared_dir, ship
 from .index import corpus_statistics, gathered, half_even
 from .scoring import idf, query_tokens, top_k
 
 #: Documents of a span, and so the postings of a block at most.
 SPAN = 64
+#: Documents of a shard, about: a table that grows gets more shards, not larger ones. And spans whose blocks are made at once.
+SHARD_DOCS, SPANS_AT_ONCE = 20_000, 16
 #: Copies of a term's statistics, so that a term that many queries ask for is met in as many tasks.
 SALTS = 16
 #: Terms up to this many go to the scan with the least impact that is wanted of each.
@@ -52,18 +57,6 @@ def part_of(tf: Column, dl: Column, avgdl: float | None, k: float, b: float) ->
     return tf * (k + 1) / (tf + k * (1 - b + b * half_even(dl / F.lit(avgdl or 1.0))))
 
 
-def front(entries: Column) -> Column:
-    """The pairs (tf, dl) of entries (dl, -tf), in order, that no earlier one beats."""
-    start = F.struct(F.lit(0).alias("best"), F.array().cast("array<struct<tf: int, dl: int>>").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        tf = (-x["less"]).cast("int")
-        more = F.concat(acc["kept"], F.array(F.struct(tf.alias("tf"), x["dl"].cast("int").alias("dl"))))
-        return F.when(tf > acc["best"], F.struct(tf.alias("best"), more.alias("kept"))).otherwise(acc)
-
-    return F.aggregate(entries, start, step, lambda acc: acc["kept"])
-
-
 def usual_part() -> Column:
     """About the best part of a block at usual parameters, from its highest frequency and least length: an order, no bound."""
     tf = F.col("max_tf").cast("double")
@@ -111,13 +104,14 @@ class BlockIndex:
 
     @staticmethod
     def build(docs: DataFrame, analyzer: Analyzer = RAW, path: str | None = None, span: int = SPAN, shards: int | None = None, key: str = "doc_id", text: str = "text") -> BlockIndex:
-        """Index a table of documents whose key is an integer. shards: as many as the session's shuffle partitions if not given.
+        """Index a table of documents whose key is an integer. shards: as many as the session's shuffle partitions, or one for
+        each SHARD_DOCS rows if these are more, where not given.
 
         A null text is an empty document; rows without a key are left out; rows of one key are documents
         of their own, whose scores add up. Of docs only two columns are read.
         """
         spark = docs.sparkSession
-        shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD_DOCS))
         path = path or f"{shared_dir(spark)}/textlode/blocks-{uuid.uuid4().hex}"
         tokens = analyze(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null"), analyzer)
         name = declared(spark, path, shards)
@@ -170,32 +164,72 @@ def shard_of(doc_id: Column, shards: int) -> Column:
 
 def blocks_of(tokens: DataFrame, span: int, shards: int) -> DataFrame:
     """Rows of SCHEMA of (doc_id, tokens)."""
+    ship(tokens.sparkSession)
     names = F.array(*map(F.lit, shard_names(tokens.sparkSession, shards)))
     # a document's tokens are counted in its own row, before it moves
     dealt = gathered(tokens).withColumn("no", shard_of(F.col("doc_id"), shards)).withColumn("shard", F.get(names, "no")).repartition(shards, "shard")
     place = F.row_number().over(Window.partitionBy("shard").orderBy("dl", "doc_id")) - 1
     placed = dealt.withColumn("span", F.floor(place / span).cast("long") * shards + F.col("no"))
-    # a null before a document's terms: the block of no term
-    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf")))
-    counts = placed.select("shard", "span", "doc_id", "dl", F.explode(F.concat(none, "postings")).alias("x")).select("shard", "span", "doc_id", "dl", "x.term", F.col("x.tf").cast("int").alias("tf"))
-    whole = counts.groupBy("shard", "span", "term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("x"))
-    several, first = F.size("x") > 1, F.element_at("x", 1)["doc_id"]
-    blocks = whole.select(
-        "shard",
-        "span",
-        "term",
-        F.size("x").alias("n"),
-        first.alias("first"),
-        F.element_at("x", -1)["doc_id"].alias("last"),
-        F.array_max("x.tf").alias("max_tf"),
-        F.array_min("x.dl").alias("min_dl"),
-        F.when(several, front(F.sort_array(F.transform("x", lambda e: F.struct(e["dl"].alias("dl"), (-e["tf"]).alias("less")))))).alias("impacts"),
-        F.when(several, F.transform("x", lambda e: e["doc_id"] - first)).alias("offsets"),
-        F.when(several, F.col("x.tf")).alias("tfs"),
-        F.when(several, F.col("x.dl")).alias("dls"),
-    )
-    # a front of one pair is (max_tf, min_dl)
-    return blocks.withColumn("impacts", F.when(F.size("impacts") > 1, F.col("impacts"))).withColumn("low", -usual_part())
+    spans = placed.groupBy("shard", "span").agg(F.collect_list(F.struct("doc_id", "dl", "postings")).alias("docs"))
+    blocks = spans.mapInArrow(span_blocks, ", ".join(x for x in SCHEMA.split(", ") if not x.startswith("low ")))
+    return blocks.withColumn("low", -usual_part())
+
+
+def span_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (shard, span, docs), some spans at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SPANS_AT_ONCE):
+            yield made_blocks(batch.slice(at, SPANS_AT_ONCE))
+
+
+def made_blocks(spans: pa.RecordBatch) -> pa.RecordBatch:
+    """The blocks of some spans: their postings sorted by (span, term, doc_id, tf, dl), with a posting of no term for each document."""
+    docs = spans.column("docs").flatten()
+    place = np.repeat(np.arange(spans.num_rows), pc.list_value_length(spans.column("docs")).to_numpy())
+    ids, lengths, held = docs.field("doc_id").to_numpy(), docs.field("dl").to_numpy(), docs.field("postings")
+    postings, sizes = held.flatten(), pc.list_value_length(held).to_numpy()
+    terms = postings.field("term").dictionary_encode()
+    # 0: no term
+    of = np.concatenate([np.arange(len(ids)), np.repeat(np.arange(len(ids)), sizes)])
+    code = np.concatenate([np.zeros(len(ids), np.int64), terms.indices.to_numpy().astype(np.int64) + 1])
+    tf = np.concatenate([np.ones(len(ids), np.int32), postings.field("tf").to_numpy().astype(np.int32)])
+    key = place[of] * (len(terms.dictionary) + 1) + code
+    rank = np.unique(ids, return_inverse=True)[1]
+    order = np.lexsort((lengths[of], tf, key * len(ids) + rank[of]))
+    key, of, code, tf = key[order], of[order], code[order], tf[order]
+    doc_id, dl = ids[of], lengths[of]
+    starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    n = np.diff(np.append(starts, len(key)))
+    first, single = doc_id[starts], pa.array(n == 1)
+    member = np.repeat(n > 1, n)
+    edges = pa.array(np.concatenate([[0], np.cumsum(np.where(n > 1, n, 0))]).astype(np.int32))
+    lists = lambda x: pa.ListArray.from_arrays(edges, pa.array(x[member]), mask=single)
+    # impacts: by length and then frequency, what beats all before in its block; one pair is (max_tf, min_dl)
+    block = np.repeat(np.arange(len(n)), n)[member]
+    by = np.lexsort((-tf[member], dl[member], block))
+    pair_tf, pair_dl = tf[member][by], dl[member][by]
+    height = block * (int(tf.max()) + 1) + pair_tf
+    kept = np.concatenate([[True], height[1:] > np.maximum.accumulate(height)[:-1]])[: len(height)]
+    fronts = np.bincount(block[kept], minlength=len(n))
+    kept &= (fronts > 1)[block]
+    fronts[fronts == 1] = 0
+    pairs = pa.StructArray.from_arrays([pa.array(pair_tf[kept]), pa.array(pair_dl[kept])], names=["tf", "dl"])
+    impacts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(fronts)]).astype(np.int32)), pairs, mask=pa.array(fronts == 0))
+    columns = {
+        "shard": spans.column("shard").take(pa.array(place[of[starts]])),
+        "term": terms.dictionary.take(pa.array(code[starts] - 1, mask=code[starts] == 0)),
+        "span": spans.column("span").take(pa.array(place[of[starts]])),
+        "n": pa.array(n.astype(np.int32)),
+        "first": pa.array(first),
+        "last": pa.array(doc_id[np.append(starts[1:], len(key)) - 1]),
+        "max_tf": pa.array(np.maximum.reduceat(tf, starts)),
+        "min_dl": pa.array(np.minimum.reduceat(dl, starts)),
+        "impacts": impacts,
+        "offsets": lists(doc_id - np.repeat(first, n)),
+        "tfs": lists(tf),
+        "dls": lists(dl),
+    }
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def read_blocks(blocks: DataFrame, *keep: str) -> DataFrame:
