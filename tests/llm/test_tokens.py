@@ -68,6 +68,19 @@ def test_encode_and_decode_tables(spark):
     assert bpe.decode_table(null, MULTI).first().decoded is None
 
 
+def test_bpe_shared_queue(multi, monkeypatch):
+    """Pre-tokens of several texts are merged together: the ids of the library, and far fewer buckets made than for each alone."""
+    own, lib = bpe.Encoder(MULTI, PATTERN, memo=300), multi[1]
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdeortn\u00e9\u4e2d", k=rng.randint(1, 14))) for _ in range(400)) for _ in range(4)] + ["", "a" * 3000, "\u00ff\x00" * 50]
+    made, fill = [], bpe.RankQueue.fill
+    monkeypatch.setattr(bpe.RankQueue, "fill", lambda self, *x: (made.append(x), fill(self, *x))[1])
+    assert [numbers(x) for x in own.encode_all(texts)] == [lib.encode_ordinary(x) for x in texts]
+    assert len(made) < 4 * 1600  # each alone fills about one for each pair
+    monkeypatch.setattr(bpe, "CHUNK", 1)
+    assert [numbers(x) for x in own.encode_all(texts)] == [lib.encode_ordinary(x) for x in texts]
+
+
 def test_bpe_query(spark, sf_dir, multi):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in bpe.op6_byte_bpe(spark, sf_dir).collect():

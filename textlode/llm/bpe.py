@@ -5,6 +5,7 @@ in the bucket of that rank; a hierarchical bitmap over the ranks says which buck
 entries, so the next rank is found with three find-first-set steps whatever the length.
 Merging changes two neighbours; their old entries stay behind and are skipped when popped.
 The cost of a pre-token of n bytes is near n log n, where rescanning would take n * n.
+Many pre-tokens share one queue, so that a bucket is made and dropped once for all of them.
 
 Pre-tokens repeat, so each worker keeps the ids of those it has met in a bounded memo. Texts
 do not influence each other, and nothing is exchanged between tasks.
@@ -14,8 +15,8 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,12 @@ from pyspark.sql import functions as F
 from .common import by_slices, kept, table
 from .pretokens import pieces, ranks, vocabulary
 
+#: Stands between pre-tokens: a byte that no UTF-8 text has.
+PART = b"\xff"
+#: Bytes of pre-tokens that are merged together, and of texts whose pre-tokens are looked up together.
+CHUNK, SLICE = 1 << 18, 1 << 20
+
+
 class RankQueue:
     """Positions by merge rank. Three levels of 64-bit words hold which ranks have entries: 64 ** 3 ranks and one top integer."""
 
@@ -32,19 +39,22 @@ class RankQueue:
         self.top = 0
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+        if rank in self.buckets:
+            self.buckets[rank].append(position)
+        else:
+            self.fill(rank, [position])
+
+    def fill(self, rank: int, positions: list[int]) -> None:
+        """Positions of a rank that has no entries."""
+        self.buckets[rank] = positions
         low, mid = self.levels
         a, b = rank >> 6, rank >> 12
         low[a] = low.get(a, 0) | 1 << (rank & 63)
         mid[b] = mid.get(b, 0) | 1 << (a & 63)
         self.top |= 1 << b
 
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank that has entries, and its leftmost position."""
+    def lowest(self) -> int | None:
+        """The lowest rank that has entries."""
         if not self.top:
             return None
         low, mid = self.levels
@@ -52,95 +62,149 @@ class RankQueue:
         word = mid[b]
         a = b << 6 | (word & -word).bit_length() - 1
         word = low[a]
-        rank = a << 6 | (word & -word).bit_length() - 1
+        return a << 6 | (word & -word).bit_length() - 1
+
+    def drop(self, rank: int) -> None:
+        """A rank whose entries are used up."""
+        del self.buckets[rank]
+        low, mid = self.levels
+        a, b = rank >> 6, rank >> 12
+        low[a] &= ~(1 << (rank & 63))
+        if not low[a]:
+            del low[a]
+            mid[b] &= ~(1 << (a & 63))
+            if not mid[b]:
+                del mid[b]
+                self.top &= ~(1 << b)
+
+    def pop(self) -> tuple[int, int] | None:
+        """The lowest rank that has entries, and its leftmost position."""
+        rank = self.lowest()
+        if rank is None:
+            return None
         bucket = self.buckets[rank]
-        position = heappop(bucket)
+        bucket.sort(reverse=True)
+        position = bucket.pop()
         if not bucket:
-            del self.buckets[rank]
-            low[a] &= ~(1 << (rank & 63))
-            if not low[a]:
-                del low[a]
-                mid[b] &= ~(1 << (a & 63))
-                if not mid[b]:
-                    del mid[b]
-                    self.top &= ~(1 << b)
+            self.drop(rank)
         return rank, position
 
 
-def merge(piece: bytes, rank_of: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token: the lowest rank first, and of equal ranks the leftmost."""
-    whole = rank_of.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    end = list(range(1, n + 1))  # of the run that starts here; 0: no run starts here any more
-    before = list(range(-1, n - 1))
+def pair_ranks(rank_of: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of single bytes (-2 for PART, -3 for one that has none), and ranks of pairs of bytes (-1: none)."""
+    single, double = np.full(256, -3, np.int32), np.full(1 << 16, -1, np.int32)
+    for x, rank in rank_of.items():
+        if len(x) == 1:
+            single[x[0]] = rank
+        elif len(x) == 2:
+            double[x[0] << 8 | x[1]] = rank
+    single[PART[0]] = -2
+    return single, double
+
+
+def merge(pieces: list[bytes], rank_of: dict[bytes, int], single: np.ndarray, double: np.ndarray) -> list[bytes]:
+    """The ids of pre-tokens, as little-endian unsigned 32-bit integers: in each the lowest rank first, and of equal ranks the leftmost.
+
+    All stand in one row with PART around each, which no run with a rank holds, and share one queue.
+    """
+    whole = PART + PART.join(pieces) + PART
+    n = len(whole)
+    signs = np.frombuffer(whole, np.uint8)
+    first = double[signs[:-1].astype(np.int64) << 8 | signs[1:]]
+    at = np.flatnonzero(first >= 0)
+    at = at[np.argsort(first[at], kind="stable")]
+    kinds, starts = np.unique(first[at], return_index=True)
     queue = RankQueue()
-    get, push = rank_of.get, queue.push
-    pair: dict[int, int] = {}  # rank that the pair starting here has now
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            pair[i] = rank
-            push(rank, i)
-    while (found := queue.pop()) is not None:
-        rank, i = found
-        if pair.get(i) != rank:
-            continue  # stale: a neighbour was merged since
-        j = end[i]
-        k = end[j]
-        end[i], end[j] = k, 0
-        pair.pop(j, None)
-        if k < n:
-            before[k] = i
-            rank = get(piece[i : end[k]])
-            if rank is None:
-                pair.pop(i, None)
-            else:
-                pair[i] = rank
-                push(rank, i)
-        else:
-            pair.pop(i, None)
-        h = before[i]
-        if h >= 0:
-            rank = get(piece[h:k])
-            if rank is None:
-                pair.pop(h, None)
-            else:
-                pair[h] = rank
-                push(rank, h)
-    ids, i = [], 0
-    while i < n:
-        ids.append(rank_of[piece[i : end[i]]])
-        i = end[i]
-    return ids
+    for rank, positions in zip(kinds.tolist(), np.split(at, starts[1:]), strict=True) if len(at) else ():
+        queue.fill(rank, positions.tolist())
+    now = [*first.tolist(), -1]  # rank that the pair starting here has now
+    token = single[signs].tolist()  # of the run that starts here; -1: no run starts here any more, -2: PART
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    get, buckets = rank_of.get, queue.buckets
+    while (rank := queue.lowest()) is not None:
+        bucket, lowest = buckets[rank], rank
+        bucket.sort(reverse=True)
+        while bucket and lowest == rank:  # what is merged here makes longer runs, so nothing of this rank is added meanwhile
+            i = bucket.pop()
+            if now[i] != rank:
+                continue  # stale: a neighbour was merged since
+            j = end[i]
+            k = end[j]
+            end[i], before[k], token[i] = k, i, rank
+            now[j] = token[j] = -1
+            now[i] = other = get(whole[i : end[k]], -1)
+            if other >= 0:
+                if other in buckets:
+                    buckets[other].append(i)
+                else:
+                    queue.fill(other, [i])
+                if other < lowest:
+                    lowest = other
+            h = before[i]
+            now[h] = other = get(whole[h:k], -1)
+            if other >= 0:
+                if other in buckets:
+                    buckets[other].append(h)
+                else:
+                    queue.fill(other, [h])
+                if other < lowest:
+                    lowest = other
+        if not bucket:
+            queue.drop(rank)
+    ids = np.array(token, np.int32)
+    ids = ids[ids != -1]
+    if (ids < -2).any():
+        raise KeyError("a byte that has no id")
+    cuts = np.flatnonzero(ids == -2)
+    made = ids.astype("<u4").tobytes()
+    return [made[4 * a + 4 : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 class Encoder:
     """Whole texts to ids and back. memo: how many pre-tokens are kept with their ids."""
 
     def __init__(self, path: str, pattern: str, memo: int = 1_000_000, longest: int = 64) -> None:
-        self.rank_of, self.split = ranks(path), pieces(pattern)
-        self.token = {rank: token for token, rank in self.rank_of.items()}
+        self.token, self.split = {rank: token for token, rank in ranks(path).items()}, pieces(pattern)
+        self.rank_of = {x: rank for x, rank in ranks(path).items() if len(x) == 1 or PART not in x}  # others are in no text
+        self.pairs = pair_ranks(self.rank_of)
         self.memo: dict[str, bytes] = {}
         self.size, self.longest = memo, longest
 
-    def word(self, piece: str) -> bytes:
-        found = array("I", merge(piece.encode(), self.rank_of)).tobytes()
-        if len(piece) <= self.longest:  # long ones are rare and would make the memo's bound in bytes moot
-            if len(self.memo) >= self.size:
-                self.memo.clear()
-            self.memo[piece] = found
-        return found
+    def learn(self, pieces: set[str]) -> None:
+        """Put pre-tokens into the memo: those with a rank of their own, and others merged, as many at a time as CHUNK bytes hold, or one."""
+        names, spelt, size = [], [], 0
+        for piece in pieces:
+            x = piece.encode()
+            if (rank := self.rank_of.get(x)) is not None:
+                self.memo[piece] = array("I", [rank]).tobytes()
+                continue
+            if size and size + len(x) > CHUNK:
+                self.memo.update(zip(names, merge(spelt, self.rank_of, *self.pairs), strict=True))
+                names, spelt, size = [], [], 0
+            names.append(piece)
+            spelt.append(x)
+            size += len(x)
+        self.memo.update(zip(names, merge(spelt, self.rank_of, *self.pairs) if names else [], strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers. Pre-tokens of all texts that are not known are merged together."""
+        words = [self.split(x) for x in texts]
+        if new := set().union(*words).difference(self.memo):
+            self.learn(new)
+        made = [b"".join(map(self.memo.__getitem__, x)) for x in words]
+        if len(self.memo) > self.size:
+            self.memo.clear()
+        else:  # long ones are rare and would make the memo's bound in bytes moot
+            for piece in new:
+                if len(piece) > self.longest:
+                    del self.memo[piece]
+        return made
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        get, word = self.memo.get, self.word
-        return b"".join([get(x) or word(x) for x in self.split(text)])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
-        token = self.token
-        return b"".join([token[x] for x in array("I", ids)])
+        return b"".join(map(self.token.__getitem__, array("I", ids)))
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -152,9 +216,9 @@ def encode_table(df: DataFrame, path: str, pattern: str, text: str = "text", ids
     names = [c for c in df.columns if c != ids]
 
     def run(batches):
-        encode = encoder(path, pattern).encode
-        for batch in by_slices(batches):
-            made = [encode(x or "") for x in batch.column(text).to_pylist()]
+        encode_all = encoder(path, pattern).encode_all
+        for batch in by_slices(batches, size=SLICE):
+            made = encode_all([x or "" for x in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(made, pa.binary())], names=[*names, ids])
 
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
