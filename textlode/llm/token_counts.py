@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import SLICE, encoder
 from .common import by_slices, park, table
 from .pretokens import vocabulary
 
@@ -85,7 +85,7 @@ def write_token_blocks(df: DataFrame, key: str, text: str, path: str, pattern: s
     kind = df.schema[key].dataType.simpleString()
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, name = encoder(path, pattern).encode, f"part-{TaskContext.get().partitionId():06d}"
+        encode_all, name = encoder(path, pattern).encode_all, f"part-{TaskContext.get().partitionId():06d}"
         rest, block, index, keys = bytearray(), 0, 0, []
 
         def out(data: bytes) -> pa.RecordBatch:
@@ -95,10 +95,10 @@ def write_token_blocks(df: DataFrame, key: str, text: str, path: str, pattern: s
             index, keys = index + len(keys), []
             return row
 
-        for batch in by_slices(batches):
+        for batch in by_slices(batches, size=SLICE):
             key_type = batch.column("k").type
-            for k, x in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist()):
-                ids = np.frombuffer(encode(x or ""), np.uint32)
+            for k, x in zip(batch.column("k").to_pylist(), encode_all([x or "" for x in batch.column("t").to_pylist()])):
+                ids = np.frombuffer(x, np.uint32)
                 rest += ids.astype(f"<u{width}").tobytes()
                 rest += end
                 keys.append(k)
