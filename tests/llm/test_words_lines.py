@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import odd
+import pyarrow as pa
 import pytest
 
 from textlode.llm import collocations as co
@@ -105,6 +106,47 @@ def test_suffix_array_and_intervals():
         assert {tuple(map(int, p)): int(t) for p, t in zip(phrases, times, strict=True)} == brute
 
 
+@pytest.mark.parametrize("sizes", [range(2, 4), range(4, 6)])
+def test_windows_hold_every_phrase(sizes):
+    """The first words of windows, summed over batches of any length, are the phrases of each size."""
+    rng = np.random.default_rng(6)
+    for stream in ([], [0], [0, 1, 0], [0, 1, 2, 3, 4, 5], [0, *rng.integers(0, 4, 500), 0]):
+        stream, depth = np.array(stream, np.int32), sizes[-1]
+        found, times = co.windows(stream, sizes)
+        assert len({*map(tuple, found.tolist())}) == len(found) <= len(stream) and (found[:, : sizes[0]] != 0).all()
+        places = np.lexsort(found.T[::-1])
+        rows = pa.RecordBatch.from_arrays([*(pa.array(found[places, j].astype(np.int64)) for j in range(depth)), pa.array(times[places].astype(np.int64))], [*co.WORDS[:depth], "n"])
+        brute = {tuple(map(int, p)): int(t) for _, phrases, n in co.intervals(stream, sizes) for p, t in zip(phrases, n, strict=True) if t >= 3}
+        for step in (1, 7, 1000):
+            parts = (rows.slice(i, step) for i in range(0, len(found) + 1, step))
+            got = [tuple(row.values()) for b in co.first_words(parts, sizes, 3) for row in b.to_pylist()]
+            assert len(got) == len(brute) and {tuple(w for w in words if w): f for *words, f in got} == brute
+
+
+def rows_made(spark, table, least):
+    """The most rows that one MapInArrow makes while the phrases of a table are counted."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    phrases_of(table, least=least)
+    most = 0
+    for i in range(before, store.executionsCount()):
+        run = store.executionsList().apply(i).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if node.name() == "MapInArrow":
+                ids = [m.accumulatorId() for m in (node.metrics().apply(j) for j in range(node.metrics().size())) if m.name() == "number of output rows"]
+                most = max([most, *(int(values.apply(x).replace(",", "")) for x in ids if values.contains(x))])
+    return most
+
+
+def test_rows_grow_with_the_text_alone(spark):
+    """Five times the text, where most pairs become frequent: each step makes about five times the rows."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(30)) for _ in range(600)]
+    small, large = (rows_made(spark, docs(spark, texts[:n]).repartition(n // 60), 5) for n in (120, 600))
+    assert 0 < large <= 6 * small
+
+
 # spelling
 
 

@@ -2,16 +2,20 @@
 
 A task gathers its texts in shards of a bounded number of words. In a shard the words of each language are
 numbered as they come, and the numbers of all texts stand in one stream, parted by 0 where pieces end. Prefix
-doubling sorts the stream's suffixes, the intervals of the LCP array give each phrase with its occurrences in
-the shard, and Spark sums these by phrase.
+doubling sorts the stream's suffixes, and the intervals of the LCP array give each window with its occurrences in
+the shard: the words that follow a place up to the piece's end, so many at most.
 
-A phrase can be frequent only if its parts are. So the levels are counted one after another, words, pairs,
-triples, then four and five words, and a stream keeps only what the level before left possible. What is
-frequent reaches the tasks as a Bloom filter of a fixed size: it lets some rare phrases through, whose counts
-then show it, and never loses one. Counts are exact at every size of the table; a filter that fills up costs time only.
+A phrase is the first words of the windows where it occurs. So one exchange of windows counts phrases of several sizes:
+windows that start alike meet in one task, Spark sorts them, and the sums of their first words are taken as they
+pass. A shard has at most one window for each of its words, however large the table.
 
-Words are known by the 64-bit hash of language and word. A hash that two words share is looked for, and found
-would mean that all starts anew with another seed.
+A phrase can be frequent only if its parts are. So words are counted first, then pairs and triples in one exchange, then
+four and five words, and a stream keeps only what the counts before left possible. What is frequent reaches the tasks
+as a Bloom filter of a fixed size: it lets some rare phrases through, whose counts then show it, and never loses
+one. Counts are exact at every size of the table; a filter that fills up costs time only.
+
+Words are known by the 64-bit hash of language and word; 0 is no word. A hash that is 0 or that two words share is
+looked for, and found would mean that all starts anew with another seed.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ SIGNS = bytes.maketrans(ENDS + SPACES, ENDS[:1] * len(ENDS) + SPACES[:1] * len(S
 SHARD, SLICE = 3_000_000, 4 << 20
 #: Bits of a filter and probes of it.
 FILTER_BITS, PROBES = 1 << 27, 3
+#: Words of the table for each partition of windows, at most: a partition is sorted.
+SORTED = 4_000_000
 LONGEST = 5
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
@@ -148,6 +154,26 @@ def intervals(stream: np.ndarray, sizes: range) -> Iterator[tuple[int, np.ndarra
         yield size, phrases[whole], lengths[whole]
 
 
+def windows(stream: np.ndarray, sizes: range) -> tuple[np.ndarray, np.ndarray]:
+    """(windows as rows of numbers, occurrences): what follows each place up to the next 0, sizes[-1] words at most, then zeros; sizes[0] words at least."""
+    depth = sizes[-1]
+    order = suffix_array(stream, depth)
+    lcp = lcp_array(stream, order, depth)
+    padded = np.concatenate([stream, np.zeros(depth, stream.dtype)])
+    length, alive = np.zeros(len(order), np.int8), np.ones(len(order), bool)
+    for j in range(depth):
+        alive &= padded[order + j] != 0
+        length += alive
+    # a suffix has the window of the one before it if they share all words of both
+    starts = np.flatnonzero((lcp < length) | (np.concatenate([[-1], length[:-1]]) != length))
+    times = np.diff(np.append(starts, len(order)))
+    long = length[starts] >= sizes[0]
+    starts, times = starts[long], times[long]
+    found = padded[order[starts][:, None] + np.arange(depth)]
+    found[np.arange(depth) >= length[starts][:, None]] = 0
+    return found, times
+
+
 # what may be frequent
 
 
@@ -238,33 +264,68 @@ def count_words(rows: DataFrame, seed: int) -> DataFrame:
     return rows.mapInArrow(run, "lang string, word string, w1 long, n long").groupBy("lang", "word", "w1").agg(F.sum("n").alias("f"))
 
 
-def count_phrases(spark: SparkSession, rows: DataFrame, sizes: range, seed: int, filter_: np.ndarray, least: int) -> DataFrame:
-    """(lang, w1 ... w5, f) of phrases of these sizes with at least `least` occurrences; words beyond a phrase's size are null."""
+def count_windows(spark: SparkSession, rows: DataFrame, sizes: range, seed: int, filter_: np.ndarray) -> DataFrame:
+    """(w1, w2 ..., n) of the windows of each shard, where the filter knows phrases of sizes[0] - 1 words; 0 stands beyond a window's end."""
     sent = spark.sparkContext.broadcast(filter_)
-    names = ["lang", *WORDS[: sizes[-1]], "n"]
+    part, depth = sizes[0] - 1, sizes[-1]
+    names = [*WORDS[:depth], "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
-            langs, _, keys = shard.dictionary(seed)
-            tongues, of = np.unique(np.array(langs), return_inverse=True)
-            for size, phrases, times in intervals(possible(shard.stream(), keys, sizes[0], sent.value), sizes):
-                part = sizes[0] - 1
-                fits = np.all([may_have(sent.value, [keys[phrases[:, i + j]] for j in range(part)]) for i in range(size - part + 1)], axis=0) if size > 2 else np.ones(len(phrases), bool)
-                phrases, times = phrases[fits], times[fits]  # neighbours can cover a phrase that has an impossible part
-                for at in range(0, len(phrases), 100_000):
-                    part = phrases[at : at + 100_000]
-                    lang = pa.DictionaryArray.from_arrays(of[part[:, 0]].astype(np.int32), pa.array(tongues.tolist(), pa.string())).cast(pa.string())
-                    words = [pa.array(keys[part[:, j]].view(np.int64)) for j in range(size)] + [pa.nulls(len(part), pa.int64())] * (sizes[-1] - size)
-                    yield pa.RecordBatch.from_arrays([lang, *words, pa.array(times[at : at + 100_000].astype(np.int64))], names)
-
-    kinds = "lang string, " + ", ".join(f"{c} long" for c in names[1:])
-    counts = rows.mapInArrow(run, kinds).groupBy(*names[:-1]).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return counts.select("lang", *[F.col(c) if c in names else F.lit(None).cast("long").alias(c) for c in WORDS], "f")
+            keys = shard.dictionary(seed)[2]
+            found, times = windows(possible(shard.stream(), keys, sizes[0], sent.value), sizes)
+            if part > 1:  # neighbours can cover an impossible part: a window ends before it
+                fits = [may_have(sent.value, [keys[found[:, i + j]] for j in range(part)]) for i in range(depth - part + 1)]
+                for i, ok in enumerate(np.logical_and.accumulate(fits)):
+                    found[~ok, i + part - 1] = 0
+                whole = found[:, part - 1 : sizes[0]].all(1)
+                found, times = found[whole], times[whole]
+            for at in range(0, len(found), 100_000):
+                words = [pa.array(keys[found[at : at + 100_000, j]].view(np.int64)) for j in range(depth)]
+                yield pa.RecordBatch.from_arrays([*words, pa.array(times[at : at + 100_000].astype(np.int64))], names)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def frequent_ones(words: np.ndarray, times: np.ndarray, size: int) -> pa.RecordBatch:
+    """Rows (w1 ... w5, f) of the first `size` words, of those that have so many."""
+    whole = words[:, size - 1] != 0
+    columns = [words[whole, j] if j < size else np.zeros(whole.sum(), np.int64) for j in range(LONGEST)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(times[whole])], [*WORDS, "f"])
+
+
+def first_words(batches: Iterator[pa.RecordBatch], sizes: range, least: int) -> Iterator[pa.RecordBatch]:
+    """(w1 ... w5, f) of phrases of these sizes with at least `least` occurrences, from windows in order: sums over equal first words."""
+    forget()
+    depth = sizes[-1]
+    last, sums = np.zeros((1, depth), np.int64), dict.fromkeys(sizes, 0)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = np.stack([c.to_numpy() for c in batch.columns[:depth]], 1)
+        before = np.concatenate([last, words[:-1]])
+        changed = np.logical_or.accumulate(words != before, axis=1)
+        for size in sizes:
+            ends = np.flatnonzero(changed[:, size - 1])
+            times = np.add.reduceat(np.concatenate([[sums[size]], batch.column(depth).to_numpy()]), np.concatenate([[0], ends + 1]))
+            sums[size] = times[-1]  # its phrase may go on in the next batch
+            done = times[:-1] >= least
+            if done.any():
+                yield frequent_ones(before[ends[done]], times[:-1][done], size)
+        last = words[-1:]
+    for size, f in sums.items():
+        if f >= least:
+            yield frequent_ones(last, np.array([f]), size)
+
+
+def count_phrases(found: DataFrame, sizes: range, parts: int, least: int) -> DataFrame:
+    """(w1 ... w5, f) of phrases of these sizes with at least `least` occurrences, from windows; 0 stands beyond a phrase's end."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from first_words(batches, sizes, least)
 
-def phrase_key(size: int | None = None):
-    """The words' hashes as one array."""
-    return F.array(*WORDS[:size]) if size else F.filter(F.array(*WORDS), lambda w: w.isNotNull())
+    ordered = found.repartition(parts, *WORDS[: sizes[0]]).sortWithinPartitions(*WORDS[: sizes[-1]])
+    return ordered.mapInArrow(run, ", ".join(f"{c} long" for c in [*WORDS, "f"]))
 
 
 def frequent_phrases(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang", bits: int = FILTER_BITS, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -273,19 +334,19 @@ def frequent_phrases(docs: DataFrame, rules: Rules = Rules(), text: str = "text"
     spark, rows = docs.sparkSession, rows_of(docs, text, lang)
     while True:
         counts = park(count_words(rows, seed), "words")
-        if not counts.groupBy("w1").count().where("count > 1").limit(1).count():
+        if not counts.groupBy("w1").count().where("count > 1 or w1 = 0").limit(1).count():
             break
-        seed += 1  # two words of one hash
+        seed += 1  # two words of one hash, or one that would be no word
     words = counts.where(F.col("f") >= rules.least)
     totals = park(counts.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    found, before, size = [], words, 1
-    for sizes in (range(2, 3), range(3, 4), range(4, LONGEST + 1)):
-        filter_ = filter_of(before, size, bits)
-        before = park(count_phrases(spark, rows, sizes, seed, filter_, rules.least), "phrases")
-        found.append(before.select("lang", phrase_key(sizes[0] if len(sizes) == 1 else None).alias("ws"), "f"))
-        size = sizes[-1]
-    phrases = found[0].unionByName(found[1]).unionByName(found[2])
-    return words, totals, phrases
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (totals.agg(F.sum("n")).first()[0] or 0) // SORTED + 1)
+    found, before = [], words
+    for sizes in (range(2, 4), range(4, LONGEST + 1)):
+        filter_ = filter_of(before, sizes[0] - 1, bits)
+        found.append(park(count_phrases(count_windows(spark, rows, sizes, seed, filter_), sizes, parts, rules.least), "phrases"))
+        before = found[-1].where("w3 != 0")
+    phrases = found[0].unionByName(found[1]).select("w1", F.filter(F.array(*WORDS), lambda w: w != 0).alias("ws"), "f")
+    return words, totals, phrases.join(words.select("w1", "lang"), "w1").select("lang", "ws", "f")
 
 
 # scores
